@@ -1,99 +1,104 @@
-"""Typed access to parsed JSON (VARIANT) columns.
+"""Typed access to parsed JSON (VARIANT) columns, as SQL expression text.
 
-A session file is open JSON: any field may hold any type.  These helpers return a
-value only when it has the asked-for JSON type and NULL otherwise, so a plan never
-fails on a malformed document.
+A session file is open JSON: any field may hold any type.  These helpers give a value
+only when it has the asked-for JSON type and NULL otherwise, so a plan never fails on a
+malformed document.  They return SQL text for ``selectExpr`` / ``F.expr``; ``v`` is SQL
+text as well (a column, a lambda variable or another expression).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from stepwell.functions.text import SPACES
 
+SPACE_LITERAL = "'" + "".join(f"\\u{ord(c):04x}" for c in SPACES) + "'"
+NO_VARIANT = "cast(NULL as variant)"
 
-def parse(text: Column) -> Column:
+
+def parse(text: str) -> str:
     """Parsed document, or NULL when the text is not JSON."""
-    return F.try_parse_json(text)
+    return f"try_parse_json({text})"
 
 
-def member(value: Column, path: str) -> Column:
-    """Sub-value at ``path``; NULL only when absent (a JSON null stays a value)."""
-    return F.variant_get(value, path, "variant")
+def member(v: str, path: str) -> str:
+    """Sub-value; NULL only when absent (a JSON null stays a value)."""
+    return f"variant_get({v}, '{path}', 'variant')"
 
 
-def kind(value: Column) -> Column:
-    """Leading type word of a variant: OBJECT, ARRAY, STRING, BOOLEAN, BIGINT, VOID..."""
-    return F.regexp_extract(F.schema_of_variant(value), "^([A-Z]+)", 1)
+def loose(v: str, path: str = "$") -> str:
+    """Scalar as text whatever its JSON type; for comparing with fixed words."""
+    return f"try_variant_get({v}, '{path}', 'string')"
 
 
-def is_object(value: Column) -> Column:
-    return F.coalesce(F.try_variant_get(value, "$", "map<string,variant>").isNotNull(), F.lit(False))
+def _typed(v: str, path: str, kind: str, sql: str) -> str:
+    inner = v if path == "$" else member(v, path)
+    return f"if(schema_of_variant({inner}) = '{kind}', try_variant_get({v}, '{path}', '{sql}'), NULL)"
 
 
-def has_key(value: Column, key: str) -> Column:
-    return F.coalesce(member(value, f"$.{key}").isNotNull(), F.lit(False))
+def string(v: str, path: str = "$") -> str:
+    return _typed(v, path, "STRING", "string")
 
 
-def as_string(value: Column, path: str = "$") -> Column:
-    """The string at ``path``, NULL for any other JSON type."""
-    inner = member(value, path)
-    return F.when(F.schema_of_variant(inner) == "STRING", F.try_variant_get(value, path, "string"))
+def text(v: str, path: str = "$") -> str:
+    """A non-empty string."""
+    return f"nullif({string(v, path)}, '')"
 
 
-def as_text(value: Column, path: str = "$") -> Column:
-    """A non-empty string at ``path``, else NULL."""
-    text = as_string(value, path)
-    return F.when(text != "", text)
+def boolean(v: str, path: str = "$") -> str:
+    return _typed(v, path, "BOOLEAN", "boolean")
 
 
-def as_bool(value: Column, path: str = "$") -> Column:
-    inner = member(value, path)
-    return F.when(
-        F.schema_of_variant(inner) == "BOOLEAN", F.try_variant_get(value, path, "boolean")
-    )
+def integer(v: str, path: str = "$") -> str:
+    return _typed(v, path, "BIGINT", "bigint")
 
 
-def as_long(value: Column, path: str = "$") -> Column:
-    inner = member(value, path)
-    return F.when(F.schema_of_variant(inner) == "BIGINT", F.try_variant_get(value, path, "bigint"))
+def number(v: str, path: str) -> str:
+    """Integer value of any numeric field."""
+    return f"try_variant_get({v}, '{path}', 'bigint')"
 
 
-def as_array(value: Column, path: str = "$") -> Column:
-    return F.try_variant_get(value, path, "array<variant>")
+def array(v: str, path: str = "$") -> str:
+    return f"try_variant_get({v}, '{path}', 'array<variant>')"
 
 
-def as_object(value: Column, path: str = "$") -> Column:
-    """The sub-value itself when it is a JSON object, else NULL."""
-    inner = member(value, path)
-    return F.when(is_object(inner), inner)
+def is_object(v: str) -> str:
+    return f"(try_variant_get({v}, '$', 'map<string,variant>') IS NOT NULL)"
 
 
-def present(value: Column, path: str = "$") -> Column:
-    """True when the field is there and not JSON null."""
-    return F.coalesce(F.schema_of_variant(member(value, path)) != "VOID", F.lit(False))
+def obj(v: str, path: str) -> str:
+    """The sub-value itself when it is a JSON object."""
+    return f"if({is_object(member(v, path))}, {member(v, path)}, NULL)"
 
 
-def json_of(value: Column, path: str = "$") -> Column:
-    """Canonical JSON text (object keys sorted); NULL for absent or JSON null."""
-    inner = member(value, path)
-    return F.when(F.schema_of_variant(inner) != "VOID", F.to_json(inner))
+def has_key(v: str, key: str) -> str:
+    return f"({member(v, '$.' + key)} IS NOT NULL)"
 
 
-def json_object(*pairs: tuple[str, Column]) -> Column:
-    """JSON object of the non-null pairs whose values are JSON text; NULL when none is left.
+def json(v: str, path: str = "$") -> str:
+    """Canonical JSON text (object keys sorted); NULL when absent or JSON null."""
+    return f"nullif(to_json({v if path == '$' else member(v, path)}), 'null')"
 
-    Values arrive as JSON fragments, so strings must be quoted by ``json_of`` or ``quoted``.
-    """
-    parts = [
-        F.when(fragment.isNotNull(), F.concat(F.lit(f'"{name}":'), fragment))
-        for name, fragment in sorted(pairs, key=lambda pair: pair[0])
-    ]
-    body = F.concat_ws(",", *parts)
-    return F.when(body != "", F.concat(F.lit("{"), body, F.lit("}")))
+
+def present(v: str, path: str = "$") -> str:
+    """True when the field is there and not JSON null."""
+    return f"({json(v, path)} IS NOT NULL)"
 
 
-def quoted(text: Column) -> Column:
-    """JSON string literal of a text column."""
-    return F.to_json(F.to_variant_object(F.array(text))).substr(
-        F.lit(2), F.length(F.to_json(F.to_variant_object(F.array(text)))) - 2
+def json_object(*pairs: tuple[str, str]) -> str:
+    """JSON object of the non-null pairs; values are SQL giving JSON text.  NULL when empty."""
+    parts = ", ".join(
+        f"concat('\"{name}\":', {fragment})" for name, fragment in sorted(pairs, key=lambda p: p[0])
     )
+    return f"nullif(concat('{{', concat_ws(',', {parts}), '}}'), '{{}}')"
+
+
+def strip(s: str) -> str:
+    return f"btrim({s}, {SPACE_LITERAL})"
+
+
+def is_blank(s: str) -> str:
+    return f"coalesce({strip(s)} = '', true)"
+
+
+def texts(array_sql: str, lam: str, sep: str = "\\n") -> str:
+    """Join the non-null results of ``lam`` (SQL lambda) over an array."""
+    return f"array_join(filter(transform({array_sql}, {lam}), t -> t IS NOT NULL), '{sep}')"

@@ -26,10 +26,6 @@ def first_n_per_stratum(
     return unique.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
 
 
-def safe_filename(key: Column) -> Column:
-    return F.concat(F.replace(F.replace(key, F.lit("/"), F.lit("__")), F.lit(" "), F.lit("_")), F.lit(".json"))
-
-
 def judge_sample(
     traces: DataFrame, rate: float = 0.10, seed: int = 42, rejudge: bool = False
 ) -> DataFrame:
