@@ -59,10 +59,10 @@ EVENT_PRICES = {"input": 15.00, "output": 75.00}
 
 def label_table(spark: SparkSession) -> DataFrame:
     """The label dimension: one row per label, with declared position and severity rank."""
-    rows = [(name, text, i, SEVERITY.index(name)) for i, (name, text) in enumerate(LABELS)]
-    return spark.createDataFrame(
-        rows, "label string, description string, position int, severity int"
+    rows = ", ".join(
+        f'("{name}", "{text}", {i}, {SEVERITY.index(name)})' for i, (name, text) in enumerate(LABELS)
     )
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS labels(label, description, position, severity)")
 
 
 def severity(label: Column) -> Column:

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 POSITION_WIDTH = 65_536
+HOT_ROWS = 1_000_000
 
 
 def slice_by_position(position: Column, width: int = POSITION_WIDTH) -> Column:
@@ -22,11 +23,6 @@ def slice_by_position(position: Column, width: int = POSITION_WIDTH) -> Column:
     return F.floor(position / F.lit(width)).cast("long")
 
 
-def slice_by_time(ts: Column, seconds: int = 86_400) -> Column:
-    """Slice of a timestamp: one slice per ``seconds``; NULL times form the first slice."""
-    return F.coalesce(F.floor(F.unix_seconds(ts.cast("timestamp")) / F.lit(seconds)).cast("long"), F.lit(-(2**62)))
-
-
 def hash_order(*columns: Column, seed: int = 42) -> Column:
     """Deterministic pseudo-random order of rows."""
     return F.xxhash64(F.lit(seed), *columns)
@@ -37,6 +33,58 @@ def slice_by_hash(hashed: Column, bits: int = 12) -> Column:
     return F.shiftright(hashed, 64 - bits)
 
 
+def number_in_key(
+    df: DataFrame,
+    key: str,
+    order: Sequence[str],
+    position: Column,
+    hot_rows: int = HOT_ROWS,
+    out: str = "step_id",
+    keep_slice: str | None = None,
+) -> DataFrame:
+    """Number the rows of each key 1..N; ``position`` is a number monotone in ``order``.
+
+    Keys of up to ``hot_rows`` rows form one slice.  A larger key is cut into about
+    ``rows / hot_rows`` slices of equal width in ``position``.  Rows are shuffled once, by
+    (key, slice).  Both broadcast tables describe slices of large keys only, so they hold
+    at most 2 * (all rows / hot_rows) rows.  The key must not be NULL.
+    """
+    placed = df.withColumn("_position", position.cast("double"))
+    hot = (
+        placed.groupBy(key)
+        .agg(F.expr("count(*) AS _n"), F.expr("min(_position) AS _low"), F.expr("max(_position) AS _high"))
+        .filter(F.col("_n") > hot_rows)
+        .selectExpr(
+            f"{key} AS _key", "_low", f"greatest((_high - _low) / ceil(_n / {hot_rows}), 1e-9) AS _width"
+        )
+    )
+    marked = placed.join(F.broadcast(hot), F.col(key) == F.col("_key"), "left").withColumn(
+        "_slice", F.expr("coalesce(cast(floor((_position - _low) / _width) as bigint), 0)")
+    )
+    starts = (
+        placed.join(F.broadcast(hot), F.col(key) == F.col("_key"))
+        .selectExpr("_key AS _hot", "cast(floor((_position - _low) / _width) as bigint) AS _part")
+        .groupBy("_hot", "_part")
+        .agg(F.expr("count(*) AS _count"))
+        .selectExpr(
+            "_hot",
+            "_part",
+            "sum(_count) OVER (PARTITION BY _hot ORDER BY _part "
+            "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS _start",
+        )
+    )
+    w = Window.partitionBy(key, "_slice").orderBy(*order)
+    local = marked.withColumn("_local", F.row_number().over(w))
+    numbered = local.join(
+        F.broadcast(starts), (F.col(key) == F.col("_hot")) & (F.col("_slice") == F.col("_part")), "left"
+    ).withColumn(out, F.expr("_local + coalesce(_start, 0)"))
+    if keep_slice:
+        numbered = numbered.withColumn(keep_slice, F.col("_slice"))
+    return numbered.drop(
+        "_position", "_key", "_low", "_width", "_slice", "_local", "_hot", "_part", "_start"
+    )
+
+
 def running_total(
     df: DataFrame,
     value: Column,
@@ -44,12 +92,11 @@ def running_total(
     slice_by: Column,
     keys: Sequence[str] = (),
     out: str = "running_before",
-    keep_slice: str | None = None,
 ) -> DataFrame:
-    """Add the total of ``value`` over all earlier rows of the same key.
+    """Add the total of ``value`` over all earlier rows (of the same keys).
 
-    ``order`` must be a total order within a key, ``slice_by`` monotone in it, and the
-    keys not NULL.  The window over slice totals holds one row per slice, not per row.
+    ``order`` must be a total order, ``slice_by`` monotone in it, and the keys not NULL.
+    The window over slice totals holds one row per slice, not per row.
     """
     sliced = df.withColumns({"_slice": slice_by, "_value": value})
     group = [*keys, "_slice"]
@@ -61,8 +108,6 @@ def running_total(
     )
     local = sliced.withColumn("_local", F.coalesce(F.sum("_value").over(inside), F.lit(0)))
     joined = local.join(starts, group).withColumn(out, F.col("_start") + F.col("_local"))
-    if keep_slice:
-        joined = joined.withColumn(keep_slice, F.col("_slice"))
     return joined.drop("_slice", "_value", "_local", "_start")
 
 
@@ -71,13 +116,10 @@ def number_rows(
     order: Sequence[str],
     slice_by: Column,
     keys: Sequence[str] = (),
-    out: str = "step_id",
-    keep_slice: str | None = None,
+    out: str = "position",
 ) -> DataFrame:
-    """Number rows 1..N within a key (or over the whole table when ``keys`` is empty)."""
-    numbered = running_total(
-        df, F.lit(1).cast("long"), order, slice_by, keys, out=out, keep_slice=keep_slice
-    )
+    """Number rows 1..N over the whole table, or within ``keys`` of few values."""
+    numbered = running_total(df, F.lit(1).cast("long"), order, slice_by, keys, out=out)
     return numbered.withColumn(out, F.col(out) + 1)
 
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stepwell.functions import text as T
@@ -95,100 +95,90 @@ def step_facts(
     """
     roles = roles or canonical_roles()
     step = F.col("step_id").cast("long")
-    none = F.lit(0).cast("long")
 
-    def at(condition: Column, value: Column = step) -> Column:
-        return F.when(F.coalesce(condition, F.lit(False)), value).otherwise(none)
+    def at(condition: Column) -> Column:
+        return F.when(condition, step).otherwise(0)
 
     flags = steps.select(
-        key,
+        F.col(key).alias("_key"),
         (chunk if chunk is not None else slice_by_position(step - 1)).alias("_chunk"),
         F.coalesce(roles.loop_source, F.lit("")).alias("_source"),
         step.alias("_step"),
-        # two independent 64-bit hashes stand for the signature text
-        F.when(roles.signature.isNotNull(), F.xxhash64(roles.signature)).alias("_h1"),
-        F.when(roles.signature.isNotNull(), F.xxhash64(F.lit(7), roles.signature)).alias("_h2"),
+        roles.signature.alias("_signature"),
         at(roles.is_error).alias("_error"),
         at(roles.is_agent).alias("_agent"),
-        at(roles.speaks, step * 2 + F.when(roles.gives_up, 1).otherwise(0)).alias("_said"),
+        F.when(roles.speaks, step * 2 + roles.gives_up.cast("int")).otherwise(0).alias("_said"),
         at(roles.has_calls).alias("_call"),
         at(roles.has_results).alias("_result"),
+    ).selectExpr(
+        "* except (_signature)",
+        # two independent 64-bit hashes stand for the signature text
+        "if(_signature IS NOT NULL, xxhash64(_signature), NULL) AS _h1",
+        "if(_signature IS NOT NULL, xxhash64(7, _signature), NULL) AS _h2",
     )
+    lasts = [F.expr(f"max({c}) AS {c}") for c in ("_error", "_agent", "_said", "_call", "_result")]
 
     # 1. runs of equal signatures inside a chunk
-    w = Window.partitionBy(key, "_source", "_chunk").orderBy("_step")
-    starts = F.coalesce(
-        (F.col("_h1") != F.lag("_h1").over(w)) | (F.col("_h2") != F.lag("_h2").over(w)), F.lit(True)
-    )
+    within = "OVER (PARTITION BY _key, _source, _chunk ORDER BY _step)"
     runs = (
-        flags.withColumn("_starts", starts.cast("int"))
-        .withColumn("_run", F.sum("_starts").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-        .groupBy(key, "_source", "_chunk", "_run")
+        flags.selectExpr(
+            "*",
+            f"coalesce(_h1 <> lag(_h1) {within} OR _h2 <> lag(_h2) {within}, true) AS _starts",
+        )
+        .selectExpr("*", f"sum(int(_starts)) {within} AS _run")
+        .groupBy("_key", "_source", "_chunk", "_run")
         .agg(
-            F.min("_step").alias("_from"),
-            F.count("*").alias("_n"),
-            F.count("_h1").alias("_len"),
-            F.min("_h1").alias("_h1"),
-            F.min("_h2").alias("_h2"),
-            *[F.max(c).alias(c) for c in ("_error", "_agent", "_said", "_call", "_result")],
+            F.expr("min(_step) AS _from"),
+            F.expr("count(*) AS _n"),
+            F.expr("count(_h1) AS _len"),
+            F.expr("min(_h1) AS _h1"),
+            F.expr("min(_h2) AS _h2"),
+            *lasts,
         )
     )
     # 2. per chunk: inner maximum, and the two runs that touch its borders
-    ends = runs.groupBy(key, "_source", "_chunk").agg(
-        F.sum("_n").alias("_n"),
-        F.count("*").alias("_runs"),
-        F.max("_len").alias("_longest"),
-        *[F.min_by(c, "_from").alias(f"{c}_first") for c in ("_h1", "_h2", "_len")],
-        *[F.max_by(c, "_from").alias(f"{c}_last") for c in ("_h1", "_h2", "_len")],
-        *[F.max(c).alias(c) for c in ("_error", "_agent", "_said", "_call", "_result")],
+    ends = runs.groupBy("_key", "_source", "_chunk").agg(
+        F.expr("sum(_n) AS _n"),
+        F.expr("count(*) AS _runs"),
+        F.expr("max(_len) AS _longest"),
+        *[F.expr(f"min_by({c}, _from) AS {c}_first") for c in ("_h1", "_h2", "_len")],
+        *[F.expr(f"max_by({c}, _from) AS {c}_last") for c in ("_h1", "_h2", "_len")],
+        *lasts,
     )
     # 3. runs that go on across chunk borders
-    border = ends.repartition(key).select(
+    border = ends.repartition("_key").selectExpr(
         "*",
-        F.explode(
-            F.array(
-                F.struct(
-                    F.lit(0).alias("side"),
-                    F.col("_h1_first").alias("h1"),
-                    F.col("_h2_first").alias("h2"),
-                    F.col("_len_first").alias("len"),
-                ),
-                F.struct(
-                    F.lit(1).alias("side"),
-                    F.col("_h1_last").alias("h1"),
-                    F.col("_h2_last").alias("h2"),
-                    F.when(F.col("_runs") > 1, F.col("_len_last")).otherwise(none).alias("len"),
-                ),
-            )
-        ).alias("_b"),
-    )
-    v = Window.partitionBy(key, "_source").orderBy("_chunk", "_b.side")
-    breaks = F.coalesce(
-        (F.col("_b.h1") != F.lag("_b.h1").over(v))
-        | (F.col("_b.h2") != F.lag("_b.h2").over(v))
-        | ((F.col("_b.side") == 1) & (F.col("_runs") > 1)),
-        F.lit(True),
+        """inline(array(
+            struct(0 AS _side, _h1_first AS _h1, _h2_first AS _h2, _len_first AS _len),
+            struct(1 AS _side, _h1_last AS _h1, _h2_last AS _h2,
+                   if(_runs > 1, _len_last, bigint(0)) AS _len)))""",
     )
-    joined = border.withColumn("_breaks", breaks.cast("int")).withColumn(
-        "_chain", F.sum("_breaks").over(v.rowsBetween(Window.unboundedPreceding, 0))
-    )
-    chains = joined.groupBy(key, "_source", "_chain").agg(
-        F.sum("_b.len").alias("_len"),
-        F.max("_longest").alias("_longest"),
-        F.sum(F.when(F.col("_b.side") == 0, F.col("_n"))).alias("_n"),
-        *[F.max(c).alias(c) for c in ("_error", "_agent", "_said", "_call", "_result")],
+    across = "OVER (PARTITION BY _key, _source ORDER BY _chunk, _side)"
+    chains = (
+        border.selectExpr(
+            "*",
+            f"""coalesce(_h1 <> lag(_h1) {across} OR _h2 <> lag(_h2) {across}
+                OR (_side = 1 AND _runs > 1), true) AS _breaks""",
+        )
+        .selectExpr("*", f"sum(int(_breaks)) {across} AS _chain")
+        .groupBy("_key", "_source", "_chain")
+        .agg(
+            F.expr("sum(_len) AS _len"),
+            F.expr("max(_longest) AS _longest"),
+            F.expr("sum(if(_side = 0, _n, 0)) AS _n"),
+            *lasts,
+        )
     )
-    looping = F.col("_source") != ""
-    return chains.groupBy(key).agg(
-        F.sum("_n").alias("n_steps"),
-        F.coalesce(
-            F.max(F.when(looping, F.greatest("_len", "_longest"))), F.lit(0)
-        ).alias("longest_run"),
-        F.max("_error").alias("last_error"),
-        F.max("_agent").alias("last_agent"),
-        (F.pmod(F.max("_said"), F.lit(2)) == 1).alias("last_said_gives_up"),
-        F.max("_call").alias("last_call"),
-        F.max("_result").alias("last_result"),
+    return chains.groupBy(F.col("_key").alias(key)).agg(
+        F.expr("sum(_n) AS n_steps"),
+        F.expr(
+            "coalesce(max(if(_source <> '', greatest(_len, _longest), NULL)), 0) AS longest_run"
+        ),
+        F.expr("max(_error) AS last_error"),
+        F.expr("max(_agent) AS last_agent"),
+        F.expr("pmod(max(_said), 2) = 1 AS last_said_gives_up"),
+        F.expr("max(_call) AS last_call"),
+        F.expr("max(_result) AS last_result"),
     )
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stepwell.functions.outcomes import EVENT_SCHEMA, LABEL_NAMES
-from stepwell.operators.sequencing import number_rows, slice_by_time
+from stepwell.operators.sequencing import number_in_key
 from stepwell.operators.signals import StepRoles
 from stepwell.sources.sessions import CALLS, RESULTS
 
@@ -39,14 +39,15 @@ CONVERSATION_STEPS_SQL = """conv AS (
 
 
 def numbered_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events with their position in the trace of their user; ``chunk`` is the day."""
-    return number_rows(
-        table(spark, sf_dir, "events"),
+    """Events with their position in the trace of their user; ``chunk`` is the slice."""
+    events = table(spark, sf_dir, "events").withColumn("trace_id", F.col("user_id").cast("string"))
+    return number_in_key(
+        events,
+        "trace_id",
         ["ts", "event_id"],
-        slice_by_time(F.col("ts")),
-        keys=["user_id"],
+        F.unix_micros(F.col("ts").cast("timestamp")),
         keep_slice="chunk",
-    ).withColumn("trace_id", F.col("user_id").cast("string"))
+    )
 
 
 def event_steps(spark: SparkSession, sf_dir: str) -> DataFrame:

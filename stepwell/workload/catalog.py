@@ -13,17 +13,18 @@ from stepwell.workload import query
 from stepwell.workload import bindings as B
 
 TRACES = f"WITH {B.ORDER_TRACES_SQL}"
-LIST = ", ".join(c for c in C.LIST_COLUMNS if c != "ingested_at")
+# unknown counts and outcomes are shown as -1
+COUNTS = ("num_steps", "num_tool_calls", "has_error")
+SHOWN = [
+    f"coalesce({c}, -1) AS {c}" if c in COUNTS else c for c in C.LIST_COLUMNS if c != "ingested_at"
+]
 
 
 def listed(df):
-    return df.select(
-        *[c for c in C.LIST_COLUMNS if c != "ingested_at"],
-        F.expr("unix_micros(ingested_at)").alias("ingested_us"),
-    )
+    return df.selectExpr(*SHOWN, "unix_micros(ingested_at) AS ingested_us")
 
 
-SELECT = f"SELECT {LIST}, epoch_us(ingested_at) AS ingested_us FROM traces"
+SELECT = f"SELECT {', '.join(SHOWN)}, epoch_us(ingested_at) AS ingested_us FROM traces"
 
 
 def _filtered(name: str, where: str, f: TraceFilter) -> None:
@@ -122,7 +123,7 @@ def get_trace(spark, sf_dir):
     f"""WITH {B.ORDER_TRACES_SQL}, hits AS (
         SELECT CAST(vec_id AS VARCHAR) AS trace_id, row_number() OVER (ORDER BY vec_id DESC) AS rank
         FROM embeddings)
-    SELECT rank, trace_id, source_format, agent_name, num_steps
+    SELECT rank, trace_id, source_format, agent_name, coalesce(num_steps, -1) AS num_steps
     FROM hits JOIN traces ON hits.trace_id = traces.id""",
 )
 def hydrate(spark, sf_dir):
@@ -131,8 +132,8 @@ def hydrate(spark, sf_dir):
     hits = B.table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").cast("string").alias("trace_id"), (last - F.col("vec_id") + 1).alias("rank")
     )
-    return C.hydrate(hits, B.order_traces(spark, sf_dir)).select(
-        "rank", "trace_id", "source_format", "agent_name", "num_steps"
+    return C.hydrate(hits, B.order_traces(spark, sf_dir)).selectExpr(
+        "rank", "trace_id", "source_format", "agent_name", "coalesce(num_steps, -1) AS num_steps"
     )
 
 
@@ -224,8 +225,8 @@ VALID_SQL = """CASE WHEN NOT has_events THEN NULL WHEN NOT two_events THEN true
 @query(
     "validate_events",
     f"""WITH {B.ORDER_TRACES_SQL}, v AS (SELECT *, {VALID_SQL} AS valid FROM traces)
-    SELECT id, coalesce(valid, false) AS valid, CAST(CASE WHEN valid THEN CASE WHEN two_events THEN 2 ELSE 0 END END AS INTEGER) AS n_events,
-           CASE WHEN valid AND two_events AND recovered_1 THEN recovery_1 END::INTEGER AS recovery_1 FROM v""",
+    SELECT id, coalesce(valid, false) AS valid, CAST(CASE WHEN valid THEN CASE WHEN two_events THEN 2 ELSE 0 END ELSE -1 END AS INTEGER) AS n_events,
+           (CASE WHEN valid AND two_events AND recovered_1 THEN recovery_1 ELSE -1 END)::INTEGER AS recovery_1 FROM v""",
 )
 def validate_events(spark, sf_dir):
     clean = outcomes.validate_events(F.col("failure_events"))
@@ -235,8 +236,8 @@ def validate_events(spark, sf_dir):
         .selectExpr(
             "id",
             "clean IS NOT NULL AS valid",
-            "if(clean IS NULL, NULL, size(clean)) AS n_events",
-            "get(clean, 0).recovery_step AS recovery_1",
+            "if(clean IS NULL, -1, size(clean)) AS n_events",
+            "coalesce(get(clean, 0).recovery_step, -1) AS recovery_1",
         )
     )
 
@@ -373,15 +374,14 @@ def backfill_provenance(spark, sf_dir):
 
 @query(
     "backfill_outcome",
-    f"""{TRACES} SELECT id, CASE WHEN source_format = 'swe_agent' THEN
+    f"""{TRACES} SELECT id, coalesce(CASE WHEN source_format = 'swe_agent' THEN
         coalesce(ultimately_succeeded, CASE WHEN has_error IS NULL THEN 1 ELSE 1 - has_error END)
-        ELSE ultimately_succeeded END AS ultimately_succeeded FROM traces""",
+        ELSE ultimately_succeeded END, -1) AS ultimately_succeeded FROM traces""",
 )
 def backfill_outcome(spark, sf_dir):
     target = F.coalesce(F.col("has_error") == 0, F.lit(True))
-    return upserts.backfill_outcome(B.order_traces(spark, sf_dir), target).select(
-        "id", "ultimately_succeeded"
-    )
+    filled = upserts.backfill_outcome(B.order_traces(spark, sf_dir), target)
+    return filled.selectExpr("id", "coalesce(ultimately_succeeded, -1) AS ultimately_succeeded")
 
 
 @query(
