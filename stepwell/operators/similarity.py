@@ -14,11 +14,10 @@ All three return the same rows.  Ties are broken by id; similarities count as eq
 they agree to twelve decimals.
 """
 
-from __future__ import annotations
-
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -191,7 +190,7 @@ def top_k_similar(queries: DataFrame, candidates: DataFrame, k: int = 10) -> Dat
         return rank_hits(_few_candidates(queries, candidates, dim, k), k)
     if _fits(queries, dim):
         return rank_hits(_few_queries(queries, candidates, dim, k), k)
-    return rank_hits(_by_pivot_groups(queries, candidates, dim, k), k)
+    return rank_hits(by_pivot_groups(queries, candidates, dim, k), k)
 
 
 def _few_candidates(queries: DataFrame, candidates: DataFrame, dim: int, k: int) -> DataFrame:
@@ -345,7 +344,8 @@ def _visit(routed: DataFrame, members: DataFrame, parts: np.ndarray, dim: int, k
     return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(run, HITS)
 
 
-def _by_pivot_groups(queries: DataFrame, candidates: DataFrame, dim: int, k: int) -> DataFrame:
+def by_pivot_groups(queries: DataFrame, candidates: DataFrame, dim: int, k: int) -> DataFrame:
+    """Hits of every query when neither side may be broadcast."""
     n = candidates.count()
     wanted = int(np.clip(np.sqrt(n), 1, MAX_PIVOTS))
     # a bounded, deterministic pick: the ids with the smallest hashes
@@ -383,12 +383,22 @@ def decode_packed(packed: DataFrame, column: str = "embedding") -> DataFrame:
     """Import of vectors stored as packed little-endian float32 bytes."""
 
     @F.pandas_udf("array<float>")
-    def decode(blobs):
+    def decode(blobs: pd.Series) -> pd.Series:
         return blobs.map(lambda b: None if b is None else np.frombuffer(b, dtype="<f4"))
 
     return packed.withColumn(column, decode(F.col(column)))
 
 
+def pack(vectors: DataFrame, column: str = "embedding") -> DataFrame:
+    """Export of vectors as packed little-endian float32 bytes."""
+
+    @F.pandas_udf("binary")
+    def encode(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: None if v is None else np.asarray(v, dtype="<f4").tobytes())
+
+    return vectors.withColumn(column, encode(F.col(column)))
+
+
 def vectorize(texts: DataFrame, dim: int = 256) -> DataFrame:
     """Offline text -> unit vector (trace_id, text -> trace_id, embedding).
 
