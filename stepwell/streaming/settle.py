@@ -33,12 +33,15 @@ def settled_stream(
     """Streaming form in event time: (path, first_write, last_write, writes) per burst.
 
     A burst is emitted once the watermark has passed its end.  A write that arrives later
-    than ``delay`` opens a new burst, and ingesting a file twice is harmless.
+    than ``delay`` opens a new burst, and ingesting a file twice is harmless.  Session
+    windows that touch are merged, so the gap is a microsecond short of the debounce: a
+    write after exactly the debounce time opens a new burst.
     """
+    gap = f"{debounce * 1_000_000 - 1} microseconds"
     return (
         watched(changes, suffix)
         .withWatermark("event_ts", f"{delay} seconds")
-        .groupBy(F.session_window("event_ts", f"{debounce} seconds"), "path")
+        .groupBy(F.session_window("event_ts", gap), "path")
         .agg(
             F.min("event_ts").alias("first_write"),
             F.max("event_ts").alias("last_write"),
