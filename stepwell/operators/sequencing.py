@@ -74,7 +74,8 @@ def number_in_key(
         )
     )
     w = Window.partitionBy(key, "_slice").orderBy(*order)
-    local = marked.withColumn("_local", F.row_number().over(w))
+    # explicit, so that rows which arrive hashed by key are split as well
+    local = marked.repartition(key, "_slice").withColumn("_local", F.row_number().over(w))
     numbered = local.join(
         F.broadcast(starts), (F.col(key) == F.col("_hot")) & (F.col("_slice") == F.col("_part")), "left"
     ).withColumn(out, F.expr("_local + coalesce(_start, 0)"))
@@ -106,7 +107,9 @@ def running_total(
     inside = (
         Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     )
-    local = sliced.withColumn("_local", F.coalesce(F.sum("_value").over(inside), F.lit(0)))
+    local = sliced.repartition(*group).withColumn(
+        "_local", F.coalesce(F.sum("_value").over(inside), F.lit(0))
+    )
     joined = local.join(starts, group).withColumn(out, F.col("_start") + F.col("_local"))
     return joined.drop("_slice", "_value", "_local", "_start")
 

@@ -91,7 +91,9 @@ def step_facts(
 
     Rows are shuffled once, by (trace, source, chunk).  Per chunk a handful of numbers
     remains and only those are shuffled by trace, so a trace of any length spreads over
-    many tasks.  ``chunk`` must be monotone in ``step_id``.
+    many tasks.  A caller that has already partitioned the steps by pieces of a trace
+    passes those pieces as ``chunk`` (monotone in ``step_id``); otherwise the steps are
+    repartitioned here, also when they arrive hashed by trace.
     """
     roles = roles or canonical_roles()
     step = F.col("step_id").cast("long")
@@ -116,6 +118,8 @@ def step_facts(
         "if(_signature IS NOT NULL, xxhash64(_signature), NULL) AS _h1",
         "if(_signature IS NOT NULL, xxhash64(7, _signature), NULL) AS _h2",
     )
+    if chunk is None:
+        flags = flags.repartition("_key", "_chunk")
     lasts = [F.expr(f"max({c}) AS {c}") for c in ("_error", "_agent", "_said", "_call", "_result")]
 
     # 1. runs of equal signatures inside a chunk

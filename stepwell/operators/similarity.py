@@ -27,6 +27,7 @@ from stepwell.session import cut_lineage
 EPS = 1e-12
 TIE_DECIMALS = 12
 SMALL_SIDE_VALUES = 16_000_000  # vector values in a broadcast side: 128 MB as float64
+SMALL_SIDE_ROWS = 250_000
 BLOCK_ROWS = 4096
 MAX_PIVOTS = 1024
 SCORE_CELLS = 8_000_000  # scores held at once inside a task
@@ -169,9 +170,19 @@ def rank_hits(hits: DataFrame, k: int) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def _fits(df: DataFrame, dim: int) -> bool:
-    limit = SMALL_SIDE_VALUES // max(1, dim)
-    return df.select("embedding").limit(limit + 1).count() <= limit
+def _size(df: DataFrame) -> tuple[int, int]:
+    """(rows, vector size); rows are counted up to one more than a small side may have."""
+    found = (
+        df.select(F.size("embedding").alias("dim"))
+        .limit(SMALL_SIDE_ROWS + 1)
+        .agg(F.count("*").alias("n"), F.max("dim").alias("dim"))
+        .first()
+    )
+    return found["n"], found["dim"] or 0
+
+
+def _fits(n: int, dim: int) -> bool:
+    return n <= SMALL_SIDE_ROWS and n * dim <= SMALL_SIDE_VALUES
 
 
 def top_k_similar(queries: DataFrame, candidates: DataFrame, k: int = 10) -> DataFrame:
@@ -182,13 +193,12 @@ def top_k_similar(queries: DataFrame, candidates: DataFrame, k: int = 10) -> Dat
     """
     queries = queries.select(F.col("trace_id").cast("string").alias("query_id"), "embedding")
     candidates = candidates.select(F.col("trace_id").cast("string"), "embedding")
-    first = candidates.select(F.size("embedding").alias("dim")).first()
-    if first is None:
+    n, dim = _size(candidates)
+    if n == 0:
         return rank_hits(queries.sparkSession.createDataFrame([], HITS), k)
-    dim = first["dim"]
-    if _fits(candidates, dim):
+    if _fits(n, dim):
         return rank_hits(_few_candidates(queries, candidates, dim, k), k)
-    if _fits(queries, dim):
+    if _fits(_size(queries)[0], dim):
         return rank_hits(_few_queries(queries, candidates, dim, k), k)
     return rank_hits(by_pivot_groups(queries, candidates, dim, k), k)
 

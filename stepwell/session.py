@@ -32,6 +32,8 @@ def local_session(cpus: int | str = "*", app: str = "stepwell") -> SparkSession:
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.sql.shuffle.partitions", str(parallel))
+        # small tables: let a stage keep several tasks although little is shuffled
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "128KB")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )
