@@ -13,6 +13,11 @@ MISSING = "<missing>"
 EMBEDDING_PRICE = 0.02
 CHARS_PER_TOKEN = 4
 
+# Tokens per generated trace, the shared part of its prompt, its output.
+GENERATION_INPUT = 4_500
+GENERATION_SHARED = 3_500
+GENERATION_OUTPUT = 7_000
+
 
 def _total(condition: Column) -> Column:
     return F.coalesce(F.sum(condition.cast("long")), F.lit(0))
@@ -107,6 +112,18 @@ def precision_recall_f1(cells: DataFrame) -> DataFrame:
     )
 
 
+def report_lines(rates: DataFrame) -> DataFrame:
+    """Rows of a Markdown table: counts, then rates with two digits or n/a."""
+
+    cells = ["concat('`', signal, '`')", "tp", "fp", "fn", "tn"]
+    for rate in ("precision", "recall", "f1"):
+        # only eighths can be exact ties; those go to the even digit
+        even = f"if({rate} * 8 = floor({rate} * 8), bround({rate}, 2), {rate})"
+        cells.append(f"if({rate} IS NULL, 'n/a', format_string('%.2f', {even}))")
+    joined = ", ' | ', ".join(cells)
+    return rates.selectExpr("signal", f"concat('| ', {joined}, ' |') AS line")
+
+
 def attach_truth(hits: DataFrame, truth: DataFrame) -> DataFrame:
     """Ground truth of ranked hits; NULL truth means the hit cannot be scored."""
     return hits.join(truth, "trace_id", "left")
@@ -292,5 +309,28 @@ def project_call_cost(
     ).withColumn("worst_case_usd", F.col("cost_usd") * worst_case)
 
 
+def project_generation_cost(specs: DataFrame, output_format: str = "output_format") -> DataFrame:
+    """Projected cost of generating one trace per spec.
+
+    The shared part of a prompt is written to the cache once per format and read from it
+    by every other call; the rest is paid for in full; outputs allow for retries.
+    """
+    live = GENERATION_INPUT - GENERATION_SHARED
+    counted = specs.agg(
+        F.count("*").alias("specs"), F.count_distinct(output_format).alias("formats")
+    )
+    tokens = counted.select(
+        "specs",
+        (F.col("specs") * live).alias("input_tokens"),
+        (F.col("formats") * GENERATION_SHARED).alias("cache_write_tokens"),
+        ((F.col("specs") - F.col("formats")) * GENERATION_SHARED).alias("cache_read_tokens"),
+        F.floor(F.col("specs") * GENERATION_OUTPUT * 1.1).alias("output_tokens"),
+    )
+    cost = outcomes.cost_usd(
+        {n: F.col(f"{n}_tokens") for n in outcomes.GENERATION_PRICES}, outcomes.GENERATION_PRICES
+    )
+    return tokens.withColumn("cost_usd", F.round(cost, 2))
+
+
 def top_n(results: DataFrame, column: str, n: int, tie: str) -> DataFrame:
     return results.orderBy(F.col(column).desc_nulls_last(), F.col(tie).asc()).limit(n)

@@ -26,6 +26,11 @@ def first_n_per_stratum(
     return unique.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
 
 
+def write_extract(df: DataFrame, stratum: str, folder: str) -> None:
+    """Write a stratified extract as JSON lines, one folder per stratum."""
+    df.write.mode("overwrite").partitionBy(stratum).json(folder)
+
+
 def judge_sample(
     traces: DataFrame, rate: float = 0.10, seed: int = 42, rejudge: bool = False
 ) -> DataFrame:

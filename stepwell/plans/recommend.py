@@ -58,3 +58,18 @@ def recommend(
             "recoveries",
         )
     )
+
+
+def recommendation_lists(traces: DataFrame, recommendations: DataFrame) -> DataFrame:
+    """One list per failed trace, empty when nothing was found; other traces have no row.
+
+    A list holds at most k entries.
+    """
+    entry = F.struct("rank", "hit_id", "similarity", "source_format", "agent_name", "recoveries")
+    lists = recommendations.groupBy("trace_id").agg(
+        F.array_sort(F.collect_list(entry)).alias("recommendations")
+    )
+    failed = traces.filter(F.col("has_error") == 1).select(F.col("id").alias("trace_id"))
+    return failed.join(lists, "trace_id", "left").withColumn(
+        "recommendations", F.coalesce("recommendations", F.array())
+    )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import islice
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,21 +10,36 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from stepwell.plans.enrich import signal_pass
-from stepwell.plans.ingest import ingest
+from stepwell.plans.ingest import Ingested, ingest
 from stepwell.plans.tables import write_batch
 from stepwell.sources.files import raw_columns, read_sessions, staged_path
 
 PATHS_PER_READ = 10_000
 
 
-def ingest_batch(raw: DataFrame, out: str, batch_id: int, roots: dict[str, str] | None = None) -> None:
-    """Ingest one batch of raw files and write its tables.
+Passes = Callable[[Ingested], DataFrame]
 
-    Files that cannot be normalised become raw-only trace rows; none of them can fail the
-    batch.  Writing the same batch again replaces it.
+
+def signals_only(done: Ingested) -> DataFrame:
+    return signal_pass(done.traces, done.trajectories, done.steps)
+
+
+def ingest_batch(
+    raw: DataFrame,
+    out: str,
+    batch_id: int,
+    roots: dict[str, str] | None = None,
+    passes: Passes = signals_only,
+) -> None:
+    """Ingest one batch of raw files, enrich it and write its tables.
+
+    ``passes`` turns the ingested tables into the traces to write; a caller with labels,
+    events or vectors chains ``plans.enrich.enrich`` there.  Files that cannot be
+    normalised become raw-only trace rows; none of them can fail the batch.  Writing the
+    same batch again replaces it.
     """
     done = ingest(raw, bronze=f"{out}/raw/batch_id={batch_id}")
-    traces = signal_pass(done.traces, done.trajectories, done.steps)
+    traces = passes(done)
     if roots:
         traces = traces.withColumn("staged_path", staged_path(F.col("path"), roots))
     write_batch(done.trajectories, f"{out}/trajectories", batch_id)
@@ -41,6 +56,7 @@ def sync_folder(
     roots: dict[str, str] | None = None,
     files_per_batch: int = 10_000,
     once: bool = True,
+    passes: Passes = signals_only,
 ) -> StreamingQuery:
     """Ingest all files of a folder that were not ingested before.
 
@@ -56,7 +72,7 @@ def sync_folder(
         .select(*raw_columns())
     )
     writer = files.writeStream.option("checkpointLocation", checkpoint).foreachBatch(
-        lambda batch, batch_id: ingest_batch(batch, out, batch_id, roots)
+        lambda batch, batch_id: ingest_batch(batch, out, batch_id, roots, passes)
     )
     return (writer.trigger(availableNow=True) if once else writer).start()
 
@@ -67,7 +83,11 @@ def _groups(paths: Iterator[str]) -> Iterator[list[str]]:
 
 
 def ingest_settled(
-    spark: SparkSession, settled: DataFrame, out: str, checkpoint: str
+    spark: SparkSession,
+    settled: DataFrame,
+    out: str,
+    checkpoint: str,
+    passes: Passes = signals_only,
 ) -> StreamingQuery:
     """Ingest files as they settle (``settled``: a stream with a path column).
 
@@ -77,6 +97,8 @@ def ingest_settled(
     def run(batch: DataFrame, batch_id: int) -> None:
         paths = (row["path"] for row in batch.select("path").distinct().toLocalIterator())
         for part, group in enumerate(_groups(paths)):
-            ingest_batch(read_sessions(spark, group), out, batch_id * 1_000_000 + part)
+            ingest_batch(
+                read_sessions(spark, group), out, batch_id * 1_000_000 + part, passes=passes
+            )
 
     return settled.writeStream.option("checkpointLocation", checkpoint).foreachBatch(run).start()

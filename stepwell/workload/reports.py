@@ -55,6 +55,31 @@ def precision_recall_f1(spark, sf_dir):
     return rates.select("signal", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
 
 
+@query(
+    "validation_report",
+    f"""WITH {PREDICTIONS_SQL}, r AS (SELECT *, tp / nullif(tp + fp, 0) AS p, tp / nullif(tp + fn, 0) AS r FROM cells),
+    f AS (SELECT *, 2 * p * r / nullif(p + r, 0) AS f1 FROM r)
+    SELECT signal, '| `' || signal || '` | ' || tp || ' | ' || fp || ' | ' || fn || ' | ' || tn || ' | '
+        || coalesce(format('{{:.2f}}', p), 'n/a') || ' | ' || coalesce(format('{{:.2f}}', r), 'n/a') || ' | '
+        || coalesce(format('{{:.2f}}', f1), 'n/a') || ' |' AS line FROM f""",
+)
+def validation_report(spark, sf_dir):
+    return R.report_lines(R.precision_recall_f1(R.confusion(predictions(spark, sf_dir), SIGNALS)))
+
+
+@query(
+    "generation_cost",
+    f"""WITH {B.ORDER_TRACES_SQL}, c AS (SELECT count(*) AS specs, count(DISTINCT source_format) AS formats FROM traces),
+    t AS (SELECT specs, specs * 1000 AS input_tokens, formats * 3500 AS cache_write_tokens,
+          (specs - formats) * 3500 AS cache_read_tokens,
+          CAST(floor(specs * 7000 * 1.1::DOUBLE) AS BIGINT) AS output_tokens FROM c)
+    SELECT *, round((input_tokens * 3.0::DOUBLE + cache_write_tokens * 3.75::DOUBLE + cache_read_tokens * 0.3::DOUBLE
+        + output_tokens * 15.0::DOUBLE) / 1000000, 2) AS cost_usd FROM t""",
+)
+def generation_cost(spark, sf_dir):
+    return R.project_generation_cost(B.order_traces(spark, sf_dir), "source_format")
+
+
 @query(
     "count_by_path",
     """SELECT coalesce(CASE WHEN n_chars > 200 THEN lang END, '<missing>') AS value, count(*) AS n

@@ -147,7 +147,7 @@ def conversation_facts(spark, sf_dir):
     joined AS (SELECT *, chr(10) || chr(10) || 'Conversation:' || chr(10) AS joint FROM parts)
     SELECT trace_id, CASE WHEN length(header || joint || body) <= 1500 THEN header || joint || body
         WHEN 1500 - length(header) - length(joint) - 32 <= 0 THEN {truncated('header', 1500)}
-        ELSE header || joint || rtrim(left(body, 1500 - length(header) - length(joint) - 32)) || chr(10) || '(... truncated ...)' END AS text
+        ELSE header || joint || rtrim(left(body, 1500 - length(header) - length(joint) - 32), E' \\t\\n\\r') || chr(10) || '(... truncated ...)' END AS text
     FROM joined""",
 )
 def searchable_text(spark, sf_dir):

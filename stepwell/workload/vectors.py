@@ -127,6 +127,30 @@ def recommendations(spark, sf_dir):
     return found.withColumn("n_recoveries", F.size("recoveries")).drop("recoveries")
 
 
+@query(
+    "recommendation_lists",
+    f"""WITH {VEC}, {B.ORDER_TRACES_SQL},
+    pairs AS (
+        SELECT a.trace_id, h.recovered_1 OR trim(h.summary_2) <> '' AS useful, b.trace_id AS hit_id,
+               round(list_cosine_similarity(a.v, b.v), 12) AS s
+        FROM vec a JOIN traces f ON a.trace_id = f.id AND f.has_error = 1
+        JOIN vec b ON a.vec_id <> b.vec_id
+        JOIN traces h ON b.trace_id = h.id AND h.two_events AND (h.recovered_1 OR h.recovered_2)),
+    top AS (SELECT * FROM pairs QUALIFY row_number() OVER (PARTITION BY trace_id ORDER BY s DESC, hit_id) <= 10),
+    lists AS (SELECT trace_id, count(*)::INTEGER AS n, arg_max(hit_id, s) AS best FROM top WHERE useful GROUP BY 1)
+    SELECT traces.id AS trace_id, coalesce(n, 0) AS n, coalesce(best, '') AS best
+    FROM traces LEFT JOIN lists ON lists.trace_id = traces.id WHERE has_error = 1""",
+)
+def recommendation_lists(spark, sf_dir):
+    traces = B.order_traces(spark, sf_dir)
+    lists = rec.recommendation_lists(traces, rec.recommend(traces, B.vectors(spark, sf_dir)))
+    return lists.selectExpr(
+        "trace_id",
+        "size(recommendations) AS n",
+        "coalesce(get(recommendations, 0).hit_id, '') AS best",
+    )
+
+
 @query(
     "precision_at_k",
     f"""WITH {VEC},
