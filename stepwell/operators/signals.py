@@ -81,29 +81,19 @@ def register_signal(name: str, builder: SignalBuilder) -> None:
     SIGNALS[name] = builder
 
 
-def step_facts(
-    steps: DataFrame,
-    key: str = "trace_id",
-    roles: StepRoles | None = None,
-    chunk: Column | None = None,
-) -> DataFrame:
-    """One row of facts per trace: counts, last positions and the longest run.
+# signals that can do without ``longest_run``
+POSITION_SIGNALS = ("hit_max_turns", "ended_on_error", "abandonment", "incomplete_session")
 
-    Rows are shuffled once, by (trace, source, chunk).  Per chunk a handful of numbers
-    remains and only those are shuffled by trace, so a trace of any length spreads over
-    many tasks.  A caller that has already partitioned the steps by pieces of a trace
-    passes those pieces as ``chunk`` (monotone in ``step_id``); otherwise the steps are
-    repartitioned here, also when they arrive hashed by trace.
-    """
-    roles = roles or canonical_roles()
+
+def _flags(steps: DataFrame, key: str, roles: StepRoles, chunk: Column) -> DataFrame:
     step = F.col("step_id").cast("long")
 
     def at(condition: Column) -> Column:
         return F.when(condition, step).otherwise(0)
 
-    flags = steps.select(
+    return steps.select(
         F.col(key).alias("_key"),
-        (chunk if chunk is not None else slice_by_position(step - 1)).alias("_chunk"),
+        chunk.alias("_chunk"),
         F.coalesce(roles.loop_source, F.lit("")).alias("_source"),
         step.alias("_step"),
         roles.signature.alias("_signature"),
@@ -112,7 +102,45 @@ def step_facts(
         F.when(roles.speaks, step * 2 + roles.gives_up.cast("int")).otherwise(0).alias("_said"),
         at(roles.has_calls).alias("_call"),
         at(roles.has_results).alias("_result"),
-    ).selectExpr(
+    )
+
+
+def _last_positions() -> list[Column]:
+    return [
+        F.expr("max(_error) AS last_error"),
+        F.expr("max(_agent) AS last_agent"),
+        F.expr("pmod(max(_said), 2) = 1 AS last_said_gives_up"),
+        F.expr("max(_call) AS last_call"),
+        F.expr("max(_result) AS last_result"),
+    ]
+
+
+def position_facts(
+    steps: DataFrame, key: str = "trace_id", roles: StepRoles | None = None
+) -> DataFrame:
+    """The facts of :func:`step_facts` without the runs: one aggregation, combined map-side."""
+    flags = _flags(steps, key, roles or canonical_roles(), F.lit(0))
+    return flags.groupBy(F.col("_key").alias(key)).agg(
+        F.expr("count(*) AS n_steps"), *_last_positions()
+    )
+
+
+def step_facts(
+    steps: DataFrame,
+    key: str = "trace_id",
+    roles: StepRoles | None = None,
+    chunk: Column | None = None,
+) -> DataFrame:
+    """One row of facts per trace: counts, last positions and the longest run.
+
+    Rows are shuffled once, by (trace, source, chunk).  Per chunk a handful of numbers
+    remains and only those are shuffled by trace, so a trace of any length spreads over
+    many tasks.  A caller that has already partitioned the steps by pieces of a trace
+    passes those pieces as ``chunk`` (monotone in ``step_id``); otherwise the steps are
+    repartitioned here, also when they arrive hashed by trace.
+    """
+    pieces = chunk if chunk is not None else slice_by_position(F.col("step_id").cast("long") - 1)
+    flags = _flags(steps, key, roles or canonical_roles(), pieces).selectExpr(
         "* except (_signature)",
         # two independent 64-bit hashes stand for the signature text
         "if(_signature IS NOT NULL, xxhash64(_signature), NULL) AS _h1",
@@ -178,11 +206,7 @@ def step_facts(
         F.expr(
             "coalesce(max(if(_source <> '', greatest(_len, _longest), NULL)), 0) AS longest_run"
         ),
-        F.expr("max(_error) AS last_error"),
-        F.expr("max(_agent) AS last_agent"),
-        F.expr("pmod(max(_said), 2) = 1 AS last_said_gives_up"),
-        F.expr("max(_call) AS last_call"),
-        F.expr("max(_result) AS last_result"),
+        *_last_positions(),
     )
 
 
@@ -200,7 +224,11 @@ def compute_signals(
     ``headers`` (key, exit_status) adds the context-window rule to ``ended_on_error``.
     """
     known = {**DEFAULT_PARAMETERS, **parameters}
-    facts = step_facts(steps, key, roles, chunk)
+    chosen = list(names or SIGNALS)
+    if set(chosen) <= set(POSITION_SIGNALS):
+        facts = position_facts(steps, key, roles)
+    else:
+        facts = step_facts(steps, key, roles, chunk)
     if headers is not None:
         status = headers.select(key, T.context_exhausted(F.col("exit_status")).alias("_exhausted"))
         facts = facts.join(status, key, "left").withColumn(
@@ -208,7 +236,6 @@ def compute_signals(
         )
     else:
         facts = facts.withColumn("context_exhausted", F.lit(False))
-    chosen = list(names or SIGNALS)
     signals = facts.select(
         key, *[F.coalesce(SIGNALS[n](known), F.lit(False)).alias(n) for n in chosen]
     )

@@ -356,6 +356,13 @@ def _visit(routed: DataFrame, members: DataFrame, parts: np.ndarray, dim: int, k
 
 def by_pivot_groups(queries: DataFrame, candidates: DataFrame, dim: int, k: int) -> DataFrame:
     """Hits of every query when neither side may be broadcast."""
+    # of identical vectors only the first k + 1 ids can be hits, so copies do not pile up
+    copies = Window.partitionBy(F.xxhash64("embedding"), "embedding").orderBy("trace_id")
+    candidates = cut_lineage(
+        candidates.withColumn("_copy", F.row_number().over(copies))
+        .filter(F.col("_copy") <= k + 1)
+        .drop("_copy")
+    )
     n = candidates.count()
     wanted = int(np.clip(np.sqrt(n), 1, MAX_PIVOTS))
     # a bounded, deterministic pick: the ids with the smallest hashes

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from stepwell.functions import variants as V
 from stepwell.functions.outcomes import EVENT_SCHEMA
-from stepwell.operators.upserts import last_writer
 from stepwell.session import cut_lineage
 from stepwell.sources import sessions as S
 from stepwell.sources.detect import detect_format, trace_id
@@ -82,7 +81,9 @@ def ingest(
     else:
         detected.write.mode("overwrite").partitionBy("source_format").parquet(bronze)
         detected = raw.sparkSession.read.schema(detected.schema).parquet(bronze)
-    sessions = normalize_all(detected)
+    # a handful of names: the formats that occur in this run
+    present = {r["source_format"] for r in detected.select("source_format").distinct().collect()}
+    sessions = normalize_all(detected, only=present)
     if redact is not None:
         sessions = redact_steps(sessions, redact)
     sessions = cut_lineage(sessions)
@@ -116,9 +117,15 @@ def ingest(
         *[F.lit(None).cast(kind).alias(name) for name, kind in EMPTY_COLUMNS],
         "_mtime",
     )
-    newest = last_writer(
-        traces, "id", F.struct(F.col("_mtime"), F.col("path")).desc()
-    ).drop("_mtime")
+    # the newest file per id is found on three narrow columns; the raw texts stay where
+    # the join by path has put them
+    winners = (
+        traces.select("id", "path", "_mtime")
+        .groupBy("id")
+        .agg(F.max(F.struct("_mtime", "path")).alias("_newest"))
+        .select("_newest.path")
+    )
+    newest = traces.join(winners, "path", "left_semi").drop("_mtime")
     keys = newest.filter("has_atif").select("path", F.col("id").alias("_id"))
     keyed = sessions.join(keys, "path")
     return Ingested(newest, S.trajectories_of(keyed, "_id"), S.steps_of(keyed, "_id"))

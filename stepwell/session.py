@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,13 +42,12 @@ def local_session(cpus: int | str = "*", app: str = "stepwell") -> SparkSession:
     return prepare(spark)
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the cluster names.
+def shared_folder(spark: SparkSession) -> str:
+    """Checkpoint folder of the session.
 
-    ``spark.checkpoint.dir`` is read from the session.  Only a local session that
-    has none gets a folder of its own.
+    ``spark.checkpoint.dir`` is read from the session.  Only a local session that has
+    none gets a folder of its own.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -56,4 +56,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a shared folder")
             folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def new_folder(spark: SparkSession) -> str:
+    """An unused folder name below the checkpoint folder."""
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write the rows to the checkpoint folder and go on from there."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()

@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from stepwell.plans.ingest import ingest, quality_gate
+from stepwell.plans.tables import current
+from stepwell.session import new_folder
 from stepwell.sources import claude_code, codex, cursor, native, swe_agent
 from stepwell.sources import sessions as S
 from stepwell.sources.detect import detect_format, raw_identity, trace_id
 from stepwell.sources.files import scan_json, scan_jsonl, staged_path
+from stepwell.streaming.continuous import ingest_batch
 from stepwell.workload import query
 from stepwell.workload import bindings as B
 from stepwell.workload import raw_files as W
@@ -281,3 +284,31 @@ def ingested(spark, sf_dir):
         "coalesce(num_tool_calls, -1) AS num_tool_calls",
         "coalesce(has_error, -1) AS has_error",
     )
+
+
+@query(
+    "continuous_ingest",
+    f"""WITH {W.FILES_SQL},
+    c AS (SELECT doc, count(*) AS n, count(*) FILTER (WHERE role = 'assistant') AS calls FROM turns GROUP BY 1)
+    SELECT doc AS id, 'codex' AS source_format, (n + calls)::INTEGER AS num_steps, calls::INTEGER AS num_tool_calls,
+           n + calls >= 50 AS hit_max_turns FROM c""",
+)
+def continuous_ingest(spark, sf_dir):
+    """Conversations as a stream of session files, ingested batch by batch."""
+    stored = B.table(spark, sf_dir, "conversations").schema
+    turns = spark.readStream.schema(stored).option("pathGlobFilter", "conversations.parquet").parquet(sf_dir)
+    folder = new_folder(spark)
+
+    def run(batch, batch_id):
+        ingest_batch(W.codex_files(W.files_of(batch)), f"{folder}/tables", batch_id)
+
+    stream = (
+        turns.writeStream.option("checkpointLocation", f"{folder}/progress")
+        .foreachBatch(run)
+        .trigger(availableNow=True)
+        .start()
+    )
+    stream.awaitTermination()
+    return current(spark, f"{folder}/tables/traces").select(
+        "id", "source_format", "num_steps", "num_tool_calls", "signals.hit_max_turns"
+    )

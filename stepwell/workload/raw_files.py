@@ -18,7 +18,11 @@ LONG_TURN = 600
 
 def conversation_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc, conv_id, turns): the ordered turns of each file."""
-    turns = first_per_key(table(spark, sf_dir, "conversations"), ["conv_id", "turn"], ["text"])
+    return files_of(table(spark, sf_dir, "conversations"))
+
+
+def files_of(conversations: DataFrame) -> DataFrame:
+    turns = first_per_key(conversations, ["conv_id", "turn"], ["text"])
     return (
         turns.withColumn("seg", F.expr(f"turn div {TURNS_PER_FILE}"))
         .groupBy("conv_id", "seg")

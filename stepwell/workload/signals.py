@@ -7,16 +7,18 @@ from pyspark.sql import functions as F
 from stepwell.functions import text as T
 from stepwell.operators import labels, sequencing, signals
 from stepwell.operators.signals import SIGNAL_NAMES
-from stepwell.streaming.settle import settled_batch
+from stepwell.session import new_folder
+from stepwell.streaming.settle import settled_batch, settled_stream
 from stepwell.workload import query
 from stepwell.workload import bindings as B
 
 
-def event_signals(spark, sf_dir):
+def event_signals(spark, sf_dir, names=None):
     return signals.compute_signals(
         B.numbered_events(spark, sf_dir),
         roles=B.event_roles(),
         chunk=F.col("chunk"),
+        names=names,
         max_turns=B.EVENT_TURNS,
         loop_repeat=B.EVENT_REPEAT,
     )
@@ -25,7 +27,7 @@ def event_signals(spark, sf_dir):
 def _one_signal(name: str, sql_name: str) -> None:
     @query(name, f"WITH {B.EVENT_SIGNALS_SQL} SELECT trace_id, {sql_name} FROM sig")
     def run(spark, sf_dir):
-        return event_signals(spark, sf_dir).select("trace_id", sql_name)
+        return event_signals(spark, sf_dir, [sql_name]).select("trace_id", sql_name)
 
 
 _one_signal("signal_hit_max_turns", "hit_max_turns")
@@ -196,13 +198,16 @@ def summary_label(spark, sf_dir):
     return labels.summarise_event_rows(B.failure_event_rows(spark, sf_dir))
 
 
-@query(
-    "settled_paths",
-    """WITH gaps AS (
+BURSTS_SQL = """gaps AS (
         SELECT user_id, ts, coalesce(ts - lag(ts) OVER w >= INTERVAL 6 HOUR, true) AS opens
         FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
     bursts AS (
-        SELECT user_id, ts, sum(opens::INT) OVER (PARTITION BY user_id ORDER BY ts) AS burst FROM gaps)
+        SELECT user_id, ts, sum(opens::INT) OVER (PARTITION BY user_id ORDER BY ts) AS burst FROM gaps)"""
+
+
+@query(
+    "settled_paths",
+    f"""WITH {BURSTS_SQL}
     SELECT 'session/' || user_id || '.jsonl' AS path, epoch_us(min(ts)) AS first_write_us,
            epoch_us(max(ts)) AS last_write_us, count(*) AS writes
     FROM bursts GROUP BY user_id, burst""",
@@ -217,3 +222,36 @@ def settled_paths(spark, sf_dir):
         "unix_micros(last_write) AS last_write_us",
         "writes",
     )
+
+
+@query(
+    "settled_paths_stream",
+    f"""WITH {BURSTS_SQL}
+    SELECT 'session/' || user_id || '.jsonl' AS path, epoch_us(max(ts)) AS last_write_us, count(*) AS writes
+    FROM bursts GROUP BY user_id, burst
+    HAVING max(ts) + INTERVAL 6 HOUR - INTERVAL 1 MICROSECOND
+        <= date_trunc('millisecond', (SELECT max(ts) FROM events) - INTERVAL 1 HOUR)""",
+)
+def settled_paths_stream(spark, sf_dir):
+    """The events table as a change stream: the bursts the watermark has passed."""
+    stored = B.table(spark, sf_dir, "events").schema
+    changes = (
+        spark.readStream.schema(stored)
+        .option("pathGlobFilter", "events.parquet")
+        .parquet(sf_dir)
+        .selectExpr("concat('session/', user_id, '.jsonl') AS path", "cast(ts as timestamp) AS event_ts")
+    )
+    folder = new_folder(spark)
+    stream = (
+        settled_stream(changes, debounce=6 * 3600, delay=3600)
+        .writeStream.outputMode("append")
+        .format("parquet")
+        .option("path", f"{folder}/settled")
+        .option("checkpointLocation", f"{folder}/progress")
+        .trigger(availableNow=True)
+        .start()
+    )
+    stream.awaitTermination()
+    return spark.read.parquet(f"{folder}/settled").selectExpr(
+        "path", "unix_micros(last_write) AS last_write_us", "writes"
+    )

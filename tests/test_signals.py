@@ -80,6 +80,13 @@ def test_chunks_do_not_change_the_result(spark, found, width):
     assert again == found
 
 
+def test_single_signals_agree_with_the_whole_set(spark, found):
+    frame = steps_frame(spark, TRACES)
+    for name in S.SIGNAL_NAMES:
+        one = {r["trace_id"]: r[name] for r in rows(S.compute_signals(frame, names=[name]))}
+        assert one == {t: r[name] for t, r in found.items()}
+
+
 def test_exit_status_counts_as_error(spark):
     frame = steps_frame(spark, {"a": [step(AGENT, "x")], "b": [step(AGENT, "x")]})
     heads = spark.createDataFrame(
