@@ -27,7 +27,6 @@ from stepwell.session import cut_lineage
 EPS = 1e-12
 TIE_DECIMALS = 12
 SMALL_SIDE_VALUES = 16_000_000  # vector values in a broadcast side: 128 MB as float64
-SMALL_SIDE_ROWS = 250_000
 BLOCK_ROWS = 4096
 MAX_PIVOTS = 1024
 SCORE_CELLS = 8_000_000  # scores held at once inside a task
@@ -170,22 +169,25 @@ def rank_hits(hits: DataFrame, k: int) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def _size(df: DataFrame) -> tuple[int, int]:
-    """(rows, vector size); rows are counted up to one more than a small side may have."""
-    found = (
-        df.select(F.size("embedding").alias("dim"))
-        .limit(SMALL_SIDE_ROWS + 1)
-        .agg(F.count("*").alias("n"), F.max("dim").alias("dim"))
-        .first()
-    )
-    return found["n"], found["dim"] or 0
+def vector_size(vectors: DataFrame) -> int | None:
+    """Number of values per vector, read from one row; NULL for an empty table."""
+    row = vectors.select(F.size("embedding").alias("dim")).first()
+    return None if row is None else row["dim"]
+
 
+def _small(side: DataFrame, dim: int) -> pa.Table | None:
+    """The side as an Arrow table when it has at most ``SMALL_SIDE_VALUES`` values.
 
-def _fits(n: int, dim: int) -> bool:
-    return n <= SMALL_SIDE_ROWS and n * dim <= SMALL_SIDE_VALUES
+    Never more than one row beyond that bound is fetched.
+    """
+    rows = SMALL_SIDE_VALUES // max(1, dim)
+    table = side.limit(rows + 1).toArrow()
+    return table if table.num_rows <= rows else None
 
 
-def top_k_similar(queries: DataFrame, candidates: DataFrame, k: int = 10) -> DataFrame:
+def top_k_similar(
+    queries: DataFrame, candidates: DataFrame, k: int = 10, dim: int | None = None
+) -> DataFrame:
     """Exact top ``k`` candidates of every query, never the query itself.
 
     ``queries`` and ``candidates``: (trace_id, embedding).  Returns (query_id, trace_id,
@@ -193,18 +195,17 @@ def top_k_similar(queries: DataFrame, candidates: DataFrame, k: int = 10) -> Dat
     """
     queries = queries.select(F.col("trace_id").cast("string").alias("query_id"), "embedding")
     candidates = candidates.select(F.col("trace_id").cast("string"), "embedding")
-    n, dim = _size(candidates)
-    if n == 0:
+    dim = dim or vector_size(candidates)
+    if dim is None:
         return rank_hits(queries.sparkSession.createDataFrame([], HITS), k)
-    if _fits(n, dim):
-        return rank_hits(_few_candidates(queries, candidates, dim, k), k)
-    if _fits(_size(queries)[0], dim):
-        return rank_hits(_few_queries(queries, candidates, dim, k), k)
+    if (small := _small(candidates, dim)) is not None:
+        return rank_hits(_few_candidates(queries, small, dim, k), k)
+    if (small := _small(queries, dim)) is not None:
+        return rank_hits(_few_queries(small, candidates, dim, k), k)
     return rank_hits(by_pivot_groups(queries, candidates, dim, k), k)
 
 
-def _few_candidates(queries: DataFrame, candidates: DataFrame, dim: int, k: int) -> DataFrame:
-    table = candidates.toArrow()
+def _few_candidates(queries: DataFrame, table: pa.Table, dim: int, k: int) -> DataFrame:
     side = queries.sparkSession.sparkContext.broadcast(
         (_names(table.column("trace_id")), unit(matrix(table.column("embedding"), dim)))
     )
@@ -219,9 +220,8 @@ def _few_candidates(queries: DataFrame, candidates: DataFrame, dim: int, k: int)
     return queries.mapInArrow(run, HITS)
 
 
-def _few_queries(queries: DataFrame, candidates: DataFrame, dim: int, k: int) -> DataFrame:
-    table = queries.toArrow()
-    side = queries.sparkSession.sparkContext.broadcast(
+def _few_queries(table: pa.Table, candidates: DataFrame, dim: int, k: int) -> DataFrame:
+    side = candidates.sparkSession.sparkContext.broadcast(
         (_names(table.column("query_id")), unit(matrix(table.column("embedding"), dim)))
     )
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from stepwell.functions import outcomes
 from stepwell.operators.catalog import recovered_pool
-from stepwell.operators.similarity import of_model, restrict, top_k_similar
+from stepwell.operators.similarity import of_model, restrict, top_k_similar, vector_size
 
 DEFAULT_K = 10
 DECIMALS = 4
@@ -38,15 +38,14 @@ def recommend(
     vectors = of_model(vectors, model).select("trace_id", "embedding")
     pool_ids = recovered_pool(traces).select(F.col("id").alias("trace_id"))
     queries = failed_targets(traces, vectors) if targets is None else vectors.join(targets.select("trace_id"), "trace_id")
-    hits = top_k_similar(queries, restrict(vectors, candidates=pool_ids), k)
+    pool = restrict(vectors, candidates=pool_ids)
+    hits = top_k_similar(queries, pool, k, dim=vector_size(vectors))
     meta = traces.select(
-        F.col("id").alias("trace_id"),
-        "source_format",
-        "agent_name",
-        outcomes.recoveries(F.col("failure_events")).alias("recoveries"),
+        F.col("id").alias("trace_id"), "source_format", "agent_name", "failure_events"
     )
     return (
         hits.join(meta, "trace_id")
+        .withColumn("recoveries", outcomes.recoveries(F.col("failure_events")))
         .filter(F.size("recoveries") > 0)
         .select(
             F.col("query_id").alias("trace_id"),

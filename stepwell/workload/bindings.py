@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from stepwell.functions.outcomes import EVENT_SCHEMA, LABEL_NAMES
 from stepwell.operators.sequencing import number_in_key
@@ -11,8 +12,15 @@ from stepwell.operators.signals import StepRoles
 from stepwell.sources.sessions import CALLS, RESULTS
 
 
+_SCHEMAS: dict[str, StructType] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table; its schema is read from the files once per process."""
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 # --- conversations: message-only traces -------------------------------------------------
