@@ -129,11 +129,14 @@ def attach_truth(hits: DataFrame, truth: DataFrame) -> DataFrame:
     return hits.join(truth, "trace_id", "left")
 
 
-def precision_at_k(scored: DataFrame, expected: DataFrame) -> DataFrame:
+def precision_at_k(
+    scored: DataFrame, expected: DataFrame, denominator: str = "scoreable"
+) -> DataFrame:
     """Per query and overall: hits, scoreable hits, relevant hits and precision.
 
-    ``scored``: (query_id, trace_id, truth); ``expected``: (query_id, label).  The overall
-    row has a NULL query_id.
+    ``scored``: (query_id, trace_id, truth); ``expected``: (query_id, label).  Ground truth
+    is measured against the ``scoreable`` hits, assigned labels against all ``hits``.  The
+    overall row has a NULL query_id.
     """
     relevant = scored.join(
         expected.withColumn("_relevant", F.lit(1)),
@@ -150,7 +153,7 @@ def precision_at_k(scored: DataFrame, expected: DataFrame) -> DataFrame:
         *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("hits", "scoreable", "relevant")],
     )
     return per_query.unionByName(overall).withColumn(
-        "precision", F.coalesce(F.try_divide("relevant", "scoreable"), F.lit(0.0))
+        "precision", F.coalesce(F.try_divide("relevant", denominator), F.lit(0.0))
     )
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from stepwell.operators import reports as R
@@ -272,7 +273,7 @@ QUOTA_TOTAL = 101
 
 def language_weights(spark, sf_dir):
     docs = B.table(spark, sf_dir, "documents")
-    share = F.col("n") / F.sum("n").over(sampling.Window.partitionBy())
+    share = F.col("n") / F.sum("n").over(Window.partitionBy())
     return docs.groupBy(F.col("lang").alias("label")).agg(F.count("*").alias("n")).select(
         "label", share.alias("weight")
     )

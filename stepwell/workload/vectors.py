@@ -151,25 +151,34 @@ def recommendation_lists(spark, sf_dir):
     )
 
 
-@query(
-    "precision_at_k",
-    f"""WITH {VEC},
+PRECISION_SQL = f"""{VEC},
     top AS (SELECT a.trace_id AS query_id, a.label AS wanted, b.label AS got,
                    row_number() OVER (PARTITION BY a.trace_id ORDER BY round(list_cosine_similarity(a.v, b.v), 12) DESC, b.trace_id) AS rank
             FROM vec a JOIN vec b ON a.vec_id <> b.vec_id QUALIFY rank <= 5),
     c AS (SELECT query_id, count(*) AS hits, count(*) FILTER (WHERE got < 7) AS scoreable,
                  count(*) FILTER (WHERE got < 7 AND got = wanted) AS relevant FROM top GROUP BY 1),
-    every AS (SELECT * FROM c UNION ALL SELECT NULL, sum(hits)::BIGINT, sum(scoreable)::BIGINT, sum(relevant)::BIGINT FROM c)
-    SELECT *, round(coalesce(relevant / nullif(scoreable, 0), 0), 6) AS precision FROM every""",
-)
-def precision_at_k(spark, sf_dir):
-    v = B.vectors(spark, sf_dir)
-    hits = similarity.top_k_similar(v, v, 5)
-    # labels from 7 on count as unknown, so such hits cannot be scored
-    truth = v.selectExpr("trace_id", "if(label < 7, cast(label as string), NULL) AS truth")
-    expected = v.selectExpr("trace_id AS query_id", "cast(label as string) AS label")
-    scored = reports.attach_truth(hits, truth)
-    return reports.precision_at_k(scored, expected).withColumn("precision", F.round("precision", 6))
+    every AS (SELECT * FROM c UNION ALL SELECT NULL, sum(hits)::BIGINT, sum(scoreable)::BIGINT, sum(relevant)::BIGINT FROM c)"""
+
+
+def _precision(name: str, denominator: str) -> None:
+    @query(
+        name,
+        f"""WITH {PRECISION_SQL}
+        SELECT *, round(coalesce(relevant / nullif({denominator}, 0), 0), 6) AS precision FROM every""",
+    )
+    def run(spark, sf_dir):
+        v = B.vectors(spark, sf_dir)
+        hits = similarity.top_k_similar(v, v, 5)
+        # labels from 7 on count as unknown, so such hits cannot be scored
+        truth = v.selectExpr("trace_id", "if(label < 7, cast(label as string), NULL) AS truth")
+        expected = v.selectExpr("trace_id AS query_id", "cast(label as string) AS label")
+        scored = reports.attach_truth(hits, truth)
+        found = reports.precision_at_k(scored, expected, denominator)
+        return found.withColumn("precision", F.round("precision", 6))
+
+
+_precision("precision_at_k", "scoreable")
+_precision("precision_at_k_labels", "hits")
 
 
 @query(

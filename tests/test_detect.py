@@ -2,7 +2,6 @@ import hashlib
 import json
 
 from conftest import rows
-from pyspark.sql import functions as F
 
 from stepwell.sources.detect import detect_format, file_stem, raw_identity, trace_id
 
