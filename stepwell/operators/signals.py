@@ -151,13 +151,14 @@ def step_facts(
     lasts = [F.expr(f"max({c}) AS {c}") for c in ("_error", "_agent", "_said", "_call", "_result")]
 
     # 1. runs of equal signatures inside a chunk
+    upto = " ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
     within = "OVER (PARTITION BY _key, _source, _chunk ORDER BY _step)"
     runs = (
         flags.selectExpr(
             "*",
             f"coalesce(_h1 <> lag(_h1) {within} OR _h2 <> lag(_h2) {within}, true) AS _starts",
         )
-        .selectExpr("*", f"sum(int(_starts)) {within} AS _run")
+        .selectExpr("*", f"sum(int(_starts)) {within[:-1]}{upto} AS _run")
         .groupBy("_key", "_source", "_chunk", "_run")
         .agg(
             F.expr("min(_step) AS _from"),
@@ -192,7 +193,7 @@ def step_facts(
             f"""coalesce(_h1 <> lag(_h1) {across} OR _h2 <> lag(_h2) {across}
                 OR (_side = 1 AND _runs > 1), true) AS _breaks""",
         )
-        .selectExpr("*", f"sum(int(_breaks)) {across} AS _chain")
+        .selectExpr("*", f"sum(int(_breaks)) {across[:-1]}{upto} AS _chain")
         .groupBy("_key", "_source", "_chain")
         .agg(
             F.expr("sum(_len) AS _len"),
