@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stepwell.llm import forest, mixing, tokens
+from stepwell.llm import classifier, forest, mixing, pii, tokens
 from stepwell.session import prepare
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -72,6 +72,23 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+# --- 4: quality classifier -------------------------------------------------------------
+
+
+@query("op4_quality_classifier")
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classifier.judge(documents(spark, sf_dir)).select("doc_id", "pattern", "posterior", "score", "kept")
+
+
+# --- 8: personal data ------------------------------------------------------------------
+
+
+@query("op8_pii")
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clean = pii.pseudonymise(documents(spark, sf_dir).select("doc_id", "text"), details=True)
+    return clean.withColumn("n_entities", F.size("entities").cast("long"))
+
+
 # --- 7: byte-level BPE -----------------------------------------------------------------
 
 
@@ -82,8 +99,9 @@ def rank_file() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
 
 
-def id_digests(coded: DataFrame, ids: str = "ids") -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 (32-bit little-endian ids), decoded_sha256."""
+def id_digests(coded: DataFrame, ids: str = "ids", keep_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 (32-bit little-endian ids), decoded_sha256, and the ids."""
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if keep_ids else [])]
 
     def run(batches):
         import hashlib
@@ -95,9 +113,10 @@ def id_digests(coded: DataFrame, ids: str = "ids") -> DataFrame:
             sizes = np.diff(lists.offsets.to_numpy())
             shas = [hashlib.sha256(np.asarray(v.values.to_numpy(zero_copy_only=False), "<u4").tobytes()).hexdigest() for v in lists]
             raw = [hashlib.sha256(v.as_buffer()).hexdigest() for v in data]
-            yield pa.RecordBatch.from_arrays([keys, pa.array(sizes, pa.int64()), pa.array(shas), pa.array(raw)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            found = [keys, pa.array(sizes, pa.int64()), pa.array(shas, pa.string()), pa.array(raw, pa.string()), *([lists] if keep_ids else [])]
+            yield pa.RecordBatch.from_arrays(found, names=names)
 
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
     return coded.select("doc_id", ids, "decoded").mapInArrow(run, schema)
 
 
