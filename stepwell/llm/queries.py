@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stepwell.llm import classifier, forest, mixing, pii, tokens
+from stepwell.llm import classifier, fingerprints, forest, mixing, pii, quality, tokens
 from stepwell.session import prepare
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +31,86 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+# --- 1: quality rules ------------------------------------------------------------------
+
+
+def _duck(expression: str) -> str:
+    return expression.replace(" div ", " // ")
+
+
+_HALF_OPEN = " AND ".join(
+    f"coalesce({_duck(e)} <= hi_{s}, true)" + (f" AND coalesce({_duck(e)} >= lo_{s}, true)" if both else "")
+    for s, (e, _, both) in quality.SHARES.items()
+)
+_SPREADS = " ".join(f"WHEN '{s}' THEN {spread}" for s, (_, spread, _) in quality.SHARES.items())
+_FENCES = ", ".join(
+    f"max(CASE WHEN share = '{s}' THEN hi END) AS hi_{s}" + (f", max(CASE WHEN share = '{s}' THEN lo END) AS lo_{s}" if both else "")
+    for s, (_, _, both) in quality.SHARES.items()
+)
+_FENCE_NAMES = [f"{side}_{s}" for side in ("hi", "lo") for s, (_, _, both) in quality.SHARES.items() if side == "hi" or both]
+
+QUALITY_SQL = rf"""WITH w AS (
+    SELECT doc_id, lang, source, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws,
+           list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls
+    FROM documents),
+tri AS (
+    SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, ws[i], ws[i + 1], ws[i + 2]) AS c
+    FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
+rep AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM tri, (SELECT unnest([0, 1, 2]) AS j) WHERE c > 1 GROUP BY doc_id),
+m AS (
+    SELECT w.doc_id, lang, source, CAST(coalesce(len(ws), 0) AS BIGINT) AS n_words,
+           CAST(coalesce(length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')), 0) AS BIGINT) AS word_chars,
+           CAST(coalesce(length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')), 0) AS BIGINT) AS n_symbols,
+           CAST(coalesce(len(ls) - len(list_distinct(ls)), 0) AS BIGINT) AS n_dup_lines,
+           CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words,
+           CAST(coalesce(len(ls), 0) AS BIGINT) AS n_lines,
+           CAST(coalesce(length(regexp_replace(text, '[^A-Z]+', '', 'g')), 0) AS BIGINT) AS n_capitals
+    FROM w LEFT JOIN rep ON rep.doc_id = w.doc_id),
+v AS ({" UNION ALL ".join(f"SELECT lang, source, '{s}' AS share, {_duck(e)} AS value FROM m WHERE NOT ({quality.BASE_FAILED})" for s, (e, _, _) in quality.SHARES.items())}),
+b AS (SELECT lang, source, share, (value >> greatest(length(bin(value)) - {quality.SKETCH_BITS}, 0)) << greatest(length(bin(value)) - {quality.SKETCH_BITS}, 0) AS bucket FROM v),
+g AS (SELECT 0 AS level, lang, source, share, bucket FROM b UNION ALL SELECT 1, lang, NULL, share, bucket FROM b UNION ALL SELECT 2, NULL, NULL, share, bucket FROM b),
+c AS (SELECT level, lang, source, share, bucket, count(*) AS n FROM g GROUP BY ALL),
+r AS (
+    SELECT *, sum(n) OVER (PARTITION BY level, lang, source, share ORDER BY bucket) AS cum,
+           sum(n) OVER (PARTITION BY level, lang, source, share) AS all_n FROM c),
+q AS (
+    SELECT level, lang, source, share, min(CASE WHEN cum * 10 >= all_n THEN bucket END) AS q10,
+           min(CASE WHEN cum * 10 >= all_n * 5 THEN bucket END) AS q50, max(all_n) AS all_n
+    FROM r GROUP BY ALL),
+f AS (
+    SELECT *, q50 + {quality.REACH} * spread AS hi, q50 - {quality.REACH} * spread AS lo
+    FROM (SELECT *, greatest(q50 - q10, CASE share {_SPREADS} END) AS spread FROM q)),
+p AS (SELECT level, lang, source, max(all_n) AS all_n, {_FENCES} FROM f GROUP BY level, lang, source),
+t AS (
+    SELECT m.*, CASE WHEN p0.all_n >= {quality.ENOUGH} THEN 0 WHEN p1.all_n >= {quality.ENOUGH} THEN 1 ELSE 2 END AS level,
+           {", ".join(f"CASE WHEN p0.all_n >= {quality.ENOUGH} THEN p0.{c} WHEN p1.all_n >= {quality.ENOUGH} THEN p1.{c} ELSE p2.{c} END AS {c}" for c in _FENCE_NAMES)}
+    FROM m
+    LEFT JOIN p p0 ON p0.level = 0 AND p0.lang IS NOT DISTINCT FROM m.lang AND p0.source IS NOT DISTINCT FROM m.source
+    LEFT JOIN p p1 ON p1.level = 1 AND p1.lang IS NOT DISTINCT FROM m.lang
+    LEFT JOIN p p2 ON p2.level = 2)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_capitals, level,
+       ({quality.BASE_FAILED}) AS base_failed, NOT ({quality.BASE_FAILED}) AND {_HALF_OPEN} AS kept,
+       {", ".join(f"CAST({c} AS BIGINT) AS {c}" for c in _FENCE_NAMES)}
+FROM t"""
+
+
+@query("op1_quality_rules", QUALITY_SQL)
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.rate(documents(spark, sf_dir))
+
+
+# --- 3: fingerprints -------------------------------------------------------------------
+
+
+@query("op3_fingerprints")
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fingerprints.compare_edits(documents(spark, sf_dir))
+    return found.select(
+        "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
+        "fingerprint", "edited_fingerprint", "near_edited", "near_next",
+    )
+
+
 # --- 2: mixing -------------------------------------------------------------------------
 
 MIX_SQL = rf"""WITH d AS (
