@@ -29,8 +29,8 @@ REACH = 6
 # share: (expression in hundredths of a percent or of a character, least spread, two-sided)
 SHARES = {
     "symbols": ("n_symbols * 10000 div greatest(n_words, 1)", 150, False),
-    "repeats": ("n_repeat_words * 10000 div greatest(n_words, 1)", 400, False),
-    "dup_lines": ("n_dup_lines * 10000 div greatest(n_lines, 1)", 500, False),
+    "repeats": ("n_repeat_words * 10000 div greatest(n_words, 1)", 600, False),
+    "dup_lines": ("n_dup_lines * 10000 div greatest(n_lines, 1)", 900, False),
     "capitals": ("n_capitals * 10000 div greatest(word_chars, 1)", 250, False),
     "word_length": ("word_chars * 100 div greatest(n_words, 1)", 60, True),
 }

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stepwell.llm import classifier, fingerprints, forest, mixing, pii, quality, tokens
+from stepwell.llm import classifier, fingerprints, forest, mixing, pii, quality, repeats, tokens
 from stepwell.session import prepare
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -207,6 +207,15 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return id_digests(tokens.decode(coded.select("doc_id", "ids"), path))
 
 
+# --- 9: repeated byte strings ----------------------------------------------------------
+
+
+@query("op9_suffix_array")
+def op9_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.cut(documents(spark, sf_dir))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 # --- 10: near-duplicates ---------------------------------------------------------------
 
 NEAR_SQL = r"""WITH RECURSIVE w AS (
