@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stepwell.llm import classifier, fingerprints, forest, mixing, pii, quality, repeats, tokens
+from stepwell.llm import classifier, fingerprints, forest, mixing, pii, quality, repeats, tokens, toxicity, webpages
 from stepwell.session import prepare
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -160,6 +160,27 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifier.judge(documents(spark, sf_dir)).select("doc_id", "pattern", "posterior", "score", "kept")
 
 
+# --- 5: main text of pages -------------------------------------------------------------
+
+
+@query("op5_html_extraction")
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return webpages.extract(pages).select("page_id", "url", "text", "n_chars")
+
+
+# --- 6: toxicity -----------------------------------------------------------------------
+
+
+@query("op6_toxicity")
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(~held_out)
+    scored = toxicity.score(docs, toxicity.fit(docs, labels))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 # --- 8: personal data ------------------------------------------------------------------
 
 
