@@ -22,6 +22,8 @@ from stepwell.llm.textkit import mix64, span_hashes, take_spans, text_blocks, wo
 WORD_BUCKETS, CHAR_BUCKETS = 1 << 13, 1 << 12
 WORD_DIM, CHAR_DIM, HIDDEN, ATTEND = 8, 6, 8, 6
 WINDOW, STRIDE = 32, 16
+# learning rates: a rare word must not move far by the few rows that hold it
+RATES = {"word": 0.0003, "char": 0.0005}
 # windows that go through the network together
 LOT = 4096
 
@@ -199,7 +201,7 @@ def _pick(value: np.ndarray, windows: np.ndarray, text: np.ndarray) -> np.ndarra
     return windows[order[first]]
 
 
-def train(texts: list[str], labels: np.ndarray, rounds: int = 5, passes: int = 4, lot: int = 64, seed: int = 5) -> Network:
+def train(texts: list[str], labels: np.ndarray, rounds: int = 4, passes: int = 4, lot: int = 64, dropped: float = 0.15, seed: int = 5) -> Network:
     """Fit the network on whole labelled texts."""
     net = Network(seed)
     if not len(texts) or labels.min() == labels.max():
@@ -219,14 +221,15 @@ def train(texts: list[str], labels: np.ndarray, rounds: int = 5, passes: int = 4
     odds = np.log((counts[1] + 0.5) / (sizes[1] + 1)) - np.log((counts[0] + 0.5) / (sizes[0] + 1))
     # words seen a few times say nothing yet
     odds *= (counts[0] + counts[1]) / (counts[0] + counts[1] + 10)
-    net.p["word"][:, 0] = odds
+    net.p["word"][:, 0] = 2 * odds
     windows, text = words.windows()
     padded = np.append(odds[words.bucket], 0)
     chosen = _pick(padded[windows].max(axis=1), windows, text)
     rng = np.random.default_rng(seed)
     first = {k: np.zeros_like(v) for k, v in net.p.items()}
     second = {k: np.zeros_like(v) for k, v in net.p.items()}
-    step = 0
+    start = {k: net.p[k].copy() for k in ("word", "char")}
+    step, decay = 0, np.float32(2e-4)
     for turn in range(rounds):
         if turn:
             chosen = net.worst(words)
@@ -234,10 +237,13 @@ def train(texts: list[str], labels: np.ndarray, rounds: int = 5, passes: int = 4
             order = rng.permutation(len(texts))
             for i in range(0, len(order), lot):
                 rows = order[i : i + lot]
-                part = chosen[rows]
+                # words dropped at random: no document is known by its rare words alone
+                part = np.where(rng.random((len(rows), WINDOW)) < dropped, -1, chosen[rows])
                 used, local = np.unique(part, return_inverse=True)
                 local = local.reshape(part.shape) - (used[0] == -1)
                 used = used[used >= 0]
+                if not len(used):
+                    continue
                 sub = _Subset(words, used)
                 x = net.inputs(sub)
                 g, dx = net.gradient(x, local, target[rows])
@@ -247,11 +253,13 @@ def train(texts: list[str], labels: np.ndarray, rounds: int = 5, passes: int = 4
                 share = dx[:, WORD_DIM:] / np.maximum(sub.trigrams, 1)[:, None]
                 np.add.at(g["char"], sub.trigram, np.repeat(share, sub.trigrams, axis=0))
                 step += 1
+                for k in ("word", "char"):
+                    g[k] += decay * (net.p[k] - start[k])
                 for k, v in g.items():
                     first[k] = 0.9 * first[k] + 0.1 * v
                     second[k] = 0.99 * second[k] + 0.01 * v * v
                     move = (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-6)
-                    net.p[k] -= np.float32(0.004 if k in ("word", "char") else 0.01) * move.astype(np.float32)
+                    net.p[k] -= np.float32(RATES.get(k, 0.01)) * move.astype(np.float32)
     return net
 
 
