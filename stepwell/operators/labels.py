@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stepwell.functions import outcomes
 from stepwell.functions.text import strip
+from stepwell.operators.sequencing import first_per_key
 
 
 def valid_labels(responses: DataFrame) -> DataFrame:
@@ -19,9 +20,15 @@ def valid_labels(responses: DataFrame) -> DataFrame:
     ).withColumn("reasoning", strip(F.col("reasoning")))
 
 
-def apply_labels(traces: DataFrame, responses: DataFrame) -> DataFrame:
-    """Write labels with their provenance; traces without a valid response stay as they are."""
-    answers = valid_labels(responses).select(
+def apply_labels(
+    traces: DataFrame, responses: DataFrame, order: Sequence[Column | str] = ("label", "reasoning")
+) -> DataFrame:
+    """Write labels with their provenance; traces without a valid response stay as they are.
+
+    Of several valid responses for one trace (a scorer that was run again) the first in
+    ``order`` counts.
+    """
+    answers = first_per_key(valid_labels(responses), ["trace_id"], order).select(
         F.col("trace_id").alias("id"), F.col("label").alias("_l"), F.col("reasoning").alias("_r")
     )
     hit = F.col("_l").isNotNull()
@@ -38,19 +45,20 @@ def apply_labels(traces: DataFrame, responses: DataFrame) -> DataFrame:
 
 
 def apply_events(
-    traces: DataFrame, responses: DataFrame, bump_has_error: bool = True
+    traces: DataFrame,
+    responses: DataFrame,
+    bump_has_error: bool = True,
+    order: Sequence[Column | str] | None = None,
 ) -> DataFrame:
     """Write failure events (trace_id, events) and what follows from them.
 
     A list with one bad event is dropped as a whole.  ``has_error`` rises to 1 when any
-    event exists and never falls; a known outcome is kept.
+    event exists and never falls; a known outcome is kept.  Of several valid lists for one
+    trace the first in ``order`` counts, by default in the order of their JSON texts.
     """
-    answers = (
-        responses.select(
-            F.col("trace_id").alias("id"), outcomes.validate_events(F.col("events")).alias("_e")
-        )
-        .filter(F.col("_e").isNotNull())
-    )
+    valid = responses.withColumn("_e", outcomes.validate_events(F.col("events"))).filter(F.col("_e").isNotNull())
+    first = first_per_key(valid, ["trace_id"], order or [F.to_json("_e")])
+    answers = first.select(F.col("trace_id").alias("id"), "_e")
     hit = F.col("_e").isNotNull()
     raised = F.when(F.size("_e") > 0, F.lit(1)) if bump_has_error else F.lit(None).cast("int")
     return (

@@ -11,19 +11,25 @@ from pyspark.sql import functions as F
 from stepwell.functions.outcomes import LABEL_NAMES
 from stepwell.operators.sequencing import first_per_key, hash_order, number_rows, slice_by_hash
 
+# parts in which a stratum is cut down before it is ranked as a whole
+LOTS = 64
+
 
 def first_n_per_stratum(
     df: DataFrame, stratum: str, n: int, key: str, order: Sequence[str]
 ) -> DataFrame:
     """First ``n`` rows per stratum in order, after dropping bad and repeated keys.
 
-    Both steps keep at most n rows per group and map task, so a hot stratum is cut
-    before it is shuffled.
+    A stratum is first cut to n rows in each of ``LOTS`` hash lots of its keys, so the task
+    that ranks it sees at most ``LOTS * n`` rows, whatever its size and whatever n.
     """
     usable = df.filter(F.col(key).isNotNull() & F.col(stratum).isNotNull())
     unique = first_per_key(usable, [key], list(order))
-    w = Window.partitionBy(stratum).orderBy(*order)
-    return unique.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
+    lots = unique.withColumn("_lot", F.pmod(F.xxhash64(key), F.lit(LOTS)))
+    for group in ([stratum, "_lot"], [stratum]):
+        w = Window.partitionBy(*group).orderBy(*order)
+        lots = lots.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
+    return lots.drop("_lot")
 
 
 def write_extract(df: DataFrame, stratum: str, folder: str) -> None:

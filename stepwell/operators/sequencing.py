@@ -23,14 +23,21 @@ def slice_by_position(position: Column, width: int = POSITION_WIDTH) -> Column:
     return F.floor(position / F.lit(width)).cast("long")
 
 
+HASH_BITS = 60
+
+
 def hash_order(*columns: Column, seed: int = 42) -> Column:
-    """Deterministic pseudo-random order of rows."""
-    return F.xxhash64(F.lit(seed), *columns)
+    """Deterministic pseudo-random order of rows: 60 bits of md5 over seed and columns."""
+    text = F.concat_ws("/", F.lit(str(seed)), *[c.cast("string") for c in columns])
+    return F.conv(F.substring(F.md5(text), 1, HASH_BITS // 4), 16, 10).cast("long")
 
 
-def slice_by_hash(hashed: Column, bits: int = 12) -> Column:
-    """Slice of a signed 64-bit hash: ``2**bits`` slices of about equal size."""
-    return F.shiftright(hashed, 64 - bits)
+def slice_by_hash(hashed: Column, bits: int = 20) -> Column:
+    """Slice of a ``hash_order``: ``2**bits`` slices of about equal size.
+
+    A slice total costs one small row, so many slices are cheap, and each stays small.
+    """
+    return F.shiftright(hashed, HASH_BITS - bits)
 
 
 def number_in_key(

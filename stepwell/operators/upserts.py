@@ -23,10 +23,14 @@ def last_writer(batch: DataFrame, key: str, order: Column) -> DataFrame:
     return first_per_key(batch, [key], [order])
 
 
-def upsert(existing: DataFrame, batch: DataFrame, key: str) -> DataFrame:
-    """Rows of ``batch`` replace rows of ``existing`` with the same key."""
-    kept = existing.join(batch.select(key), key, "left_anti")
-    return kept.unionByName(batch, allowMissingColumns=True)
+def upsert(existing: DataFrame, batch: DataFrame, key: str, order: Column) -> DataFrame:
+    """Rows of ``batch`` replace rows of ``existing`` with the same key.
+
+    Of the rows that share a key in the batch the first in ``order`` is written.
+    """
+    newest = last_writer(batch, key, order)
+    kept = existing.join(newest.select(key), key, "left_anti")
+    return kept.unionByName(newest, allowMissingColumns=True)
 
 
 def upsert_traces(
@@ -47,7 +51,7 @@ def upsert_traces(
         for column in ENRICHMENT_COLUMNS:
             newest = newest.withColumn(column, F.when(same, F.col(f"_{column}")))
         newest = newest.drop("_hash", *[f"_{c}" for c in ENRICHMENT_COLUMNS])
-    return upsert(existing, newest, "id")
+    return upsert(existing, newest, "id", order)
 
 
 def drop_replaced(children: DataFrame, batch_ids: DataFrame, key: str = "trace_id") -> DataFrame:
@@ -55,13 +59,16 @@ def drop_replaced(children: DataFrame, batch_ids: DataFrame, key: str = "trace_i
     return children.join(batch_ids.select(F.col("id").alias(key)).distinct(), key, "left_anti")
 
 
-def upsert_embeddings(existing: DataFrame, batch: DataFrame, dim: int) -> DataFrame:
-    """Insert or replace vectors by ``trace_id``; a vector of another size fails the job."""
+def upsert_embeddings(existing: DataFrame, batch: DataFrame, dim: int, order: Column) -> DataFrame:
+    """Insert or replace vectors by ``trace_id``; a vector of another size fails the job.
+
+    A batch with several vectors for one trace writes the first in ``order``.
+    """
     right_size = F.assert_true(
         F.size("embedding") == dim, F.concat(F.lit(f"expected {dim} values, got "), F.size("embedding"))
     )
     checked = batch.filter(right_size.isNull())
-    return upsert(existing, checked, "trace_id")
+    return upsert(existing, checked, "trace_id", order)
 
 
 def backfill_label_source(traces: DataFrame) -> DataFrame:

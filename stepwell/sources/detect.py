@@ -29,9 +29,6 @@ CLAUDE_CODE_FIRST_TYPES = (
 # Keys every benchmark row carries.
 SWE_AGENT_KEYS = ("instance_id", "model_name", "target", "trajectory")
 
-# Fixed value: blank characters looked at before a line is expected.
-FIRST_LINE_WINDOW = 200_000
-
 
 def in_list(values: tuple[str, ...]) -> str:
     return "(" + ", ".join(f"'{v}'" for v in values) + ")"
@@ -50,7 +47,7 @@ def detect_format(file_name: str = "file_name", raw: str = "raw_blob") -> Column
         WHEN {V.string(doc, '$.schema_version')} LIKE 'ATIF%' THEN 'atif'
         ELSE 'unknown' END"""
     bare = f"trim(LEADING {V.SPACE_LITERAL} FROM {raw})"
-    line = f"if(length({raw}) - length({bare}) < {FIRST_LINE_WINDOW}, {V.strip(f'split({bare}, {_EOL}, 2)[0]')}, NULL)"
+    line = V.strip(f"split({bare}, {_EOL}, 2)[0]")
     event = V.parse(line)
     kind = V.string(event, "$.type")
     as_log = f"""CASE

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from stepwell.functions import outcomes
 from stepwell.operators import catalog as C
 from stepwell.operators import reports as R
-from stepwell.operators import sampling, upserts
-from stepwell.operators.catalog import TraceFilter
+from stepwell.operators import labels, sampling, upserts
 from stepwell.workload import query
 from stepwell.workload import bindings as B
 
@@ -27,52 +29,53 @@ def listed(df):
 SELECT = f"SELECT {', '.join(SHOWN)}, epoch_us(ingested_at) AS ingested_us FROM traces"
 
 
-def _filtered(name: str, where: str, f: TraceFilter) -> None:
+def _filtered(name: str, where: str, conditions: Callable[[], tuple[Column, ...]]) -> None:
     @query(name, f"{TRACES} {SELECT} WHERE {where}")
     def run(spark, sf_dir):
-        return listed(C.matching(B.order_traces(spark, sf_dir), f))
+        return listed(C.matching(B.order_traces(spark, sf_dir), *conditions()))
 
 
-_filtered("filter_has_error", "has_error = 1", TraceFilter(has_error="errors"))
-_filtered("filter_successes", "has_error = 0", TraceFilter(has_error="successes"))
-_filtered("filter_unknown", "has_error IS NULL", TraceFilter(has_error="unknown"))
-_filtered("filter_has_atif", "NOT has_atif", TraceFilter(has_atif=False))
+_filtered("filter_has_error", "has_error = 1", lambda: (C.outcome_is("errors"),))
+_filtered("filter_successes", "has_error = 0", lambda: (C.outcome_is("successes"),))
+_filtered("filter_unknown", "has_error IS NULL", lambda: (C.outcome_is("unknown"),))
+_filtered("filter_has_atif", "NOT has_atif", lambda: (~F.col("has_atif"),))
 _filtered(
-    "filter_steps", "num_steps BETWEEN 40 AND 90", TraceFilter(min_steps=40, max_steps=90)
+    "filter_steps", "num_steps BETWEEN 40 AND 90", lambda: (C.steps_between(40, 90),)
 )
 _filtered(
     "filter_in",
     "source_format IN ('atif', 'codex') AND agent_name IN ('codex') AND model IN ('gpt_5', 'sonnet-4') "
     "AND failure_label IN ('loop', 'gave_up')",
-    TraceFilter(
-        source_formats=("atif", "codex"),
-        agent_names=("codex",),
-        models=("gpt_5", "sonnet-4"),
-        failure_labels=("loop", "gave_up"),
+    lambda: (
+        C.one_of("source_format", "atif", "codex"),
+        C.one_of("agent_name", "codex"),
+        C.one_of("model", "gpt_5", "sonnet-4"),
+        C.one_of("failure_label", "loop", "gave_up"),
     ),
 )
 _filtered(
     "filter_search",
     "id ILIKE '%SWE-a_e%' OR agent_name ILIKE '%SWE-a_e%' OR model ILIKE '%SWE-a_e%'",
-    TraceFilter(search="SWE-a_e"),
+    lambda: (C.mentions("SWE-a_e"),),
 )
 _filtered(
     "filter_unrecovered",
     "two_events AND NOT (recovered_1 AND recovered_2)",
-    TraceFilter(has_unrecovered_failures=True),
+    lambda: (C.unrecovered(),),
 )
 _filtered(
     "filter_recovered_only",
     "has_error = 1 AND ultimately_succeeded = 1",
-    TraceFilter(recovered_failures_only=True),
+    lambda: (C.succeeded_after("errors"),),
 )
 _filtered(
     "filter_clean_only",
     "has_error = 0 AND ultimately_succeeded = 1",
-    TraceFilter(clean_successes_only=True),
+    lambda: (C.succeeded_after("successes"),),
 )
 
-PAGE = TraceFilter(has_error="errors", min_steps=20)
+def failed_pages():
+    return C.outcome_is("errors"), C.steps_between(low=20)
 
 
 @query(
@@ -81,7 +84,7 @@ PAGE = TraceFilter(has_error="errors", min_steps=20)
     ORDER BY ingested_at DESC, id ASC LIMIT 100 OFFSET 200""",
 )
 def list_traces_page(spark, sf_dir):
-    page, _ = C.list_traces(B.order_traces(spark, sf_dir), PAGE, limit=100, offset=200)
+    page, _ = C.list_traces(B.order_traces(spark, sf_dir), *failed_pages(), limit=100, offset=200)
     return listed(page)
 
 
@@ -90,7 +93,7 @@ def list_traces_page(spark, sf_dir):
     f"{TRACES} SELECT count(*) AS total FROM traces WHERE has_error = 1 AND num_steps >= 20",
 )
 def list_traces_total(spark, sf_dir):
-    _, total = C.list_traces(B.order_traces(spark, sf_dir), PAGE)
+    _, total = C.list_traces(B.order_traces(spark, sf_dir), *failed_pages())
     return total
 
 
@@ -102,7 +105,7 @@ def list_traces_total(spark, sf_dir):
 )
 def list_traces_after(spark, sf_dir):
     last = (F.to_timestamp(F.lit("1997-06-15 00:00:00")), "5")
-    return listed(C.list_after(B.order_traces(spark, sf_dir), last, PAGE))
+    return listed(C.list_after(B.order_traces(spark, sf_dir), last, *failed_pages()))
 
 
 @query(
@@ -110,7 +113,7 @@ def list_traces_after(spark, sf_dir):
     f"{TRACES} SELECT id FROM traces WHERE failure_label IN ('loop') ORDER BY id",
 )
 def list_trace_ids(spark, sf_dir):
-    return C.list_trace_ids(B.order_traces(spark, sf_dir), TraceFilter(failure_labels=("loop",)))
+    return C.list_trace_ids(B.order_traces(spark, sf_dir), C.one_of("failure_label", "loop"))
 
 
 @query("get_trace", f"{TRACES} {SELECT} WHERE id = '77'")
@@ -352,13 +355,86 @@ def judge_targets(spark, sf_dir):
     )
 
 
-@query("judge_sample")
+# the same seeded order in SQL
+HASHED = "CAST('0x' || substr(md5('42/' || {key}), 1, 15) AS BIGINT)"
+
+
+@query(
+    "judge_sample",
+    f"""{TRACES}, pool AS (SELECT * FROM traces WHERE has_atif AND failure_label IS NULL),
+    good AS (SELECT *, row_number() OVER (ORDER BY {HASHED.format(key="id")}, id) AS rk FROM pool WHERE has_error = 0)
+    SELECT 0 AS sample_class, id, has_error FROM pool WHERE has_error = 1
+    UNION ALL SELECT 1, id, has_error FROM good
+    WHERE rk <= (SELECT CAST(round_even(count(*) * 0.1, 0) AS BIGINT) FROM good)""",
+)
 def judge_sample(spark, sf_dir):
     return sampling.judge_sample(B.order_traces(spark, sf_dir)).select(
         "sample_class", "id", "has_error"
     )
 
 
+# Two responses per order: one that is written, and one of a scorer that was run again.
+
+@query(
+    "apply_labels",
+    f"""{TRACES}, r AS (
+        SELECT id, CASE WHEN num_steps % 3 = 0 THEN 'no_such_label' WHEN num_steps % 2 = 0 THEN 'loop' ELSE 'gave_up' END AS label,
+               'why ' || num_tool_calls AS reasoning FROM traces WHERE num_steps IS NOT NULL)
+    SELECT traces.id, CASE WHEN r.label IN ('loop', 'gave_up') THEN r.label ELSE failure_label END AS failure_label,
+           CASE WHEN r.label IN ('loop', 'gave_up') THEN reasoning ELSE '' END AS reasoning,
+           CASE WHEN r.label IN ('loop', 'gave_up') THEN 'sonnet_judge' ELSE '' END AS source
+    FROM traces LEFT JOIN r ON r.id = traces.id""",
+)
+def apply_labels(spark, sf_dir):
+    traces = B.order_traces(spark, sf_dir).withColumns(
+        {c: F.lit(None).cast("string") for c in ("failure_label_source", "failure_label_reasoning")}
+    )
+    first = traces.filter("num_steps IS NOT NULL").selectExpr(
+        "id AS trace_id",
+        "CASE WHEN num_steps % 3 = 0 THEN 'no_such_label' WHEN num_steps % 2 = 0 THEN 'loop' ELSE 'gave_up' END AS label",
+        "concat(' why ', num_tool_calls, ' ') AS reasoning",
+        "2 AS answered",
+    )
+    earlier = first.selectExpr("trace_id", "'loop' AS label", "'an earlier run' AS reasoning", "1 AS answered")
+    earlier = earlier.join(first.filter("label <> 'no_such_label'").select("trace_id"), "trace_id", "left_semi")
+    merged = labels.apply_labels(traces, first.union(earlier).union(first), order=[F.col("answered").desc()])
+    return merged.selectExpr(
+        "id", "failure_label", "coalesce(failure_label_reasoning, '') AS reasoning", "coalesce(failure_label_source, '') AS source"
+    )
+
+
+@query(
+    "apply_events",
+    f"""{TRACES}, r AS (
+        SELECT id, CASE WHEN num_steps % 2 = 0 THEN 'loop' ELSE 'gave_up' END AS label, num_steps % 5 = 0 AS recovered,
+               num_steps >= 1 AND num_steps % 7 <> 0 AS valid FROM traces WHERE num_steps IS NOT NULL)
+    SELECT traces.id, CASE WHEN valid THEN CASE WHEN recovered THEN 'success' ELSE label END ELSE failure_label END AS failure_label,
+           CASE WHEN valid THEN 1 ELSE coalesce(has_error, -1) END AS has_error,
+           CASE WHEN valid THEN 'opus_events_derived' ELSE '' END AS source,
+           CASE WHEN valid THEN 1 ELSE -1 END AS n_events
+    FROM traces LEFT JOIN r ON r.id = traces.id""",
+)
+def apply_events(spark, sf_dir):
+    traces = B.order_traces(spark, sf_dir).withColumn("failure_label_source", F.lit(None).cast("string"))
+    traces = traces.withColumn("failure_events", F.lit(None).cast(outcomes.EVENT_SCHEMA))
+    event = """array(named_struct('label', CASE WHEN num_steps % 7 = 0 THEN 'no_such_label' WHEN num_steps % 2 = 0 THEN 'loop'
+        ELSE 'gave_up' END, 'step_start', 1, 'step_end', num_steps, 'recovered', num_steps % 5 = 0,
+        'recovery_step', if(num_steps % 5 = 0, num_steps, NULL), 'recovery_summary', if(num_steps % 5 = 0, 'went on', NULL)))"""
+    counted = traces.filter("num_steps IS NOT NULL")
+    first = counted.selectExpr("id AS trace_id", f"cast({event} as {outcomes.EVENT_SCHEMA}) AS events", "2 AS answered")
+    earlier = counted.filter("num_steps >= 1 AND num_steps % 7 <> 0").selectExpr(
+        "id AS trace_id", f"cast(array() as {outcomes.EVENT_SCHEMA}) AS events", "1 AS answered"
+    )
+    merged = labels.apply_events(traces, first.union(earlier).union(first), order=[F.col("answered").desc()])
+    return merged.selectExpr(
+        "id",
+        "failure_label",
+        "coalesce(has_error, -1) AS has_error",
+        "coalesce(failure_label_source, '') AS source",
+        "coalesce(size(failure_events), -1) AS n_events",
+    )
+
+
 @query(
     "backfill_provenance",
     f"""{TRACES} SELECT id, CASE WHEN failure_label IS NULL THEN NULL
@@ -414,8 +490,7 @@ def upsert_last_wins(spark, sf_dir):
         "'batch' AS origin",
         "struct(l_shipdate, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS _at",
     )
-    newest = upserts.last_writer(writes, "id", F.col("_at").desc()).drop("_at")
-    return upserts.upsert(existing, newest, "id")
+    return upserts.upsert(existing, writes, "id", F.col("_at").desc()).drop("_at")
 
 
 @query(

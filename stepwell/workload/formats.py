@@ -83,7 +83,7 @@ def step_metrics(spark, sf_dir):
         CASE WHEN role = 'assistant' THEN 1 ELSE 0 END AS n_calls,
         CASE WHEN role = 'assistant' THEN '{{"n":' || n || '}}' ELSE '' END AS arguments,
         CASE WHEN role = 'assistant' AND lead(role) OVER w = 'user' AND lead(turn) OVER w = turn + 1
-             THEN left(lead(text) OVER w, 40) ELSE '' END AS result, '' AS reasoning
+             THEN lead(text) OVER w ELSE '' END AS result, '' AS reasoning
     FROM turns WINDOW w AS (PARTITION BY doc ORDER BY turn)""",
 )
 def normalize_cursor(spark, sf_dir):
@@ -97,7 +97,7 @@ def normalize_cursor(spark, sf_dir):
         CASE WHEN role = 'assistant' THEN 'opus' ELSE '' END AS model_name,
         CASE WHEN role = 'assistant' THEN 1 ELSE 0 END AS n_calls,
         CASE WHEN role = 'assistant' THEN '{{"n":' || n || '}}' ELSE '' END AS arguments,
-        CASE WHEN role = 'assistant' AND n <= {W.LONG_TURN} THEN left(text, 40) ELSE '' END AS result, '' AS reasoning
+        CASE WHEN role = 'assistant' AND {W.ANSWERED.format(turn='turn')} THEN text ELSE '' END AS result, '' AS reasoning
     FROM turns""",
 )
 def normalize_claude_code(spark, sf_dir):
@@ -119,11 +119,11 @@ def final_metrics(spark, sf_dir):
 CODEX_SQL = f"""{W.FILES_SQL},
 parts AS (
     SELECT doc, 0 AS late, turn, 0 AS part, 'agent' AS source, 'Tool call: look' AS message, 1 AS n_calls,
-           '{{"n":' || n || '}}' AS arguments, left(text, 40) AS result, 'why ' || turn AS reasoning
-    FROM turns WHERE role = 'assistant' AND n <= {W.LONG_TURN}
+           '{{"n":' || n || '}}' AS arguments, text AS result, 'why ' || turn AS reasoning
+    FROM turns WHERE role = 'assistant' AND {W.ANSWERED.format(turn='turn')}
     UNION ALL
     SELECT doc, 1, turn, 0, 'agent', 'Tool call (no output): look', 1, '{{"n":' || n || '}}', '', 'why ' || turn
-    FROM turns WHERE role = 'assistant' AND n > {W.LONG_TURN}
+    FROM turns WHERE role = 'assistant' AND NOT ({W.ANSWERED.format(turn='turn')})
     UNION ALL
     SELECT doc, 0, turn, 1, {AGENT}, text, 0, '', '', '' FROM turns)"""
 
@@ -205,7 +205,7 @@ def identify(spark, sf_dir):
         SELECT doc || '.jsonl' AS path, 'session_meta' AS event_type FROM turns GROUP BY 1
         UNION ALL SELECT doc || '.jsonl', 'turn_context' FROM turns GROUP BY 1
         UNION ALL SELECT doc || '.jsonl', 'response_item' FROM turns,
-            LATERAL (SELECT unnest(range(CASE WHEN role <> 'assistant' THEN 1 WHEN n <= {W.LONG_TURN} THEN 4 ELSE 3 END))))
+            LATERAL (SELECT unnest(range(CASE WHEN role <> 'assistant' THEN 1 WHEN {W.ANSWERED.format(turn='turn')} THEN 4 ELSE 3 END))))
     SELECT path, event_type, count(*) AS n FROM e GROUP BY ALL""",
 )
 def scanned(spark, sf_dir):

@@ -1,7 +1,7 @@
-"""Session files written from conversations, one per run of up to 64 turns.
+"""Session files written from conversations: one conversation is one file.
 
-Long conversations roll over to a new file, so no file grows with its conversation.
-Repeated (conv_id, turn) rows are reduced to one before a file is put together.
+All rows of a conversation go into its file, ordered by turn and text; rows that share a
+turn stay apart.  ``turn`` is the position in that order.
 """
 
 from __future__ import annotations
@@ -9,11 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stepwell.operators.sequencing import first_per_key
 from stepwell.workload.bindings import table
 
-TURNS_PER_FILE = 64
-LONG_TURN = 600
+# turns whose call gets an output; the others leave it pending
+ANSWERED = "{turn} % 4 < 2"
 
 
 def conversation_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,18 +21,20 @@ def conversation_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def files_of(conversations: DataFrame) -> DataFrame:
-    turns = first_per_key(conversations, ["conv_id", "turn"], ["text"])
     return (
-        turns.withColumn("seg", F.expr(f"turn div {TURNS_PER_FILE}"))
-        .groupBy("conv_id", "seg")
-        .agg(F.expr("array_sort(collect_list(struct(turn, role, text))) AS turns"))
-        .selectExpr("concat('conv-', conv_id, '-', seg) AS doc", "conv_id", "turns")
+        conversations.groupBy("conv_id")
+        .agg(F.expr("array_sort(collect_list(struct(turn, text, role))) AS said"))
+        .selectExpr(
+            "concat('conv-', conv_id) AS doc",
+            "conv_id",
+            "transform(said, (t, i) -> named_struct('turn', i, 'role', t.role, 'text', t.text)) AS turns",
+        )
     )
 
 
-FILES_SQL = f"""uniq AS (SELECT * FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY text) = 1),
-turns AS (SELECT 'conv-' || conv_id || '-' || (turn // {TURNS_PER_FILE}) AS doc, conv_id, turn, role, text,
-                 length(text) AS n FROM uniq)"""
+FILES_SQL = """turns AS (
+    SELECT 'conv-' || conv_id AS doc, conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text, role) - 1 AS turn,
+           role, text, length(text) AS n FROM conversations)"""
 
 
 def raw(files: DataFrame, suffix: str, text: str) -> DataFrame:
@@ -73,14 +74,14 @@ def cursor_files(files: DataFrame) -> DataFrame:
         'tool_calls', if(t.role = 'assistant', array(named_struct('id', concat('t', t.turn),
             'name', 'look', 'arguments', named_struct('n', length(t.text)))), NULL),
         'tool_results', if(t.role = 'user', array(named_struct('tool_call_id', concat('t', t.turn - 1),
-            'content', left(t.text, 40))), NULL))"""
+            'content', t.text)), NULL))"""
     doc = f"""to_json(named_struct('session_id', doc, 'model', 'sonnet',
         'messages', transform(turns, t -> {message})))"""
     return raw(files, ".cursor.json", doc)
 
 
 def claude_code_files(files: DataFrame) -> DataFrame:
-    """Assistant turns make a call; turns that are not too long get a result line."""
+    """Assistant turns make a call; half of the turns get a result line."""
     user = """to_json(named_struct('type', 'user', 'sessionId', doc, 'message', named_struct('content', t.text)))"""
     system = """to_json(named_struct('type', 'system', 'sessionId', doc, 'content', t.text))"""
     agent = """to_json(named_struct('type', 'assistant', 'sessionId', doc, 'message', named_struct('model', 'opus',
@@ -88,9 +89,9 @@ def claude_code_files(files: DataFrame) -> DataFrame:
             named_struct('type', 'tool_use', 'text', NULL, 'id', concat('t', t.turn), 'name', 'look',
                          'input', named_struct('n', length(t.text))))),
         'usage', named_struct('input_tokens', length(t.text), 'output_tokens', t.turn))))"""
-    answer = f"""if(length(t.text) <= {LONG_TURN}, concat(to_json(named_struct('type', 'user', 'sessionId', doc,
+    answer = f"""if({ANSWERED.format(turn='t.turn')}, concat(to_json(named_struct('type', 'user', 'sessionId', doc,
         'message', named_struct('content', array(named_struct('type', 'tool_result', 'tool_use_id', concat('t', t.turn),
-            'content', left(t.text, 40)))))), '\\n'), '')"""
+            'content', t.text))))), '\\n'), '')"""
     text = lines(
         "concat(to_json(named_struct('type', 'permission-mode', 'sessionId', doc)), '\\n')",
         f"CASE t.role WHEN 'assistant' THEN concat({agent}, '\\n', {answer}) WHEN 'user' THEN concat({user}, '\\n') ELSE concat({system}, '\\n') END",
@@ -99,7 +100,7 @@ def claude_code_files(files: DataFrame) -> DataFrame:
 
 
 def codex_files(files: DataFrame) -> DataFrame:
-    """Assistant turns reason, call, and speak; long turns never get their output."""
+    """Assistant turns reason, call, and speak; half of the calls never get their output."""
 
     def event(payload: str) -> str:
         return f"concat(to_json(named_struct('type', 'response_item', 'payload', {payload})), '\\n')"
@@ -112,12 +113,12 @@ def codex_files(files: DataFrame) -> DataFrame:
     )
     output = event(
         "named_struct('type', 'function_call_output', 'call_id', concat('c', t.turn), "
-        "'output', to_json(named_struct('output', left(t.text, 40))))"
+        "'output', to_json(named_struct('output', t.text)))"
     )
     head = (
         "to_json(named_struct('type', 'session_meta', 'payload', named_struct('id', doc, 'cli_version', '1'))), "
         "'\\n', to_json(named_struct('type', 'turn_context', 'payload', named_struct('model', 'gpt'))), '\\n'"
     )
     per_turn = f"""if(t.role = 'assistant',
-        concat({thought}, {call}, if(length(t.text) <= {LONG_TURN}, {output}, ''), {said}), {said})"""
+        concat({thought}, {call}, if({ANSWERED.format(turn='t.turn')}, {output}, ''), {said}), {said})"""
     return raw(files, ".jsonl", lines(head, per_turn))

@@ -296,7 +296,14 @@ def quota_rows(spark, sf_dir):
     return sampling.quota_sample(docs, quotas, "lang", "doc_id")
 
 
-@query("quota_sample")
+HASHED = "CAST('0x' || substr(md5('42/' || doc_id), 1, 15) AS BIGINT)"
+
+
+@query(
+    "quota_sample",
+    f"""WITH {QUOTA_SQL}, d AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY {HASHED}, doc_id) AS rk FROM documents)
+    SELECT doc_id, lang FROM d JOIN q ON q.label = d.lang WHERE rk <= quota""",
+)
 def quota_sample(spark, sf_dir):
     return quota_rows(spark, sf_dir)
 
@@ -319,6 +326,9 @@ def even_split_sizes(spark, sf_dir):
     return sampling.even_split(docs, 7, "doc_id").groupBy("part").agg(F.count("*").alias("n"))
 
 
-@query("even_split")
+@query(
+    "even_split",
+    f"SELECT doc_id, CAST((row_number() OVER (ORDER BY {HASHED}, doc_id) - 1) % 7 AS INTEGER) AS part FROM documents",
+)
 def even_split(spark, sf_dir):
     return sampling.even_split(B.table(spark, sf_dir, "documents").select("doc_id"), 7, "doc_id")

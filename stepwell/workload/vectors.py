@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from stepwell.operators import reports, similarity
+from stepwell.operators import reports, similarity, upserts
 from stepwell.plans import recommend as rec
 from stepwell.workload import query
 from stepwell.workload import bindings as B
@@ -195,6 +195,23 @@ def decode_packed(spark, sf_dir):
     )
 
 
+@query(
+    "upsert_embeddings",
+    """SELECT CAST(vec_id AS VARCHAR) AS trace_id, CASE WHEN vec_id % 3 = 0 THEN 'new' ELSE 'old' END AS model,
+              CASE WHEN vec_id % 3 = 0 THEN 0.0 ELSE round(embedding[1]::DOUBLE, 6) END AS first FROM embeddings""",
+)
+def upsert_embeddings(spark, sf_dir):
+    """Every third vector is replaced by a batch that brings it three times."""
+    stored = B.vectors(spark, sf_dir).selectExpr("trace_id", "embedding", "'old' AS model")
+    dim = "size(embedding)"
+    batch = stored.filter("cast(trace_id as bigint) % 3 = 0")
+    newest = batch.selectExpr("trace_id", f"cast(array_repeat(0, {dim}) as array<float>) AS embedding", "'new' AS model", "2 AS at")
+    earlier = batch.selectExpr("trace_id", "embedding", "'old' AS model", "1 AS at")
+    width = B.table(spark, sf_dir, "embeddings").selectExpr(f"max({dim}) AS d").first()["d"]
+    merged = upserts.upsert_embeddings(stored, newest.union(earlier).union(newest), width, F.col("at").desc())
+    return merged.selectExpr("trace_id", "model", "round(cast(embedding[0] as double), 6) AS first")
+
+
 @query("vectorize")
 def vectorize(spark, sf_dir):
     texts = B.table(spark, sf_dir, "documents").selectExpr("cast(doc_id as string) AS trace_id", "text")

@@ -28,9 +28,9 @@ def test_embedding_upsert_checks_the_size(spark):
     v = "trace_id string, embedding array<float>, model string"
     old = spark.createDataFrame([("a", [1.0, 2.0], "m"), ("b", [1.0, 2.0], "m")], v)
     new = spark.createDataFrame([("a", [3.0, 4.0], "m")], v)
-    assert [r["embedding"] for r in rows(U.upsert_embeddings(old, new, 2), "trace_id")] == [[3.0, 4.0], [1.0, 2.0]]
+    assert [r["embedding"] for r in rows(U.upsert_embeddings(old, new.union(new), 2, F.col("model")), "trace_id")] == [[3.0, 4.0], [1.0, 2.0]]
     with pytest.raises(Exception, match="expected 3 values"):
-        U.upsert_embeddings(old, new, 3).collect()
+        U.upsert_embeddings(old, new, 3, F.col("model")).collect()
     gone = spark.createDataFrame([("a",)], "id string")
     assert [r["trace_id"] for r in U.drop_replaced(old, gone).collect()] == ["b"]
 
