@@ -170,9 +170,9 @@ def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -> tup
     good, bad = (votes == GOOD).sum(1), (votes == BAD).sum(1)
     # a bad vote outweighs good ones: rules are silent about what they do not cover
     post = np.where(bad > 0, 0.2 * good / np.maximum(good + bad, 1), 0.9)
-    table = np.zeros((len(LABELLERS), 2, 3))
+    table = np.full((len(LABELLERS), 2, 3), 1 / 3)
     prior = 0.5
-    for _ in range(rounds):
+    for _ in range(rounds if len(patterns) else 0):
         for c, weight in ((GOOD, post * counts), (BAD, (1 - post) * counts)):
             for v in range(3):
                 table[:, c, v] = (weight @ (votes == v) + 1) / (weight.sum() + 3)
@@ -245,11 +245,12 @@ def fit(docs: DataFrame, text: str = "text", key: str = "doc_id", sample: int =
         picked = picked.filter(F.col("_draw") < F.lit(int(-(2**63) + share * 2**64) if share < 1 else 2**63 - 1))
     schema = "_draw long, pattern long, bucket array<int>, value array<float>"
     chosen = _map(picked, text, rows, schema).orderBy("_draw").limit(sample).toArrow()
-    target = posterior(chosen.column("pattern").to_numpy(), prior, table) if chosen.num_rows else np.zeros(0)
-    sizes = np.array(pa.compute.list_value_length(chosen.column("bucket")).to_pylist(), np.int64)
-    row = np.repeat(np.arange(chosen.num_rows), sizes)
-    bucket = chosen.column("bucket").combine_chunks().flatten().to_numpy()
-    value = chosen.column("value").combine_chunks().flatten().to_numpy().astype(np.float64)
+    if not chosen.num_rows:
+        return Model(prior, table, np.zeros(SHAPE_BUCKETS), 0.0)
+    target = posterior(chosen.column("pattern").to_numpy(), prior, table)
+    bucket, value = (chosen.column(c).combine_chunks() for c in ("bucket", "value"))
+    row = np.repeat(np.arange(chosen.num_rows), np.diff(bucket.offsets.to_numpy()))
+    bucket, value = bucket.flatten().to_numpy(), value.flatten().to_numpy().astype(np.float64)
     weights, bias = train(row, bucket, value, target)
     return Model(prior, table, weights, bias)
 
