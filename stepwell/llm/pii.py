@@ -30,7 +30,8 @@ PATTERNS = {
     "iban": r"(?<![\p{L}0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}0-9])",
     "card": r"(?<![\p{L}0-9.-])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3})(?![\p{L}0-9]|[.-][0-9])",
     "secret": r"(?<![\p{L}0-9])(?=[0-9]{0,60}[A-Fa-f])(?=[A-Fa-f]{0,60}[0-9])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![\p{L}0-9])",
-    "name": rf"(?<=(?<![\p{{L}}]){_TITLE}\.? )\p{{Lu}}\p{{Ll}}+(?: \p{{Lu}}\p{{Ll}}+)?",
+    # the capital comes first, so that few places look back for a title
+    "name": rf"\p{{Lu}}(?<=(?<![\p{{L}}]){_TITLE}\.? .)\p{{Ll}}+(?: \p{{Lu}}\p{{Ll}}+)?",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 
@@ -59,9 +60,8 @@ def kind_of(entity: Column) -> Column:
     )
 
 
-def canonical(entity: Column) -> Column:
+def canonical(entity: Column, kind: Column) -> Column:
     """The form under which spellings of one entity meet."""
-    kind = kind_of(entity)
     return (
         F.when(kind.isin("phone", "card"), F.regexp_replace(entity, "[^0-9]", ""))
         .when(kind == "iban", F.regexp_replace(entity, " ", ""))
@@ -75,6 +75,12 @@ def _stream(secret: str, kind: Column, of: Column, attempt: Column) -> Column:
     return F.concat(F.sha2(seed("0"), 256), F.sha2(seed("1"), 256))
 
 
+def _streams(secret: str, kind: Column, of: Column, attempt: Column) -> Column:
+    """Keyed bits of the entity, and of its domain alone if it is an address."""
+    domain = F.when(kind == "email", _stream(secret, F.lit("domain"), F.substring_index(of, "@", -1), F.lit(0)))
+    return F.struct(_stream(secret, kind, of, attempt).alias("own"), domain.alias("domain"))
+
+
 def _number(stream: Column, at: Column) -> Column:
     """A number below 256 from place ``at`` of the stream; places start over at 64."""
     return F.conv(F.substr(stream, F.pmod(at, F.lit(64)) * 2 + 1, F.lit(2)), 16, 10).cast("int")
@@ -103,7 +109,7 @@ def _reformed(entity: Column, stream: Column, first: Column, latin: str = LATIN)
     return F.array_join(F.transform(F.split(entity, ""), one), "")
 
 
-def _email(entity: Column, stream: Column, secret: str, attempt: Column) -> Column:
+def _email(entity: Column, streams: Column) -> Column:
     """New local part; the domain gets the same stand-in wherever it occurs.
 
     Domains end in a name reserved for examples, so no mail can go out.
@@ -111,12 +117,11 @@ def _email(entity: Column, stream: Column, secret: str, attempt: Column) -> Colu
     local, domain = F.substring_index(entity, "@", 1), F.substring_index(entity, "@", -1)
     labels = F.split(domain, r"\.")
     inner = F.array_join(F.slice(labels, 1, F.greatest(F.size(labels) - 2, F.lit(0))), ".")
-    own = _stream(secret, F.lit("domain"), F.lower(domain), F.lit(0))
     top = F.lower(F.element_at(labels, -1))
     end = F.concat(F.lit("example."), F.when(top.isin("com", "net", "org"), top).otherwise("com"))
     end = F.when(domain == F.upper(domain), F.upper(end)).otherwise(end)
-    head = F.when(inner == "", "").otherwise(F.concat(_reformed(inner, own, F.lit(0)), F.lit(".")))
-    return F.concat(_reformed(local, stream, F.lit(0)), F.lit("@"), head, end)
+    head = F.when(inner == "", "").otherwise(F.concat(_reformed(inner, streams["domain"], F.lit(0)), F.lit(".")))
+    return F.concat(_reformed(local, streams["own"], F.lit(0)), F.lit("@"), head, end)
 
 
 def _name(entity: Column, stream: Column, gender: Column) -> Column:
@@ -124,7 +129,7 @@ def _name(entity: Column, stream: Column, gender: Column) -> Column:
     cyrillic = entity.rlike(r"\p{IsCyrillic}")
 
     def pick(options: list[str], at: int) -> Column:
-        return F.element_at(F.array(*map(F.lit, options)), F.pmod(_number(stream, F.lit(at)), F.lit(len(options))) + 1)
+        return F.element_at(F.split(F.lit(" ".join(options)), " "), F.pmod(_number(stream, F.lit(at)), F.lit(len(options))) + 1)
 
     def made(script: str, at: int) -> Column:
         end = F.when(gender == "f", pick(NAME_ENDS[script, "f"], at + 3)).otherwise(pick(NAME_ENDS[script, "m"], at + 3))
@@ -134,20 +139,18 @@ def _name(entity: Column, stream: Column, gender: Column) -> Column:
     return F.when(F.contains(entity, F.lit(" ")), F.concat(one(0), F.lit(" "), one(8))).otherwise(one(0))
 
 
-def surrogate(entity: Column, gender: Column, attempt: Column, secret: str) -> Column:
+def surrogate(entity: Column, kind: Column, gender: Column, streams: Column) -> Column:
     """The stand-in for one matched text."""
-    kind = kind_of(entity)
-    stream = _stream(secret, kind, canonical(entity), attempt)
-    nothing = F.lit(0)
+    stream, nothing = streams["own"], F.lit(0)
     octets = F.array_join(F.transform(F.split(entity, r"\."), lambda _, i: (F.pmod(_number(stream, i), F.lit(254)) + 1).cast("string")), ".")
+    # characters that stay: the country code of a number, the country of an account
+    first = F.when(kind == "phone", F.length(F.regexp_extract(entity, r"^\+[0-9]+", 0))).when(kind == "iban", 2).otherwise(nothing)
     return (
-        F.when(kind == "email", _email(entity, stream, secret, attempt))
-        .when(kind == "phone", _reformed(entity, stream, F.length(F.regexp_extract(entity, r"^\+[0-9]+", 0))))
+        F.when(kind == "email", _email(entity, streams))
         .when(kind == "ip", octets)
         .when(kind == "secret", _reformed(entity, stream, nothing, HEX_LETTERS))
-        .when(kind == "iban", _reformed(entity, stream, F.lit(2)))
-        .when(kind == "card", _reformed(entity, stream, nothing))
-        .otherwise(_name(entity, stream, gender))
+        .when(kind == "name", _name(entity, stream, gender))
+        .otherwise(_reformed(entity, stream, first))
     )
 
 
@@ -176,8 +179,9 @@ def redraws(entities: DataFrame, secret: str, rounds: int = 20) -> DataFrame:
     """
     attempts = entities.select("kind", "of", "gender", "entity", F.lit(0).alias("attempt"))
     for _ in range(rounds):
-        new = surrogate(F.col("entity"), F.col("gender"), F.col("attempt"), secret)
-        drawn = stored(attempts.withColumn("new", canonical(new)))
+        drawn = attempts.withColumn("_s", _streams(secret, F.col("kind"), F.col("of"), F.col("attempt")))
+        drawn = drawn.withColumn("_n", surrogate(F.col("entity"), F.col("kind"), F.col("gender"), F.col("_s")))
+        drawn = stored(drawn.withColumn("new", canonical(F.col("_n"), F.col("kind"))).drop("_s", "_n"))
         shared = drawn.groupBy("kind", "new").agg(F.min("of").alias("owner"), F.count("*").alias("n")).filter("n > 1")
         losers = drawn.join(shared.select("kind", "new", "owner"), ["kind", "new"]).filter("of <> owner").select("kind", "of")
         originals = entities.select("kind", F.col("of").alias("new"))
@@ -206,37 +210,37 @@ def pseudonymise(docs: DataFrame, secret: str = "surrogate-key", text: str = "te
     rows = docs.select(F.struct(*[docs[c] for c in names]).alias("_row"), docs[text].alias("_text"))
     spelled = (
         rows.select(_found(F.col("_text")).alias("_e"), _pieces(F.col("_text")).alias("_p"))
-        .filter(F.size("_e") > 0)
         .select(F.explode(F.arrays_zip(F.col("_e").alias("entity"), _genders(F.col("_p"), F.col("_e")).alias("gender"))).alias("_m"))
     )
-    entity = F.col("_m.entity")
+    named = spelled.select("_m.entity", "_m.gender").withColumn("kind", kind_of(F.col("entity")))
     distinct = stored(
-        spelled.select(kind_of(entity).alias("kind"), canonical(entity).alias("of"), F.col("_m.gender").alias("gender"), entity.alias("entity"))
-        .groupBy("kind", "of").agg(F.max("gender").alias("gender"), F.min("entity").alias("entity"))
+        named.withColumn("of", canonical(F.col("entity"), F.col("kind"))).groupBy("kind", "of").agg(F.max("gender").alias("gender"), F.min("entity").alias("entity"))
     )
     again = stored(redraws(distinct, secret))
     count = again.count()
     if count <= FEW:
         known = {(r["kind"], r["of"]): r["attempt"] for r in again.collect()}
         matched = rows.withColumns({"_e": _found(F.col("_text")), "_p": _pieces(F.col("_text"))})
+        attempt = lambda _: F.lit(0)
         if known:
             table = F.create_map(*[x for (k, of), n in sorted(known.items()) for x in (F.lit(f"{k}|{of}"), F.lit(n))])
-            attempt = F.transform("_e", lambda e: F.coalesce(F.try_element_at(table, F.concat(kind_of(e), F.lit("|"), canonical(e))), F.lit(0)))
-        else:
-            attempt = F.transform("_e", lambda e: F.lit(0))
-        matched = matched.withColumn("_a", attempt)
+            attempt = lambda m: F.coalesce(F.try_element_at(table, F.concat(m["k"], F.lit("|"), m["of"])), F.lit(0))
     else:
         matched = _joined(rows, again)
-    matched = matched.withColumn("_g", _genders(F.col("_p"), F.col("_e")))
-    triples = F.arrays_zip(F.col("_e").alias("e"), F.col("_g").alias("g"), F.col("_a").alias("a"))
-    new = F.transform(triples, lambda m: surrogate(m["e"], m["g"], m["a"], secret))
-    matched = matched.withColumn("_n", new)
+        attempt = lambda m: m["a"]
+    # entity by entity: type, canonical form, keyed bits, surrogate
+    tried = F.col("_a") if "_a" in matched.columns else F.array().cast("array<int>")
+    each = F.arrays_zip(F.col("_e").alias("e"), _genders(F.col("_p"), F.col("_e")).alias("g"), tried.alias("a"))
+    each = F.transform(each, lambda m: F.struct(m["e"].alias("e"), m["g"].alias("g"), m["a"].alias("a"), kind_of(m["e"]).alias("k")))
+    each = F.transform(each, lambda m: F.struct(m["e"].alias("e"), m["g"].alias("g"), m["a"].alias("a"), m["k"].alias("k"), canonical(m["e"], m["k"]).alias("of")))
+    each = F.transform(each, lambda m: F.struct(m["e"].alias("e"), m["g"].alias("g"), m["k"].alias("k"), _streams(secret, m["k"], m["of"], attempt(m)).alias("s")))
+    new = F.transform(each, lambda m: F.struct(m["k"].alias("kind"), m["e"].alias("old"), surrogate(m["e"], m["k"], m["g"], m["s"]).alias("new")))
+    matched = matched.withColumn("_m", new).withColumn("_n", F.transform("_m", lambda m: m["new"]))
     glued = F.array_join(F.flatten(F.zip_with("_p", "_n", lambda p, n: F.array(p, F.coalesce(n, F.lit(""))))), "")
     clean = F.when(F.size("_e") == 0, F.col("_text")).otherwise(glued)
     columns = [clean.alias(c) if c == text else F.col("_row").getField(c).alias(c) for c in names]
     if details:
-        parts = F.transform(F.arrays_zip(F.col("_e").alias("e"), F.col("_n").alias("n")), lambda m: F.struct(kind_of(m["e"]).alias("kind"), m["e"].alias("old"), m["n"].alias("new")))
-        columns.append(parts.alias("entities"))
+        columns.append(F.col("_m").alias("entities"))
     return matched.select(columns)
 
 
@@ -247,7 +251,7 @@ def _joined(rows: DataFrame, again: DataFrame) -> DataFrame:
     rows.withColumns({"_id": F.monotonically_increasing_id(), "_e": _found(F.col("_text")), "_p": _pieces(F.col("_text"))}).write.parquet(path)
     fixed = spark.read.parquet(path)
     each = fixed.select("_id", F.posexplode("_e").alias("at", "entity"))
-    each = each.select("_id", "at", kind_of(F.col("entity")).alias("kind"), canonical(F.col("entity")).alias("of"))
+    each = each.withColumn("kind", kind_of(F.col("entity"))).withColumn("of", canonical(F.col("entity"), F.col("kind")))
     tried = each.join(again, ["kind", "of"], "left").groupBy("_id").agg(F.array_sort(F.collect_list(F.struct("at", F.coalesce("attempt", F.lit(0)).alias("n")))).alias("_t"))
     both = fixed.join(tried, "_id", "left")
     return both.withColumn("_a", F.coalesce(F.transform("_t", lambda t: t["n"]), F.array().cast("array<int>")))
