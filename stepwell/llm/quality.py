@@ -148,14 +148,15 @@ def thresholds(counts: DataFrame, groups: DataFrame) -> DataFrame:
     own = lambda level: per_group.filter(F.col("g.level") == level)
     fine = own(0).select(F.col("g.lang").alias("_l0"), F.col("g.source").alias("_s0"), row.alias("_f"))
     mid = own(1).select(F.col("g.lang").alias("_l1"), row.alias("_m"))
-    top = own(2).select(row.alias("_t"), F.lit(1).alias("_one"))
+    # one row at most
+    top = own(2).select(row.alias("_t")).first()
     found = (
-        groups.withColumn("_1", F.lit(1))
+        groups
         .join(fine, F.col("lang").eqNullSafe(F.col("_l0")) & F.col("source").eqNullSafe(F.col("_s0")), "left")
         .join(mid, F.col("lang").eqNullSafe(F.col("_l1")), "left")
-        .join(top, F.col("_1") == F.col("_one"), "left")
     )
-    pick = F.when(F.col("_f.all") >= ENOUGH, F.col("_f")).when(F.col("_m.all") >= ENOUGH, F.col("_m")).otherwise(F.col("_t"))
+    everything = F.struct(*[F.lit(top["_t"][c] if top else None).cast("long").alias(c) for c in ("all", *names)])
+    pick = F.when(F.col("_f.all") >= ENOUGH, F.col("_f")).when(F.col("_m.all") >= ENOUGH, F.col("_m")).otherwise(everything)
     return found.select("lang", "source", F.when(F.col("_f.all") >= ENOUGH, 0).when(F.col("_m.all") >= ENOUGH, 1).otherwise(2).alias("level"), *[pick[c].alias(c) for c in names])
 
 
