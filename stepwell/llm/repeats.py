@@ -227,7 +227,8 @@ def repeated_spans(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     ``spans`` holds (lo, hi) pairs, which may overlap.  Texts without any are left out.
     """
     occ = stored(_occurrences(keyed, length, gram))
-    often = occ.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
+    # stored, so that the join deals both sides itself and a frequent anchor is split
+    often = stored(occ.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor"))
     occ = stored(occ.join(often, "anchor", "left_semi"))
     place = F.min(F.struct("id", "th", "s1")).alias("rep")
     contexts = stored(occ.groupBy("anchor", "c1", "c2").agg(F.count("*").alias("n"), F.first("starts").alias("starts"), place))
