@@ -108,9 +108,18 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = False) -> np.ndarray:
-    """64-bit hash of each byte span; ``fold`` hashes A-Z as a-z."""
+    """64-bit hash of each byte span (in order); ``fold`` hashes A-Z as a-z."""
     if not len(starts):
         return np.zeros(0, np.uint64)
+    if len(data) > 4 * BLOCK_BYTES and len(starts) > 1:
+        # the running sums take many times the bytes: go on block by block
+        parts, lo = [], 0
+        while lo < len(starts):
+            hi = max(lo + 1, int(np.searchsorted(ends, starts[lo] + BLOCK_BYTES, "right")))
+            begin = starts[lo]
+            parts.append(span_hashes(data[begin : ends[hi - 1]], starts[lo:hi] - begin, ends[lo:hi] - begin, fold))
+            lo = hi
+        return np.concatenate(parts)
     power, inverse = _powers(len(data))
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_tables(fold)[data] * power[:-1], out=sums[1:])
