@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from stepwell.session import cut_lineage
 
 EPS = 1e-12
+# an angle near zero is off by about 1e-8 after its cosine was rounded
+ANGLE_SLACK = 1e-7
 TIE_DECIMALS = 12
 SMALL_SIDE_VALUES = 16_000_000  # vector values in a broadcast side: 128 MB as float64
 BLOCK_ROWS = 4096
@@ -193,8 +195,8 @@ def top_k_similar(
     ``queries`` and ``candidates``: (trace_id, embedding).  Returns (query_id, trace_id,
     similarity, rank).
     """
-    queries = queries.select(F.col("trace_id").cast("string").alias("query_id"), "embedding")
-    candidates = candidates.select(F.col("trace_id").cast("string"), "embedding")
+    queries = queries.select(F.col("trace_id").cast("string").alias("query_id"), "embedding").filter("embedding IS NOT NULL")
+    candidates = candidates.select(F.col("trace_id").cast("string"), "embedding").filter("embedding IS NOT NULL")
     dim = dim or vector_size(candidates)
     if dim is None:
         return rank_hits(queries.sparkSession.createDataFrame([], HITS), k)
@@ -227,9 +229,16 @@ def _few_queries(table: pa.Table, candidates: DataFrame, dim: int, k: int) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         query_ids, asked = side.value
+        best: dict[str, list[tuple[str, str, float]]] = {}
         for batch in batches:
             ids, rows = _names(batch.column("trace_id")), unit(matrix(batch.column("embedding"), dim))
-            yield from _hits(_score(query_ids, asked, ids, rows, k)).to_batches()
+            for hit in _score(query_ids, asked, ids, rows, k):
+                best.setdefault(hit[0], []).append(hit)
+            # one running top-k per query and task
+            for query_id, hits in best.items():
+                if len(hits) > k:
+                    best[query_id] = sorted(hits, key=lambda h: (-h[2], h[1]))[:k]
+        yield from _hits([hit for hits in best.values() for hit in hits]).to_batches()
 
     return candidates.mapInArrow(run, HITS)
 
@@ -289,7 +298,7 @@ def _route(
             if second:
                 floor = batch.column("floor").to_numpy(zero_copy_only=False)
                 reach = np.cos(np.maximum(angles - radius, 0.0))
-                visit = ~near & (reach >= floor[:, None] - 1e-9)
+                visit = ~near & (reach >= floor[:, None] - ANGLE_SLACK)
             else:
                 visit = near
             visit &= size > 0

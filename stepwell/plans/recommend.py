@@ -40,7 +40,8 @@ def recommend(
     queries = failed_targets(traces, vectors) if targets is None else vectors.join(targets.select("trace_id"), "trace_id")
     pool = restrict(vectors, candidates=pool_ids)
     hits = top_k_similar(queries, pool, k, dim=vector_size(vectors))
-    meta = traces.select(
+    # hits without a recovery drop out anyway: leave their traces out of the join
+    meta = recovered_pool(traces).select(
         F.col("id").alias("trace_id"), "source_format", "agent_name", "failure_events"
     )
     return (

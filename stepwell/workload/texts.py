@@ -31,8 +31,7 @@ def truncate(spark, sf_dir):
     """SELECT doc_id,
         regexp_matches(text, '(?i)(?:^|\\s)(?:error:|license|keyerror)') AS has_marker,
         regexp_matches(text, '(?i)i (?:cannot|can[''’]t)|unable to complete|@') AS gives_up,
-        starts_with(text, '[encrypted ') AS encrypted,
-        regexp_matches(source, '(?i)(?:exit_context|src1)') AS exhausted
+        doc_id % 3 = 0 AS encrypted, source = 'src1' AS exhausted
     FROM documents""",
 )
 def text_markers(spark, sf_dir):
@@ -41,8 +40,8 @@ def text_markers(spark, sf_dir):
         "doc_id",
         T.has_error_marker(text, r"(?i)(?:^|\s)(?:error:|license|keyerror)").alias("has_marker"),
         T.gives_up(text, "(?i)i (?:cannot|can['’]t)|unable to complete|@").alias("gives_up"),
-        T.is_encrypted(text).alias("encrypted"),
-        T.has_error_marker(F.col("source"), "(?i)(?:exit_context|src1)").alias("exhausted"),
+        T.is_encrypted(F.expr("if(doc_id % 3 = 0, concat('[encrypted ', text, ']'), concat('not [encrypted ', text))")).alias("encrypted"),
+        T.context_exhausted(F.expr("if(source = 'src1', 'exit_context', concat('exit_', source))")).alias("exhausted"),
     )
 
 
