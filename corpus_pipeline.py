@@ -21,27 +21,32 @@ from stepwell.session import prepare
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that the weak-label classifier rejects."""
+    prepare(spark)
     return classifier.judge(docs).filter("kept").select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group on five-word shingles at a likeness of 0.8."""
+    prepare(spark)
     return forest.keep_one(docs, k=5, percent=80)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Surrogates for personal data; ``n_chars`` follows the new text."""
+    prepare(spark)
     clean = pii.pseudonymise(docs)
     return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else clean
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources at their target weights; a document stands as often as the mix takes it."""
+    prepare(spark)
     return mixing.mixed(docs)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, and the digests of ids and decoded bytes."""
+    prepare(spark)
     path, pattern = queries.rank_file()
     coded = tokens.encode(docs, path, pattern)
     return queries.id_digests(tokens.decode(coded.select("doc_id", "ids"), path), keep_ids=True)
