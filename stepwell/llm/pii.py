@@ -34,6 +34,8 @@ PATTERNS = {
     "name": rf"\p{{Lu}}(?<=(?<![\p{{L}}]){_TITLE}\.? .)\p{{Ll}}+(?: \p{{Lu}}\p{{Ll}}+)?",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+# every entity has one of these in or before it; a text without any is not searched further
+HINT = rf"[0-9@]|{_TITLE}\.? \p{{Lu}}"
 
 # alphabets per script; letters outside them become Latin ones
 LATIN, CYRILLIC, GREEK = "abcdefghijklmnopqrstuvwxyz", "абвгдежзийклмнопрстуфхцчшщъыьэюя", "αβγδεζηθικλμνξοπρστυφχψω"
@@ -155,12 +157,13 @@ def surrogate(entity: Column, kind: Column, gender: Column, streams: Column) ->
 
 
 def _found(text: Column) -> Column:
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(ANY), F.lit(0))
+    all_of = F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
+    return F.when(text.rlike(HINT), all_of).otherwise(F.array().cast("array<string>"))
 
 
 def _pieces(text: Column) -> Column:
     """What stands between the matches; one piece more than there are matches."""
-    return F.split(F.coalesce(text, F.lit("")), ANY, -1)
+    return F.when(text.rlike(HINT), F.split(text, ANY, -1)).otherwise(F.array(F.coalesce(text, F.lit(""))))
 
 
 def _genders(pieces: Column, entities: Column) -> Column:
