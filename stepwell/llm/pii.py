@@ -6,7 +6,8 @@ own type and format, drawn from a keyed hash of type and canonical form, so the
 gets the same surrogate everywhere (in upper or lower case, with any separators), and nobody
 without the key can tell which.  Titles give the gender of a name; letters stay in their
 script and case.  A surrogate that two entities would share, or that equals an entity found
-anywhere, is drawn again until all are distinct.
+anywhere, is drawn again until all are distinct; names and addresses get longer each time, so
+their number is not limited.
 """
 
 from __future__ import annotations
@@ -80,7 +81,13 @@ def _stream(secret: str, kind: Column, of: Column, attempt: Column) -> Column:
 def _streams(secret: str, kind: Column, of: Column, attempt: Column) -> Column:
     """Keyed bits of the entity, and of its domain alone if it is an address."""
     domain = F.when(kind == "email", _stream(secret, F.lit("domain"), F.substring_index(of, "@", -1), F.lit(0)))
-    return F.struct(_stream(secret, kind, of, attempt).alias("own"), domain.alias("domain"))
+    return F.struct(_stream(secret, kind, of, attempt).alias("own"), domain.alias("domain"), attempt.alias("attempt"))
+
+
+def _added(attempt: Column, one) -> Column:
+    """``one(place)`` for as many places as there were attempts before, from the stream's end."""
+    places = F.slice(F.sequence(F.lit(0), attempt), F.lit(2), attempt)
+    return F.array_join(F.transform(places, lambda i: one(F.lit(64) - i)), "")
 
 
 def _number(stream: Column, at: Column) -> Column:
@@ -114,28 +121,34 @@ def _reformed(entity: Column, stream: Column, first: Column, latin: str = LATIN)
 def _email(entity: Column, streams: Column) -> Column:
     """New local part; the domain gets the same stand-in wherever it occurs.
 
-    Domains end in a name reserved for examples, so no mail can go out.
+    Every label but the last is replaced, and a name reserved for examples ends the domain
+    (if it does not do so already), so no mail can go out.
     """
     local, domain = F.substring_index(entity, "@", 1), F.substring_index(entity, "@", -1)
     labels = F.split(domain, r"\.")
-    inner = F.array_join(F.slice(labels, 1, F.greatest(F.size(labels) - 2, F.lit(0))), ".")
+    ending = F.when(domain.rlike(r"(?i)(^|\.)example\.(com|net|org)$"), 2).otherwise(1)
+    inner = F.array_join(F.slice(labels, F.lit(1), F.size(labels) - ending), ".")
     top = F.lower(F.element_at(labels, -1))
     end = F.concat(F.lit("example."), F.when(top.isin("com", "net", "org"), top).otherwise("com"))
     end = F.when(domain == F.upper(domain), F.upper(end)).otherwise(end)
     head = F.when(inner == "", "").otherwise(F.concat(_reformed(inner, streams["domain"], F.lit(0)), F.lit(".")))
-    return F.concat(_reformed(local, streams["own"], F.lit(0)), F.lit("@"), head, end)
+    more = _added(streams["attempt"], lambda at: _letter(F.lit("a"), _number(streams["own"], at)))
+    more = F.when(local == F.upper(local), F.upper(more)).otherwise(more)
+    return F.concat(_reformed(local, streams["own"], F.lit(0)), more, F.lit("@"), head, end)
 
 
-def _name(entity: Column, stream: Column, gender: Column) -> Column:
+def _name(entity: Column, streams: Column, gender: Column) -> Column:
     """A made-up name of as many parts, in the script and gender of the old one."""
-    cyrillic = entity.rlike(r"\p{IsCyrillic}")
+    stream, cyrillic = streams["own"], entity.rlike(r"\p{IsCyrillic}")
 
-    def pick(options: list[str], at: int) -> Column:
-        return F.element_at(F.split(F.lit(" ".join(options)), " "), F.pmod(_number(stream, F.lit(at)), F.lit(len(options))) + 1)
+    def pick(options: list[str], at: int | Column) -> Column:
+        place = at if isinstance(at, Column) else F.lit(at)
+        return F.element_at(F.split(F.lit(" ".join(options)), " "), F.pmod(_number(stream, place), F.lit(len(options))) + 1)
 
     def made(script: str, at: int) -> Column:
         end = F.when(gender == "f", pick(NAME_ENDS[script, "f"], at + 3)).otherwise(pick(NAME_ENDS[script, "m"], at + 3))
-        return F.concat(pick(NAME_STARTS[script], at), pick(NAME_MIDDLES[script], at + 1), pick(NAME_MIDDLES[script], at + 2), end)
+        more = _added(streams["attempt"], lambda place: pick(NAME_MIDDLES[script], place - at))
+        return F.concat(pick(NAME_STARTS[script], at), pick(NAME_MIDDLES[script], at + 1), pick(NAME_MIDDLES[script], at + 2), more, end)
 
     one = lambda at: F.when(cyrillic, made("cyrillic", at)).otherwise(made("latin", at))
     return F.when(F.contains(entity, F.lit(" ")), F.concat(one(0), F.lit(" "), one(8))).otherwise(one(0))
@@ -151,7 +164,7 @@ def surrogate(entity: Column, kind: Column, gender: Column, streams: Column) ->
         F.when(kind == "email", _email(entity, streams))
         .when(kind == "ip", octets)
         .when(kind == "secret", _reformed(entity, stream, nothing, HEX_LETTERS))
-        .when(kind == "name", _name(entity, stream, gender))
+        .when(kind == "name", _name(entity, streams, gender))
         .otherwise(_reformed(entity, stream, first))
     )
 

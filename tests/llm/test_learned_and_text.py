@@ -187,6 +187,25 @@ def test_colliding_surrogates_are_drawn_again(spark, monkeypatch, few):
     assert not {n for _, _, n in found} & {o for _, o, _ in found}
 
 
+def test_short_addresses_and_names_never_run_out(spark, monkeypatch):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    texts = [f"{x}@{y}.com and hr@firm{i}.com" for i, (x, y) in enumerate((x, y) for x in letters for y in letters)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {(o, n) for _, o, n in entities(pii.pseudonymise(docs, details=True))}
+    assert len(found) == 2 * 676 == len({n for _, n in found})
+    assert not {o for o, _ in found} & {n for _, n in found}
+    # firms differ before the reserved name, and one firm keeps its stand-in
+    text = "a1@one-firm.org b2@one-firm.org a1@two.one-firm.org"
+    new = [n.split("@")[1] for _, _, n in entities(pii.pseudonymise(spark.createDataFrame([(1, text)], "doc_id long, text string"), details=True))]
+    assert new[0] == new[1] and re.fullmatch(r"[a-z]{3}-[a-z]{4}\.example\.org", new[0])
+    assert re.fullmatch(r"[a-z]{3}\.[a-z]{3}-[a-z]{4}\.example\.org", new[2])
+    # sixteen names of one gender at first
+    monkeypatch.setattr(pii, "_number", lambda stream, at: F.pmod(F.conv(F.substr(stream, F.pmod(at, F.lit(64)) * 2 + 1, F.lit(2)), 16, 10).cast("int"), F.lit(2)))
+    docs = spark.createDataFrame([(i, f"Herr Q{letters[i // 26]}{letters[i % 26]}") for i in range(300)], "doc_id long, text string")
+    found = {(o, n) for _, o, n in entities(pii.pseudonymise(docs, details=True))}
+    assert len(found) == 300 == len({n for _, n in found})
+
+
 def test_pii_of_hard_rows(hard, nothing):
     clean = pii.pseudonymise(hard)
     assert clean.columns == hard.columns
