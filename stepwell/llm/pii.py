@@ -190,15 +190,16 @@ def _genders(pieces: Column, entities: Column) -> Column:
 def redraws(entities: DataFrame, secret: str, rounds: int = 20) -> DataFrame:
     """(kind, of, attempt) of the entities whose first surrogate is taken.
 
-    ``entities``: distinct kind, of, gender, entity.  Of the entities that share a surrogate
-    the first keeps it; one that equals an entity of the corpus is drawn again as well.
+    ``entities``: distinct kind, of, gender, entity, so every surrogate that can be written is
+    looked at.  Of the entities that share a surrogate the first keeps it; one that equals an
+    entity of the corpus is drawn again as well, in all its spellings and genders.
     """
     attempts = entities.select("kind", "of", "gender", "entity", F.lit(0).alias("attempt"))
     for _ in range(rounds):
         drawn = attempts.withColumn("_s", _streams(secret, F.col("kind"), F.col("of"), F.col("attempt")))
         drawn = drawn.withColumn("_n", surrogate(F.col("entity"), F.col("kind"), F.col("gender"), F.col("_s")))
         drawn = stored(drawn.withColumn("new", canonical(F.col("_n"), F.col("kind"))).drop("_s", "_n"))
-        shared = drawn.groupBy("kind", "new").agg(F.min("of").alias("owner"), F.count("*").alias("n")).filter("n > 1")
+        shared = drawn.groupBy("kind", "new").agg(F.min("of").alias("owner"), F.max("of").alias("last")).filter("owner <> last")
         losers = drawn.join(shared.select("kind", "new", "owner"), ["kind", "new"]).filter("of <> owner").select("kind", "of")
         originals = entities.select("kind", F.col("of").alias("new"))
         known = drawn.join(originals, ["kind", "new"], "left_semi").select("kind", "of")
@@ -211,7 +212,7 @@ def redraws(entities: DataFrame, secret: str, rounds: int = 20) -> DataFrame:
         )
     else:
         raise RuntimeError("surrogates still collide; there are too few of a type")
-    return drawn.filter("attempt > 0").select("kind", "of", "attempt")
+    return drawn.filter("attempt > 0").select("kind", "of", "attempt").distinct()
 
 
 def pseudonymise(docs: DataFrame, secret: str = "surrogate-key", text: str = "text", details: bool = False) -> DataFrame:
@@ -229,9 +230,7 @@ def pseudonymise(docs: DataFrame, secret: str = "surrogate-key", text: str = "te
         .select(F.explode(F.arrays_zip(F.col("_e").alias("entity"), _genders(F.col("_p"), F.col("_e")).alias("gender"))).alias("_m"))
     )
     named = spelled.select("_m.entity", "_m.gender").withColumn("kind", kind_of(F.col("entity")))
-    distinct = stored(
-        named.withColumn("of", canonical(F.col("entity"), F.col("kind"))).groupBy("kind", "of").agg(F.max("gender").alias("gender"), F.min("entity").alias("entity"))
-    )
+    distinct = stored(named.distinct().withColumn("of", canonical(F.col("entity"), F.col("kind"))))
     again = stored(redraws(distinct, secret))
     count = again.count()
     if count <= FEW:

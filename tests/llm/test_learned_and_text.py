@@ -206,6 +206,17 @@ def test_short_addresses_and_names_never_run_out(spark, monkeypatch):
     assert len(found) == 300 == len({n for _, n in found})
 
 
+def test_both_genders_of_a_name_are_checked(spark):
+    draw = lambda rows: {(o, n) for _, o, n in entities(pii.pseudonymise(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), details=True))}
+    taken = {n for _, n in draw(["Frau Schmidt"])} | {n for _, n in draw(["Herr Schmidt"])}
+    assert len(taken) == 2
+    # a person who is called what Schmidt would be called, by either title
+    for name in taken:
+        found = draw(["Herr Schmidt", "Frau Schmidt", f"Herr {name}"])
+        assert not {o for o, _ in found} & {n for _, n in found}
+        assert len({n for _, n in found}) == len(found) == 3
+
+
 def test_pii_of_hard_rows(hard, nothing):
     clean = pii.pseudonymise(hard)
     assert clean.columns == hard.columns
