@@ -1,7 +1,9 @@
 """Surrogates for personal data, with SQL functions only.
 
 Entities: e-mail addresses, phone numbers, IPv4 addresses, card numbers, quoted or bare
-hexadecimal secrets, IBANs, and names after a title.  Each is replaced by a surrogate of its
+hexadecimal secrets, IBANs, and names after a title.  Phone numbers are + and 8 to 15 digits
+with or without separators, and national forms: an area code in brackets or with a leading
+zero, or ten digits in groups like 415-555-2671.  Each is replaced by a surrogate of its
 own type and format, drawn from a keyed hash of type and canonical form, so the same entity
 gets the same surrogate everywhere (in upper or lower case, with any separators), and nobody
 without the key can tell which.  Titles give the gender of a name; letters stay in their
@@ -24,12 +26,26 @@ MALE_TITLES = ("Mr", "Sir", "Herr", "Monsieur", "Señor", "Don", "Господи
 FEMALE_TITLES = ("Mrs", "Ms", "Miss", "Madam", "Frau", "Madame", "Mademoiselle", "Señora", "Doña", "Госпожа")
 _TITLE = "(?:" + "|".join(MALE_TITLES + FEMALE_TITLES) + ")"
 
+# what may stand between the digits of a number
+_GAP = r"[ \u00A0\u2010-\u2013./()-]{0,3}"
+
 PATTERNS = {
     "email": r"(?<![\p{L}0-9._%+-])[\p{L}0-9._%+-]++@(?:[\p{L}0-9-]++\.)+[\p{L}]{2,}",
     "ip": r"(?<![0-9.])(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?:\.(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])){3}(?![0-9]|\.[0-9])",
-    "phone": r"\+[0-9]{1,3}[^\p{L}0-9\n]{1,6}[0-9]{2,4}[^\p{L}0-9\n]{1,6}[0-9]{3,4}[-. ]?[0-9]{3,4}(?![0-9])",
+    # a North American number has ten digits after the 1; the last form has any separators
+    "phone": rf"\+(?:1(?:{_GAP}[0-9]){{10}}|[0-9](?:{_GAP}[0-9]){{7,14}})(?![0-9])|"
+    r"\+[0-9]{1,3}[^\p{L}0-9\n]{1,6}[0-9]{2,4}[^\p{L}0-9\n]{1,6}[0-9]{3,4}[-. ]?[0-9]{3,4}(?![0-9])",
     "iban": r"(?<![\p{L}0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}0-9])",
     "card": r"(?<![\p{L}0-9.-])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3})(?![\p{L}0-9]|[.-][0-9])",
+    "national": r"\([2-9][0-9]{2}\)[ .-]{0,2}[0-9]{3}[ .-]?[0-9]{4}(?![0-9])"
+    r"|\(0[0-9]{1,5}\)[ .-]{0,2}[0-9]{2,8}(?:[ -]?[0-9]{2,5}){1,3}(?![0-9])"
+    r"|\([1-9][0-9]{1,2}\)[ .-]{0,2}(?=(?:[ -]?[0-9]){7,9}(?![0-9]))[0-9]{2,5}(?:[ -]?[0-9]{2,4}){1,3}"
+    r"|(?<![\p{L}0-9])(?<![0-9][-.,:/+])(?:"
+    r"00[1-9](?:[ ./()-]{0,3}[0-9]){7,13}"
+    r"|0[1-9](?:(?: [0-9]{2}){4}|(?:\.[0-9]{2}){4}|(?:-[0-9]{2}){4})"
+    r"|0[1-9][0-9]{1,4}(?: ?[/-] ?| )(?=(?:[ -]?[0-9]){5,9}(?![0-9]))[0-9]{2,8}(?:[ -]?[0-9]{2,5}){0,3}"
+    r"|0[1-9][0-9]{8,10}"
+    r"|[2-9][0-9]{2}(?:-[0-9]{3}-|\.[0-9]{3}\.)[0-9]{4})(?![0-9])",
     "secret": r"(?<![\p{L}0-9])(?=[0-9]{0,60}[A-Fa-f])(?=[A-Fa-f]{0,60}[0-9])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![\p{L}0-9])",
     # the capital comes first, so that few places look back for a title
     "name": rf"\p{{Lu}}(?<=(?<![\p{{L}}]){_TITLE}\.? .)\p{{Ll}}+(?: \p{{Lu}}\p{{Ll}}+)?",
@@ -38,6 +54,9 @@ ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 # every entity has one of these in or before it; a text without any is not searched further
 HINT = rf"[0-9@]|{_TITLE}\.? \p{{Lu}}"
 
+# country codes of one and of two digits; all others have three
+_COUNTRY = "1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3}"
+
 # alphabets per script; letters outside them become Latin ones
 LATIN, CYRILLIC, GREEK = "abcdefghijklmnopqrstuvwxyz", "абвгдежзийклмнопрстуфхцчшщъыьэюя", "αβγδεζηθικλμνξοπρστυφχψω"
 HEX_LETTERS = "abcdef"
@@ -56,9 +75,10 @@ def kind_of(entity: Column) -> Column:
         F.when(F.contains(entity, F.lit("@")), "email")
         .when(F.startswith(entity, F.lit("+")), "phone")
         .when(entity.rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$"), "ip")
-        .when(entity.rlike(r"^[0-9 -]+$"), "card")
+        .when(entity.rlike(r"^([0-9]{13,19}|[0-9]{4}([ -][0-9]{4}){3})$"), "card")
         .when(entity.rlike(r"^([0-9a-f]{32,}|[0-9A-F]{32,})$"), "secret")
         .when(entity.rlike(r"^[A-Z]{2}[0-9]{2}"), "iban")
+        .when(entity.rlike(r"^[(0-9]"), "phone")
         .otherwise("name")
     )
 
@@ -66,7 +86,8 @@ def kind_of(entity: Column) -> Column:
 def canonical(entity: Column, kind: Column) -> Column:
     """The form under which spellings of one entity meet."""
     return (
-        F.when(kind.isin("phone", "card"), F.regexp_replace(entity, "[^0-9]", ""))
+        F.when(kind == "phone", F.regexp_replace(entity, "[^+0-9]", ""))
+        .when(kind == "card", F.regexp_replace(entity, "[^0-9]", ""))
         .when(kind == "iban", F.regexp_replace(entity, " ", ""))
         .otherwise(F.lower(entity))
     )
@@ -103,7 +124,7 @@ def _letter(c: Column, value: Column, latin: str = LATIN) -> Column:
 
 
 def _reformed(entity: Column, stream: Column, first: Column, latin: str = LATIN) -> Column:
-    """Replace digits by digits and letters by letters from place ``first`` on; keep the rest.
+    """Replace digits by digits and letters by letters but the ``first`` ones; keep the rest.
 
     A character's draw depends on how many letters and digits stand before it, so
     separators do not matter.
@@ -113,7 +134,7 @@ def _reformed(entity: Column, stream: Column, first: Column, latin: str = LATIN)
         ordinal = F.length(F.regexp_replace(F.substr(entity, F.lit(1), i), r"[^\p{L}0-9]", ""))
         value = _number(stream, ordinal)
         drawn = F.when(c.rlike("[0-9]"), F.pmod(value, F.lit(10)).cast("string")).when(c.rlike(r"\p{L}"), _letter(c, value, latin)).otherwise(c)
-        return F.when(i < first, c).otherwise(drawn)
+        return F.when(ordinal < first, c).otherwise(drawn)
 
     return F.array_join(F.transform(F.split(entity, ""), one), "")
 
@@ -158,8 +179,10 @@ def surrogate(entity: Column, kind: Column, gender: Column, streams: Column) ->
     """The stand-in for one matched text."""
     stream, nothing = streams["own"], F.lit(0)
     octets = F.array_join(F.transform(F.split(entity, r"\."), lambda _, i: (F.pmod(_number(stream, i), F.lit(254)) + 1).cast("string")), ".")
-    # characters that stay: the country code of a number, the country of an account
-    first = F.when(kind == "phone", F.length(F.regexp_extract(entity, r"^\+[0-9]+", 0))).when(kind == "iban", 2).otherwise(nothing)
+    # characters that stay: the country code or leading zeros of a number, the country of an account
+    dialled = canonical(entity, F.lit("phone"))
+    prefix = F.length(F.concat(F.regexp_extract(dialled, rf"^\+({_COUNTRY})", 1), F.regexp_extract(dialled, "^0{0,2}", 0)))
+    first = F.when(kind == "phone", prefix).when(kind == "iban", 2).otherwise(nothing)
     return (
         F.when(kind == "email", _email(entity, streams))
         .when(kind == "ip", octets)

@@ -217,6 +217,28 @@ def test_both_genders_of_a_name_are_checked(spark):
         assert len({n for _, n in found}) == len(found) == 3
 
 
+PHONES = [
+    "+14155552671", "+1 415 555 2671", "+33 1 42 68 53 00", "+33142685300", "+49 (0)30 1234567", "+44 20 7946 0958", "+4930123456", "+86 138 0013 8000",
+    "(415) 555-2671", "(415)555-2671", "030 1234567", "0171/1234567", "01 42 68 53 00", "01.42.68.53.00", "(030) 1234567", "(020) 7946 0958",
+    "07911 123456", "01712345678", "(11) 91234-5678", "0049 30 1234567", "415-555-2671",
+]
+NO_PHONES = ["on 01.02.2003 or 01/02/2003 or 2003-02-01", "at 09:30-10:45", "pages (2004) 123-145", "1 + 2 = 3", "version 1.02.03.4.5", "0.123456789", "007 and 00 12", "7 000 000 and 12,000,000"]
+
+
+def test_phone_numbers_of_many_shapes(spark):
+    texts = [f"Call {p}, or not." for p in PHONES] + NO_PHONES
+    found = pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), details=True).orderBy("doc_id").collect()
+    shape = lambda s: re.sub("[0-9]", "9", s)
+    for p, r in zip(PHONES, found):
+        assert [(e["kind"], e["old"]) for e in r["entities"]] == [("phone", p)]
+        assert shape(r["text"]) == shape(f"Call {p}, or not.") and p not in r["text"]
+    assert [r["text"] for r in found[len(PHONES) :]] == NO_PHONES
+    new = {p: r["entities"][0]["new"] for p, r in zip(PHONES, found)}
+    # the country code stays, and separators do not matter
+    assert new["+14155552671"] == re.sub("[^+0-9]", "", new["+1 415 555 2671"]) and new["+14155552671"].startswith("+1")
+    assert new["+33142685300"] == new["+33 1 42 68 53 00"].replace(" ", "") and new["+33142685300"].startswith("+33")
+
+
 def test_pii_of_hard_rows(hard, nothing):
     clean = pii.pseudonymise(hard)
     assert clean.columns == hard.columns
