@@ -3,7 +3,9 @@
 Words become 64-bit hashes, windows of five words become shingles, and ``PERMUTATIONS``
 universal hash functions over the shingles keep their minima, all in numpy over Arrow
 batches.  A fingerprint is the minima's 16-bit forms as hexadecimal text.  ``near_pairs``
-joins signature bands in Spark and verifies the Jaccard likeness on the full shingle sets.
+joins signature bands in Spark and verifies the Jaccard likeness on the full shingle sets;
+documents that bands tie together are a family, and inside a family every pair that could
+still join two groups is verified.
 """
 
 from __future__ import annotations
@@ -14,9 +16,11 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stepwell.llm.textkit import distinct_by_text, minhashes, permutations, shingles, span_hashes, stored, text_blocks, word_spans
+from stepwell.llm import forest
+from stepwell.llm.textkit import distinct_by_text, minhashes, mix64, permutations, shingles, span_hashes, stored, text_blocks, word_spans
 
-PERMUTATIONS, BANDS = 128, 16
+# a pair at a likeness of 0.8 shares none of 32 bands of 4 with a chance of 5e-8
+PERMUTATIONS, BANDS = 128, 32
 SHINGLE, SEED = 5, 3
 
 
@@ -133,35 +137,56 @@ def compare_edits(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     return rows.select(key, "text", "edited", "next_text").mapInArrow(run, schema)
 
 
-def near_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 80) -> DataFrame:
-    """(key, hub, intersection, union): documents and the first one they share a band with.
-
-    Bands of equal minima are joined; in each, every document is compared with the smallest
-    key only, so a band of any size gives one pair per document.  Pairs are verified on the
-    full shingle sets and returned when 100 * intersection >= ``percent`` * union.  Keys
-    are distinct and not NULL here; documents without words are in no pair.
-    """
-    printed = fingerprints(docs.select(key, text), text).filter(F.col(key).isNotNull())
-    width = 4 * PERMUTATIONS // BANDS
-    bands = F.explode(F.array(*[F.struct(F.lit(b).alias("band"), F.xxhash64(F.substring("fingerprint", b * width + 1, width)).alias("mark")) for b in range(BANDS)]))
-    marked = stored(printed.filter(F.regexp_like(F.col(text), F.lit(r"[^\x20\x09-\x0D]"))).select(F.col(key).alias("id"), bands.alias("b")).select("id", "b.*"))
-    hubs = marked.groupBy("band", "mark").agg(F.min("id").alias("hub"), F.count("*").alias("n")).filter("n > 1")
-    pairs = stored(marked.join(hubs, ["band", "mark"]).filter("id <> hub").select("id", "hub").distinct())
-    wanted = pairs.select("id").union(pairs.select("hub")).distinct()
-    texts = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(wanted, "id", "left_semi")
+def _marks(keyed: DataFrame) -> DataFrame:
+    """Per row of (id, text) with words: id, size and 128-bit hash of the set, marks of its bands."""
 
     def run(batches):
+        a, b = permutations(PERMUTATIONS, SEED)
+        width = PERMUTATIONS // BANDS
         for batch in batches:
             for lo, hi, values, bounds in _sets(batch.column(1)):
-                sets = [values[bounds[i] : bounds[i + 1]].tobytes() for i in range(hi - lo)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(sets, pa.binary())], names=["id", "set"])
+                full = np.flatnonzero(np.diff(bounds))
+                if not len(full):
+                    continue
+                sig = (minhashes(values, bounds, a, b)[full] >> np.uint32(16)).astype(np.uint64)
+                marks = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), (len(full), BANDS)).copy()
+                for j in range(width):
+                    marks = mix64(marks * np.uint64(3) + sig[:, j::width] + np.uint64(1))
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(full) + 1) * BANDS, pa.int32()), pa.array(marks.ravel().view(np.int64)))
+                hashes = [np.add.reduceat(mix64(values ^ np.uint64(x)), bounds[full]).view(np.int64) for x in (0, 0x5851F42D4C957F2D)]
+                ids = batch.column(0).slice(lo, hi - lo).take(pa.array(full))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(np.diff(bounds)[full]), *map(pa.array, hashes), lists], names=["id", "n", "set_a", "set_b", "marks"])
+
+    return keyed.mapInArrow(run, "id long, n long, set_a long, set_b long, marks array<long>")
 
-    sets = stored(texts.select("id", "text").mapInArrow(run, "id long, set binary"))
-    both = pairs.join(sets, "id").withColumnRenamed("set", "mine").join(sets.withColumnRenamed("id", "hub"), "hub")
 
-    def verify(batches):
+def near_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 80) -> DataFrame:
+    """(key, hub, intersection, union): verified pairs that connect all near documents.
+
+    Two documents are near when 100 * intersection >= ``percent`` * union on the full shingle
+    sets.  Documents with equal minima in a band are tied, each to the smallest key there, so
+    a band of any size gives one tie per document.  What ties connect is a family: a near pair
+    that shares a band is inside one.  There every pair is verified unless its ends are
+    connected by verified pairs already, so a document has a row (as ``key`` or ``hub``, the
+    smaller of the two) exactly if it is near to another.  Equal sets give one pair per copy.
+    Repeated rows count once; otherwise keys are distinct.  Rows without a key and documents
+    without words are in no pair.
+    """
+    keyed = docs.select(docs[key].cast("long").alias("id"), docs[text].alias("text")).filter("id IS NOT NULL")
+    rows = stored(_marks(keyed))
+    same = ["set_a", "set_b", "n"]
+    firsts = stored(rows.groupBy(*same).agg(F.min("id").alias("hub"), F.max("id").alias("last")).filter("hub < last").drop("last"))
+    copies = stored(rows.select("id", *same).join(firsts, same).filter("id <> hub").select("id", "hub", "n").distinct())
+    left = rows.join(forest._sized(copies.select("id").distinct()), "id", "left_anti")
+    marked = left.select("id", F.explode("marks").alias("mark"))
+    hubs = stored(marked.groupBy("mark").agg(F.min("id").alias("hub"), F.max("id").alias("last")).filter("hub < last").drop("last"))
+    ties = marked.join(hubs, "mark").filter("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
+    links, sets = _verified(keyed, forest.smallest_reachable(ties), percent)
+    both = links.join(sets, F.col("a") == F.col("id")).select("a", "b", F.col("set").alias("mine")).join(sets, F.col("b") == F.col("id"))
+
+    def count(batches):
         for batch in batches:
-            ids, hubs_, mine, theirs = batch.columns
+            hubs_, ids, mine, theirs = batch.columns
             counts = []
             for x, y in zip(mine, theirs):
                 u, v = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
@@ -170,5 +195,41 @@ def near_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text", percent
             shared, union = (pa.array([c[i] for c in counts], pa.int64()) for i in (0, 1))
             yield pa.RecordBatch.from_arrays([ids, hubs_, shared, union], names=[key, "hub", "intersection", "union"])
 
-    checked = both.select("id", "hub", "mine", "set").mapInArrow(verify, f"`{key}` long, hub long, intersection long, union long")
-    return checked.filter(F.col("intersection") * 100 >= F.col("union") * percent)
+    checked = both.select("a", "b", "mine", "set").mapInArrow(count, f"`{key}` long, hub long, intersection long, union long")
+    return checked.union(copies.select(F.col("id").alias(key), "hub", F.col("n").alias("intersection"), F.col("n").alias("union")))
+
+
+def _verified(keyed: DataFrame, families: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) that connect all near sets of each family, and the (id, set) of its members.
+
+    Large families are dealt into blocks twice; members outside the largest group are then
+    compared with the whole family (see ``forest``).
+    """
+    least = percent / 100 - forest.SLACK
+    sizes = stored(families.groupBy("label").agg(F.count("*").alias("members")))
+    wanted = stored(families.join(forest._sized(sizes), "label").select("id", F.col("label").alias("family"), "members"))
+    nodes = stored(forest.full_sets(keyed, wanted, SHINGLE, True, SEED).withColumn("blocks", F.ceil(F.col("members") / forest.BLOCK_ROWS)))
+    deal = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.array(*[F.lit(d) for d in range(forest.DEALS)]))
+    block = F.pmod(F.xxhash64("id", "deal"), F.col("blocks")) * forest.DEALS + F.col("deal")
+    dealt = nodes.withColumn("deal", F.explode(deal)).withColumn("block", block).withColumns({"part": F.col("id"), "side": F.lit(1)})
+    links = stored(forest._confirm(dealt, percent, least).distinct())
+    large = nodes.filter("blocks > 1")
+    if not large.isEmpty():
+        known = large.join(forest._sized(forest.smallest_reachable(links)), "id", "left").withColumn("part", F.coalesce("label", "id")).drop("label")
+        links = stored(links.union(forest._confirm(forest._against_rest(known), percent, least, sides=True)).distinct())
+    ends = stored(links.select(F.col("a").alias("id")).union(links.select(F.col("b").alias("id"))).distinct())
+    return links, nodes.join(forest._sized(ends), "id", "left_semi").select("id", "set").dropDuplicates(["id"])
+
+
+def with_near(rows: DataFrame, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Append near_doc, near_shared and near_union: the likest verified partner of each key.
+
+    NULL where no document is near; of equally like partners the smallest key is named.
+    """
+    pairs = stored(near_pairs(docs, key, text))
+    ways = pairs.select(F.col(key).alias("_k"), F.col("hub").alias("o"), "intersection", "union")
+    ways = ways.union(pairs.select(F.col("hub").alias("_k"), F.col(key).alias("o"), "intersection", "union"))
+    best = F.max_by(F.struct("o", "intersection", "union"), F.struct(F.col("intersection") / F.col("union"), -F.col("o")))
+    near = forest._sized(stored(ways.groupBy("_k").agg(best.alias("_b"))))
+    joined = rows.join(near, rows[key] == F.col("_k"), "left")
+    return joined.select(*rows.columns, F.col("_b.o").alias("near_doc"), F.col("_b.intersection").alias("near_shared"), F.col("_b.union").alias("near_union"))

@@ -104,11 +104,12 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op3_fingerprints")
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = fingerprints.compare_edits(documents(spark, sf_dir))
-    return found.select(
+    docs = documents(spark, sf_dir)
+    found = fingerprints.compare_edits(docs).select(
         "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
         "fingerprint", "edited_fingerprint", "near_edited", "near_next",
     )
+    return fingerprints.with_near(found, docs)
 
 
 # --- 2: mixing -------------------------------------------------------------------------

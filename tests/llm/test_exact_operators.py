@@ -215,6 +215,35 @@ def test_banded_pairs_are_verified(spark):
     assert {r["doc_id"] for r in fingerprints.near_pairs(docs).collect()} >= {1, 2}
 
 
+def test_pairs_beside_their_hub_are_verified(spark):
+    # groups of hub, x, y, copy of y: x and y are near each other but not near the hub
+    rows = []
+    for g in range(12):
+        word = lambda part, n: [f"g{g}{part}{i}" for i in range(n)]
+        shared = word("s", 300)
+        x, y = shared + word("m", 60) + word("x", 20), shared + word("m", 60) + word("y", 20)
+        rows += [(4 * g, " ".join(shared + word("h", 60))), (4 * g + 1, " ".join(x)), (4 * g + 2, " ".join(y)), (4 * g + 3, " ".join(y))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    pairs = {(r["doc_id"], r["hub"]): r["intersection"] / r["union"] for r in fingerprints.near_pairs(docs).collect()}
+    assert set(pairs) == {p for g in range(12) for p in ((4 * g + 2, 4 * g + 1), (4 * g + 3, 4 * g + 2))}
+    assert all(0.8 <= pairs[4 * g + 2, 4 * g + 1] < 1 == pairs[4 * g + 3, 4 * g + 2] for g in range(12))
+    near = {r["doc_id"]: r["near_doc"] for r in fingerprints.with_near(docs.select("doc_id"), docs).collect()}
+    assert all([near[4 * g + j] for j in range(4)] == [None, 4 * g + 2, 4 * g + 3, 4 * g + 2] for g in range(12))
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="needs the generated tables")
+def test_fingerprint_query_names_every_near_document(spark):
+    path = "/root/testdata/sf0.001"
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{path}/documents.parquet").collect()}
+    words = {i: words_of((t or "").lower()) for i, t in texts.items()}
+    sets = {i: {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if w else set() for i, w in words.items()}
+    like = lambda i, j: len(sets[i] & sets[j]) / max(1, len(sets[i] | sets[j]))
+    want = {i for i in sets if any(j != i and like(i, j) >= 0.8 for j in sets)}
+    got = {r["doc_id"]: r for r in queries.QUERIES["op3_fingerprints"](spark, path).collect()}
+    assert set(got) == set(texts) and want and {i for i, r in got.items() if r["near_doc"] is not None} == want
+    assert all(got[i]["near_shared"] / got[i]["near_union"] == like(i, got[i]["near_doc"]) >= 0.8 for i in want)
+
+
 # --- 7 -----------------------------------------------------------------------------------
 
 
