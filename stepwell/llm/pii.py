@@ -1,6 +1,6 @@
 """Surrogates for personal data, with SQL functions only.
 
-Entities: e-mail addresses, phone numbers, IPv4 addresses, card numbers, quoted or bare
+Entities: e-mail addresses (domain names of up to 127 labels), phone numbers, IPv4 addresses, card numbers, quoted or bare
 hexadecimal secrets, IBANs, and names after a title.  Phone numbers are + and 8 to 15 digits
 with or without separators, and national forms: an area code in brackets or with a leading
 zero, or ten digits in groups like 415-555-2671.  Each is replaced by a surrogate of its
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from stepwell.llm.textkit import stored
 from stepwell.session import new_folder
 
-# --- what counts as personal data; Java regular expressions, linear in the text ------------
+# --- what counts as personal data; Java regular expressions; repeated groups are bounded ----
 
 MALE_TITLES = ("Mr", "Sir", "Herr", "Monsieur", "Señor", "Don", "Господин")
 FEMALE_TITLES = ("Mrs", "Ms", "Miss", "Madam", "Frau", "Madame", "Mademoiselle", "Señora", "Doña", "Госпожа")
@@ -30,7 +30,9 @@ _TITLE = "(?:" + "|".join(MALE_TITLES + FEMALE_TITLES) + ")"
 _GAP = r"[ \u00A0\u2010-\u2013./()-]{0,3}"
 
 PATTERNS = {
-    "email": r"(?<![\p{L}0-9._%+-])[\p{L}0-9._%+-]++@(?:[\p{L}0-9-]++\.)+[\p{L}]{2,}",
+    # bounded as addresses are: 254 characters in all, labels of 63, 127 labels; Java matches a
+    # group without bound by recursion, and surrogates are built character by character
+    "email": r"(?<![\p{L}0-9._%+-])[\p{L}0-9._%+-]{1,254}+@(?:[\p{L}0-9-]{1,63}+\.){1,126}[\p{L}]{2,63}",
     "ip": r"(?<![0-9.])(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?:\.(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])){3}(?![0-9]|\.[0-9])",
     # a North American number has ten digits after the 1; the last form has any separators
     "phone": rf"\+(?:1(?:{_GAP}[0-9]){{10}}|[0-9](?:{_GAP}[0-9]){{7,14}})(?![0-9])|"

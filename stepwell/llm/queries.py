@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -201,32 +200,17 @@ def rank_file() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
 
 
-def id_digests(coded: DataFrame, ids: str = "ids", keep_ids: bool = False) -> DataFrame:
+def id_digests(coded: DataFrame, keep_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 (32-bit little-endian ids), decoded_sha256, and the ids."""
-    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if keep_ids else [])]
-
-    def run(batches):
-        import hashlib
-
-        import numpy as np
-
-        for batch in batches:
-            keys, lists, data = batch.columns
-            sizes = np.diff(lists.offsets.to_numpy())
-            shas = [hashlib.sha256(np.asarray(v.values.to_numpy(zero_copy_only=False), "<u4").tobytes()).hexdigest() for v in lists]
-            raw = [hashlib.sha256(v.as_buffer()).hexdigest() for v in data]
-            found = [keys, pa.array(sizes, pa.int64()), pa.array(shas, pa.string()), pa.array(raw, pa.string()), *([lists] if keep_ids else [])]
-            yield pa.RecordBatch.from_arrays(found, names=names)
-
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
-    return coded.select("doc_id", ids, "decoded").mapInArrow(run, schema)
+    found = coded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2("packed", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), "ids"
+    )
+    return found if keep_ids else found.drop("ids")
 
 
 @query("op7_bpe")
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path, pattern = rank_file()
-    coded = tokens.encode(documents(spark, sf_dir).select("doc_id", "text"), path, pattern)
-    return id_digests(tokens.decode(coded.select("doc_id", "ids"), path))
+    return id_digests(tokens.encode_decode(documents(spark, sf_dir), *rank_file()))
 
 
 # --- 9: repeated byte strings ----------------------------------------------------------
@@ -235,7 +219,9 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_suffix_array")
 def op9_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = repeats.cut(documents(spark, sf_dir))
-    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return found.select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), (F.col("n_removed") > 0).alias("has_repeats")
+    )
 
 
 # --- 10: near-duplicates ---------------------------------------------------------------

@@ -20,8 +20,8 @@ from pyspark.sql import DataFrame
 
 from stepwell.llm.textkit import take_spans
 
-# pieces a task remembers before it starts over, and characters of text handled at once
-REMEMBERED = 150_000
+# characters of the pieces a task remembers before it starts over, and of text handled at once
+REMEMBERED_CHARS = 1 << 20
 SLICE_CHARS = 1 << 19
 
 
@@ -35,16 +35,52 @@ def byte_characters() -> list[str]:
 def read_ranks(path: str) -> dict[bytes, int]:
     """Byte strings and ranks of a rank file (base64, blank, number)."""
     with open(path, "rb") as lines:
-        return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+        return _ranks(lines.read())
 
 
-class Codec:
+def _ranks(content: bytes) -> dict[bytes, int]:
+    return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, content.splitlines())}
+
+
+def _content(path: str) -> bytes:
+    """The rank file as the driver sees it; tasks get its bytes with the job."""
+    with open(path, "rb") as file:
+        return file.read()
+
+
+class ByteTable:
+    """The way back: bytes of every id."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        by_id = sorted((r, t) for t, r in ranks.items())
+        size = by_id[-1][0] + 1 if by_id else 0
+        self.lengths = np.zeros(size, np.int64)
+        for r, t in by_id:
+            self.lengths[r] = len(t)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.bytes = np.frombuffer(b"".join(t for _, t in by_id), np.uint8)
+
+    def decode(self, ids: np.ndarray) -> np.ndarray:
+        """The bytes that the ids stand for, one after another."""
+        if len(ids) and int(ids.max()) >= len(self.lengths):
+            raise ValueError(f"id {int(ids.max())} is not in the vocabulary")
+        return take_spans(self.bytes, self.starts[ids], self.lengths[ids])
+
+    def texts(self, ids: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+        """The bytes of each list of ids; list i is ``ids[bounds[i] : bounds[i + 1]]``."""
+        whole = self.decode(ids).tobytes()
+        cuts = np.concatenate([[0], np.cumsum(self.lengths[ids])])[bounds]
+        return [whole[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
+
+
+class Codec(ByteTable):
     """Encoder and decoder of one rank file; built once per task."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         import regex
         from tokenizers import Tokenizer, models, pre_tokenizers
 
+        super().__init__(ranks)
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         chars = byte_characters()
         shown = {t: "".join(chars[b] for b in t) for t in ranks}
@@ -57,31 +93,24 @@ class Codec:
         self.model = Tokenizer(models.BPE(vocab=vocab, merges=merges, ignore_merges=True, cache_capacity=0))
         self.model.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.pattern = regex.compile(pattern)
-        # the way back: characters to bytes, token by token
-        back = {c: b for b, c in enumerate(chars)}
-        by_id = sorted((r, t) for t, r in vocab.items())
-        size = by_id[-1][0] + 1 if by_id else 0
-        self.lengths = np.zeros(size, np.int64)
-        for r, t in by_id:
-            self.lengths[r] = len(t)
-        self.starts = np.cumsum(self.lengths) - self.lengths
-        self.bytes = np.array([back[c] for _, t in by_id for c in t], np.uint8)
         self._forget()
 
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
+        self.remembered = 0
         self.ids = np.zeros(0, np.uint32)
         self.at = np.zeros(1, np.int64)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and their bounds per text."""
-        if len(self.known) > REMEMBERED:
+        if self.remembered > REMEMBERED_CHARS:
             self._forget()
         pieces = [self.pattern.findall(t) for t in texts]
         new = [w for w in dict.fromkeys(w for p in pieces for w in p) if w not in self.known]
         if new:
             coded = [np.array(e.ids, np.uint32) for e in self.model.encode_batch_fast(new, add_special_tokens=False)]
             first = len(self.known)
+            self.remembered += sum(map(len, new))
             self.known.update((w, first + i) for i, w in enumerate(new))
             sizes = np.array([len(c) for c in coded], np.int64)
             self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(sizes)])
@@ -93,12 +122,6 @@ class Codec:
         ends = np.concatenate([[0], np.cumsum(sizes)])
         return ids, ends[np.cumsum([0, *map(len, pieces)])]
 
-    def decode(self, ids: np.ndarray) -> np.ndarray:
-        """The bytes that the ids stand for, one after another."""
-        if len(ids) and int(ids.max()) >= len(self.lengths):
-            raise ValueError(f"id {int(ids.max())} is not in the vocabulary")
-        return take_spans(self.bytes, self.starts[ids], self.lengths[ids])
-
     def offsets(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First character and the one after the last that each token of one text touches.
 
@@ -135,11 +158,12 @@ def encode(
     keep = [c for c in docs.columns if c not in extra]
     rows = docs.select(*[docs[c] for c in keep])
     schema = ", ".join([f"{_quoted(f.name)} {f.dataType.simpleString()}" for f in rows.schema] + [f"{_quoted(c)} array<int>" for c in extra])
+    content = _content(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = None
         for batch in batches:
-            codec = codec or Codec(read_ranks(path), pattern)
+            codec = codec or Codec(_ranks(content), pattern)
             texts = [t or "" for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
             for lo, hi in _slices(texts):
                 flat, bounds = codec.encode(texts[lo:hi])
@@ -161,25 +185,52 @@ def decode(docs: DataFrame, path: str, ids: str = "ids", data: str = "decoded")
     keep = [c for c in docs.columns if c != data]
     rows = docs.select(*[docs[c] for c in keep])
     schema = ", ".join([f"{_quoted(f.name)} {f.dataType.simpleString()}" for f in rows.schema] + [f"{_quoted(data)} binary"])
+    content = _content(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = None
+        table = None
         for batch in batches:
-            codec = codec or Codec(read_ranks(path), r"(?s).+")
+            table = table or ByteTable(_ranks(content))
             for lo in range(0, batch.num_rows, 500):
                 part = batch.slice(lo, 500)
                 lists = part.column(part.schema.get_field_index(ids))
                 flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
                 sizes = np.array([len(v) if v is not None else 0 for v in lists], np.int64)
-                raw = codec.decode(flat)
-                ends = np.cumsum(codec.lengths[flat])
-                cuts = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(sizes)])]
-                whole = raw.tobytes()
-                column = pa.array([whole[a:b] for a, b in zip(cuts[:-1], cuts[1:])], pa.binary())
+                column = pa.array(table.texts(flat, np.concatenate([[0], np.cumsum(sizes)])), pa.binary())
                 yield pa.RecordBatch.from_arrays([*part.columns, column], names=[*keep, data])
 
     return rows.mapInArrow(run, schema)
 
 
+def encode_decode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, ids, packed, decoded): encode every text and decode its ids again, in one pass.
+
+    ``packed`` holds the ids as little-endian unsigned 32-bit integers, ``decoded`` the bytes
+    that they stand for.  The same rows as ``decode(encode(...))``, with one Python worker and
+    one vocabulary per core.  NULL and empty texts have no ids and no bytes.
+    """
+    rows = docs.select(docs[key].alias("key"), docs[text].alias("text"))
+    content = _content(path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = None
+        for batch in batches:
+            codec = codec or Codec(_ranks(content), pattern)
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            for lo, hi in _slices(texts):
+                flat, bounds = codec.encode(texts[lo:hi])
+                raw, at = flat.astype("<u4").tobytes(), 4 * bounds
+                columns = [
+                    batch.column(0).slice(lo, hi - lo),
+                    pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat.astype(np.int32))),
+                    pa.array([raw[a:b] for a, b in zip(at[:-1], at[1:])], pa.binary()),
+                    pa.array(codec.texts(flat, bounds), pa.binary()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "ids", "packed", "decoded"])
+
+    kind = rows.schema["key"].dataType.simpleString()
+    return rows.mapInArrow(run, f"key {kind}, ids array<int>, packed binary, decoded binary").withColumnRenamed("key", key)
+
+
 def _quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"

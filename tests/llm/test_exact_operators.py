@@ -267,7 +267,13 @@ def test_tokens_equal_the_rank_library(docs, nothing):
             assert whole[begin : begin + len(piece)] == piece
             at += len(piece)
     assert tokens.decode(tokens.encode(nothing, path, pattern), path).count() == 0
-    digests = queries.id_digests(back).collect()
+    # one pass gives the same rows
+    both = tokens.encode_decode(docs, path, pattern)
+    row = lambda r: (r["doc_id"], tuple(r["ids"]), bytes(r["decoded"]))
+    assert Counter(map(row, both.collect())) == Counter(map(row, back.collect()))
+    assert all(np.frombuffer(r["packed"], "<u4").tolist() == r["ids"] for r in both.collect())
+    assert tokens.encode_decode(nothing, path, pattern).count() == 0
+    digests = queries.id_digests(both).collect()
     assert len(digests) == len(TEXTS)
     assert {r["decoded_sha256"] for r in digests} == {hashlib.sha256((t[1] or "").encode()).hexdigest() for t in TEXTS}
 
