@@ -47,9 +47,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, and the digests of ids and decoded bytes."""
     prepare(spark)
-    path, pattern = queries.rank_file()
-    coded = tokens.encode(docs, path, pattern)
-    return queries.id_digests(tokens.decode(coded.select("doc_id", "ids"), path), keep_ids=True)
+    return queries.id_digests(tokens.encode_decode(docs, *queries.rank_file()), keep_ids=True)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
