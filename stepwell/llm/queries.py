@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stepwell.llm import classifier, fingerprints, forest, mixing, pii, quality, repeats, tokens, toxicity, webpages
-from stepwell.session import prepare
+from stepwell.llm import classifier, fingerprints, forest, idfiles, infill, mixing, pii, quality, repeats, tokens, toxicity, webpages, whitening
+from stepwell.session import new_folder, prepare
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -247,3 +247,68 @@ FROM documents d JOIN c ON a = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id"""
 @query("op10_forest", NEAR_SQL)
 def op10_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forest.groups(documents(spark, sf_dir), k=2, percent=80)
+
+
+# --- 11: whitened embeddings -----------------------------------------------------------
+
+
+@query("op11_whitening")
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    model = whitening.fit(vectors)
+    error = whitening.identity_error(vectors, model)
+    each = whitening.whiten(vectors, model).select("vec_id", "deviation", F.posexplode("whitened").alias("at", "whitened"))
+    # one number per component
+    explained = F.element_at(F.array(*[F.lit(float(v)) for v in model.explained]).cast("array<double>"), F.col("at") + 1)
+    return each.select(
+        "vec_id", (F.col("at") + 1).alias("component"), F.lit(model.n).cast("long").alias("n"), F.col("deviation").cast("long").alias("deviation"),
+        "whitened", explained.alias("explained"), F.lit(error).cast("double").alias("identity_error"),
+    )
+
+
+# --- 12: token ids as binary files -----------------------------------------------------
+
+
+def tokenizer_file() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query("op12_id_files")
+def op12_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_folder(spark)
+    idfiles.write_ids(documents(spark, sf_dir), folder, tokenizer_file())
+    return idfiles.read_ids(spark, folder, packed=True).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+# --- 13: fill-in-middle ----------------------------------------------------------------
+
+INFILL_SQL = r"""WITH d AS (
+    SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), sha256(coalesce(text, '')))) AS h FROM documents),
+u AS (
+    SELECT *, regexp_extract_all(t, '[^\n]*\n|[^\n]+') AS us,
+           CAST('0x' || substr(h, 1, 8) AS BIGINT) AS h1, CAST('0x' || substr(h, 9, 8) AS BIGINT) AS h2,
+           CAST('0x' || substr(h, 17, 8) AS BIGINT) AS h3, CAST('0x' || substr(h, 25, 8) AS BIGINT) AS h4 FROM d),
+c AS (
+    SELECT *, len(us) AS n, least(h1 % (len(us) + 1), h2 % (len(us) + 1)) AS a, greatest(h1 % (len(us) + 1), h2 % (len(us) + 1)) AS b FROM u),
+p AS (
+    SELECT doc_id, t, n, array_to_string(list_slice(us, 1, a), '') AS pre, array_to_string(list_slice(us, a + 1, b), '') AS mid,
+           array_to_string(list_slice(us, b + 1, n), '') AS suf,
+           CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 100 THEN 'plain'
+                WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM c)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+                        ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM p"""
+
+
+@query("op13_fill_in_middle", INFILL_SQL)
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = infill.rearrange(documents(spark, sf_dir).select("doc_id", "text"))
+    return found.select(
+        "doc_id", F.col("n_units").alias("n"), "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(infill.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
