@@ -33,7 +33,10 @@ def first_n_per_stratum(
 
 
 def write_extract(df: DataFrame, stratum: str, folder: str) -> None:
-    """Write a stratified extract as JSON lines, one folder per stratum."""
+    """Write a stratified extract as JSON lines, one folder per stratum.
+
+    ``sources.session_files.extract_files`` writes one file per row instead.
+    """
     df.write.mode("overwrite").partitionBy(stratum).json(folder)
 
 

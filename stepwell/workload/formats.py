@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from stepwell.plans.ingest import ingest, quality_gate
-from stepwell.plans.tables import current
+from stepwell.plans.tables import current, read_batches
 from stepwell.session import new_folder
 from stepwell.sources import claude_code, codex, cursor, native, swe_agent
 from stepwell.sources import sessions as S
 from stepwell.sources.detect import detect_format, raw_identity, trace_id
-from stepwell.sources.files import scan_json, scan_jsonl, staged_path
+from stepwell.sources.files import read_sessions, scan_json, scan_jsonl, staged_path
+from stepwell.sources.session_files import extract_files, write_session_files
+from stepwell.streaming.appended import LINE_SCHEMA, ingest_appended, store_lines
 from stepwell.streaming.continuous import ingest_batch
+from stepwell.streaming.sync import manifest, sync_changed
 from stepwell.workload import query
 from stepwell.workload import bindings as B
 from stepwell.workload import raw_files as W
@@ -312,3 +315,76 @@ def continuous_ingest(spark, sf_dir):
     return current(spark, f"{folder}/tables/traces").select(
         "id", "source_format", "num_steps", "num_tool_calls", "signals.hit_max_turns"
     )
+
+
+@query(
+    "sync_changed",
+    f"""WITH {W.FILES_SQL},
+    c AS (SELECT doc, count(*) AS n, count(*) FILTER (WHERE role = 'assistant') AS calls,
+                 count(*) FILTER (WHERE turn < 3) AS n_first, count(*) FILTER (WHERE turn < 3 AND role = 'assistant') AS calls_first
+          FROM turns GROUP BY 1)
+    SELECT doc AS id, (n + calls)::INTEGER AS num_steps, calls::INTEGER AS num_tool_calls,
+           CASE WHEN n > n_first THEN 2 ELSE 1 END AS times_taken, (SELECT count(*) FROM c) AS scanned,
+           (SELECT count(*) FROM c WHERE n > n_first) AS grown, 0 AS left_over FROM c""",
+)
+def synced(spark, sf_dir):
+    """Session files that grow between two syncs; a third sync finds nothing to do."""
+    folder = new_folder(spark)
+    turns = files(spark, sf_dir)
+    first = turns.withColumn("turns", F.expr("slice(turns, 1, 3)"))
+    runs = []
+    for state in (first, turns, None):
+        if state is not None:
+            text = W.codex_files(state).selectExpr("file_name", "raw_blob AS text")
+            if runs:
+                text = text.join(turns.filter("size(turns) > 3").selectExpr("concat(doc, '.jsonl') AS file_name"), "file_name", "left_semi")
+            write_session_files(text, f"{folder}/watched")
+        runs.append(sync_changed(spark, f"{folder}/watched", f"{folder}/tables"))
+    taken = manifest(spark, f"{folder}/tables").groupBy(F.expr("replace(element_at(split(path, '/'), -1), '.jsonl')").alias("id"))
+    return current(spark, f"{folder}/tables/traces").join(taken.agg(F.count("*").alias("times_taken")), "id").select(
+        "id", "num_steps", "num_tool_calls", "times_taken",
+        F.lit(runs[0].scanned).alias("scanned"), F.lit(runs[1].ingested).alias("grown"), F.lit(runs[2].ingested).alias("left_over"),
+    )
+
+
+@query(
+    "extract_files",
+    "SELECT 'page__' || page_id || '.json' AS file_name, page_id, url, html FROM pages",
+)
+def extracted(spark, sf_dir):
+    """Every page as a file of its own, read back from the folder."""
+    folder = new_folder(spark)
+    pages = B.table(spark, sf_dir, "pages")
+    extract_files(pages.withColumn("key", F.expr("concat('page/', page_id)")), "key", folder)
+    back = read_sessions(spark, folder, "*.json")
+    return back.select("file_name", F.from_json("raw_blob", "page_id bigint, url string, html string").alias("d")).select("file_name", "d.*")
+
+
+@query(
+    "appended_ingest",
+    f"""WITH {W.FILES_SQL},
+    c AS (SELECT doc, conv_id, count(*) AS n, count(*) FILTER (WHERE role = 'assistant') AS calls FROM turns GROUP BY ALL)
+    SELECT doc AS id, (n + calls)::INTEGER AS num_steps, calls::INTEGER AS num_tool_calls,
+           CASE WHEN conv_id % 2 = 0 THEN 2 ELSE 1 END AS times_taken FROM c""",
+)
+def appended_ingest(spark, sf_dir):
+    """Sessions whose lines come in two deliveries, then a tick of the clock.
+
+    The lines of even conversations are an hour apart, so these settle twice; the others are
+    in one burst that goes on over the end of a batch and a restart.
+    """
+    folder = new_folder(spark)
+    text = W.codex_files(files(spark, sf_dir)).select("path", "raw_blob", F.expr("path RLIKE '[02468][.]jsonl$'").alias("even"))
+    lines = text.select("path", "even", F.posexplode(F.split("raw_blob", "\n")).alias("line_no", "line")).filter("line <> ''")
+    at = "timestamp_seconds(1700000000 + {}) AS event_ts"
+    deliveries = (
+        lines.filter("line_no < 2").selectExpr("path", "bigint(line_no) AS line_no", "line", at.format("line_no")),
+        lines.filter("line_no >= 2").selectExpr("path", "bigint(line_no) AS line_no", "line", at.format("if(even, 3600, 60) + line_no % 60")),
+        spark.range(1).selectExpr("string(NULL) AS path", "bigint(NULL) AS line_no", "string(NULL) AS line", at.format("86400")),
+    )
+    for delivery in deliveries:
+        delivery.write.mode("append").parquet(f"{folder}/in")
+        store_lines(spark.readStream.schema(LINE_SCHEMA).parquet(f"{folder}/in"), f"{folder}/out").awaitTermination()
+        ingest_appended(spark, f"{folder}/out", debounce=600).awaitTermination()
+    times = read_batches(spark, f"{folder}/out/traces").groupBy("id").agg(F.count("*").alias("times_taken"))
+    return current(spark, f"{folder}/out/traces").join(times, "id").select("id", "num_steps", "num_tool_calls", "times_taken")

@@ -8,7 +8,7 @@ from stepwell.functions import text as T
 from stepwell.operators import labels, sequencing, signals
 from stepwell.operators.signals import SIGNAL_NAMES
 from stepwell.session import new_folder
-from stepwell.streaming.settle import settled_batch, settled_stream
+from stepwell.streaming.settle import rocksdb_state, settled_batch, settled_bursts, settled_stream
 from stepwell.workload import query
 from stepwell.workload import bindings as B
 
@@ -255,3 +255,33 @@ def settled_paths_stream(spark, sf_dir):
     return spark.read.parquet(f"{folder}/settled").selectExpr(
         "path", "unix_micros(last_write) AS last_write_us", "writes"
     )
+
+
+@query(
+    "settled_bursts",
+    f"""WITH {BURSTS_SQL}
+    SELECT 'session/' || user_id || '.jsonl' AS path, epoch_us(min(ts)) AS first_write_us,
+           epoch_us(max(ts)) AS last_write_us, count(*) AS writes
+    FROM bursts GROUP BY user_id, burst""",
+)
+def settled_bursts_stream(spark, sf_dir):
+    """The events table as a change stream, then one tick of the clock: every burst leaves."""
+    folder = new_folder(spark)
+    events = B.table(spark, sf_dir, "events").selectExpr("user_id", "cast(ts as timestamp) AS event_ts")
+    events.write.parquet(f"{folder}/in")
+    events.agg(F.expr("cast(NULL as bigint) AS user_id"), F.expr("max(event_ts) + INTERVAL 8 HOURS AS event_ts")).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    changes = spark.readStream.schema(events.schema).parquet(f"{folder}/in").selectExpr("concat('session/', user_id, '.jsonl') AS path", "event_ts")
+    with rocksdb_state(spark):
+        stream = (
+            settled_bursts(changes, debounce=6 * 3600, delay=3600)
+            .writeStream.outputMode("append")
+            .format("parquet")
+            .option("path", f"{folder}/settled")
+            .option("checkpointLocation", f"{folder}/progress")
+            .trigger(availableNow=True)
+            .start()
+        )
+    stream.awaitTermination()
+    return spark.read.parquet(f"{folder}/settled").selectExpr(
+        "path", "unix_micros(first_write) AS first_write_us", "unix_micros(last_write) AS last_write_us", "writes"
+    )
