@@ -53,7 +53,6 @@ def numbered_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         events,
         "trace_id",
         ["ts", "event_id"],
-        F.unix_micros(F.col("ts").cast("timestamp")),
         keep_slice="chunk",
     )
 

@@ -58,5 +58,5 @@ def test_renderings_limit_before_the_shuffle(steps):
 
 def test_numbering_shuffles_rows_once(spark):
     df = spark.createDataFrame([("a", 1)], "k string, at long")
-    found, _ = shuffles(number_in_key(df, "k", ["at"], F.col("at")))
+    found, _ = shuffles(number_in_key(df, "k", ["at"]))
     assert found.count("k, _slice") == 1
