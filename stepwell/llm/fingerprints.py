@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stepwell.llm import forest
-from stepwell.llm.textkit import distinct_by_text, minhashes, mix64, permutations, shingles, span_hashes, stored, text_blocks, word_spans
+from stepwell.llm.textkit import discard, distinct_by_text, minhashes, mix64, permutations, shingles, span_hashes, stored, text_blocks, word_spans
 
 # a pair at a likeness of 0.8 shares none of 32 bands of 4 with a chance of 5e-8
 PERMUTATIONS, BANDS = 128, 32
@@ -181,44 +181,38 @@ def near_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text", percent
     marked = left.select("id", F.explode("marks").alias("mark"))
     hubs = stored(marked.groupBy("mark").agg(F.min("id").alias("hub"), F.max("id").alias("last")).filter("hub < last").drop("last"))
     ties = marked.join(hubs, "mark").filter("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-    links, sets = _verified(keyed, forest.smallest_reachable(ties), percent)
-    both = links.join(sets, F.col("a") == F.col("id")).select("a", "b", F.col("set").alias("mine")).join(sets, F.col("b") == F.col("id"))
-
-    def count(batches):
-        for batch in batches:
-            hubs_, ids, mine, theirs = batch.columns
-            counts = []
-            for x, y in zip(mine, theirs):
-                u, v = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                shared = len(np.intersect1d(u, v, assume_unique=True))
-                counts.append((shared, len(u) + len(v) - shared))
-            shared, union = (pa.array([c[i] for c in counts], pa.int64()) for i in (0, 1))
-            yield pa.RecordBatch.from_arrays([ids, hubs_, shared, union], names=[key, "hub", "intersection", "union"])
-
-    checked = both.select("a", "b", "mine", "set").mapInArrow(count, f"`{key}` long, hub long, intersection long, union long")
+    families = forest.smallest_reachable(ties)
+    discard(rows, firsts, hubs)
+    links = _verified(keyed, families, percent).groupBy("a", "b").agg(F.max(F.struct("shared", "total")).alias("_c"))
+    checked = links.select(F.col("b").alias(key), F.col("a").alias("hub"), F.col("_c.shared").alias("intersection"), F.col("_c.total").alias("union"))
     return checked.union(copies.select(F.col("id").alias(key), "hub", F.col("n").alias("intersection"), F.col("n").alias("union")))
 
 
-def _verified(keyed: DataFrame, families: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Links (a, b) that connect all near sets of each family, and the (id, set) of its members.
+def _verified(keyed: DataFrame, families: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b, shared, total) that connect all near sets of each family.
 
-    Large families are dealt into blocks twice; members outside the largest group are then
-    compared with the whole family (see ``forest``).
+    A family that fits a block is settled there, its sets going straight from the texts into
+    the shuffle.  Large families are dealt into blocks twice; members outside the largest
+    group are then compared with the whole family (see ``forest``).
     """
     least = percent / 100 - forest.SLACK
     sizes = stored(families.groupBy("label").agg(F.count("*").alias("members")))
     wanted = stored(families.join(forest._sized(sizes), "label").select("id", F.col("label").alias("family"), "members"))
-    nodes = stored(forest.full_sets(keyed, wanted, SHINGLE, True, SEED).withColumn("blocks", F.ceil(F.col("members") / forest.BLOCK_ROWS)))
-    deal = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.array(*[F.lit(d) for d in range(forest.DEALS)]))
-    block = F.pmod(F.xxhash64("id", "deal"), F.col("blocks")) * forest.DEALS + F.col("deal")
-    dealt = nodes.withColumn("deal", F.explode(deal)).withColumn("block", block).withColumns({"part": F.col("id"), "side": F.lit(1)})
-    links = stored(forest._confirm(dealt, percent, least).distinct())
-    large = nodes.filter("blocks > 1")
+    own = {"part": F.col("id"), "side": F.lit(1)}
+    small = stored(wanted.filter(F.col("members") <= forest.BLOCK_ROWS))
+    settled = forest.full_sets(keyed, small, SHINGLE, True, SEED).withColumns({"block": F.lit(0).cast("long"), **own})
+    links = stored(forest._confirm(settled, percent, least, counts=True))
+    large = stored(wanted.filter(F.col("members") > forest.BLOCK_ROWS))
     if not large.isEmpty():
-        known = large.join(forest._sized(forest.smallest_reachable(links)), "id", "left").withColumn("part", F.coalesce("label", "id")).drop("label")
-        links = stored(links.union(forest._confirm(forest._against_rest(known), percent, least, sides=True)).distinct())
-    ends = stored(links.select(F.col("a").alias("id")).union(links.select(F.col("b").alias("id"))).distinct())
-    return links, nodes.join(forest._sized(ends), "id", "left_semi").select("id", "set").dropDuplicates(["id"])
+        nodes = stored(forest.full_sets(keyed, large, SHINGLE, True, SEED).withColumn("blocks", F.ceil(F.col("members") / forest.BLOCK_ROWS)))
+        dealt = nodes.withColumn("deal", F.explode(F.array(*[F.lit(d) for d in range(forest.DEALS)])))
+        dealt = dealt.withColumn("block", F.pmod(F.xxhash64("id", "deal"), F.col("blocks")) * forest.DEALS + F.col("deal"))
+        first = stored(forest._confirm(dealt.withColumns(own), percent, least, counts=True))
+        known = nodes.join(forest._sized(forest.smallest_reachable(first)), "id", "left").withColumn("part", F.coalesce("label", "id")).drop("label")
+        rest = stored(forest._confirm(forest._against_rest(known), percent, least, sides=True, counts=True))
+        discard(nodes)
+        links = links.union(first).union(rest)
+    return links
 
 
 def with_near(rows: DataFrame, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
