@@ -12,7 +12,7 @@ from stepwell.functions import variants as V
 from stepwell.functions.outcomes import EVENT_SCHEMA
 from stepwell.session import cut_lineage
 from stepwell.sources import sessions as S
-from stepwell.sources.detect import detect_format, trace_id
+from stepwell.sources.detect import detect_format, known_id, raw_identity
 from stepwell.sources.registry import normalize_all
 
 SIGNALS_SCHEMA = (
@@ -32,6 +32,10 @@ EMPTY_COLUMNS = (
 # Bounds of the quality gate.
 MIN_STEPS, MAX_STEPS = 5, 200
 
+# narrow rows of a run (ids, counts, hashes: a few hundred bytes each) that are broadcast to
+# where the texts lie; more are joined by a shuffle of both sides
+NARROW_ROWS = 500_000
+
 TOOL_CALLS = "aggregate(steps, 0, (n, s) -> n + coalesce(size(s.tool_calls), 0))"
 
 
@@ -71,11 +75,15 @@ def ingest(
     Every file becomes a trace row that keeps its raw text; files that no normaliser can
     use have no steps.  Of files with the same trace id the newest wins.
 
-    The raw texts are written once with their format, partitioned by it, so that each
-    normaliser reads its own files only; the sessions are written once because three
-    tables read them.  Without a ``bronze`` folder both go to the checkpoint folder.
+    The raw texts are written once, with all that is read off them (format, id in the text,
+    hash), partitioned by format, so that each normaliser reads its own files only; the
+    sessions are written once because three tables read them.  Ids, winners and counts are
+    settled on narrow columns.  Only then every text is read again, where it was written, and
+    gets the columns of its trace by path and hash: no text is shuffled for up to
+    ``NARROW_ROWS`` files a run.  Without a ``bronze`` folder the texts go to the checkpoint folder.
     """
-    detected = raw.withColumn("source_format", detect_format())
+    read_off = {"source_format": detect_format(), "raw_id": raw_identity(), "raw_hash": F.sha2("raw_blob", 256)}
+    detected = raw.withColumns(read_off)
     if bronze is None:
         detected = cut_lineage(detected)
     else:
@@ -100,12 +108,21 @@ def ingest(
         F.lit(True).alias("_normalised"),
     )
     order = F.col("mtime") if "mtime" in raw.columns else F.lit(None).cast("timestamp")
-    traces = detected.withColumn("_mtime", order).join(facts, "path", "left").select(
-        trace_id().alias("id"),
+    narrow = detected.select("path", "file_name", "source_format", "raw_id", "raw_hash", order.alias("_mtime"))
+    keyed = narrow.join(facts, "path", "left").withColumn("id", known_id())
+    # the newest file per id
+    winners = keyed.groupBy("id").agg(F.max(F.struct("_mtime", "path")).alias("_newest")).select("_newest.path")
+    newest = cut_lineage(keyed.join(winners, "path", "left_semi").drop("_mtime", "file_name", "raw_id"))
+    small = newest.count() <= NARROW_ROWS
+    beside = F.broadcast if small else (lambda rows: rows)
+    # the format is known to the narrow side only, so that the scan of the texts stays one scan
+    texts = detected.select("path", "raw_hash", "raw_blob")
+    traces = texts.join(beside(newest), ["path", "raw_hash"]).select(
+        "id",
         "path",
         "source_format",
         "raw_blob",
-        F.sha2("raw_blob", 256).alias("raw_hash"),
+        "raw_hash",
         F.coalesce("_normalised", F.lit(False)).alias("has_atif"),
         (F.current_timestamp() if ingested_at is None else ingested_at).alias("ingested_at"),
         "agent_name",
@@ -115,20 +132,10 @@ def ingest(
         F.when(F.col("resolved").isNotNull(), (~F.col("resolved")).cast("int")).alias("has_error"),
         "synthetic_failure_mode",
         *[F.lit(None).cast(kind).alias(name) for name, kind in EMPTY_COLUMNS],
-        "_mtime",
-    )
-    # the newest file per id is found on three narrow columns; the raw texts stay where
-    # the join by path has put them
-    winners = (
-        traces.select("id", "path", "_mtime")
-        .groupBy("id")
-        .agg(F.max(F.struct("_mtime", "path")).alias("_newest"))
-        .select("_newest.path")
     )
-    newest = traces.join(winners, "path", "left_semi").drop("_mtime")
-    keys = newest.filter("has_atif").select("path", F.col("id").alias("_id"))
-    keyed = sessions.join(keys, "path")
-    return Ingested(newest, S.trajectories_of(keyed, "_id"), S.steps_of(keyed, "_id"))
+    keys = newest.filter("_normalised").select("path", F.col("id").alias("_id"))
+    kept = sessions.join(beside(keys), "path")
+    return Ingested(traces, S.trajectories_of(kept, "_id"), S.steps_of(kept, "_id"))
 
 
 def quality_gate(

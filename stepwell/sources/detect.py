@@ -70,11 +70,15 @@ def _identity(v: str) -> str:
     return f"coalesce({', '.join(V.text(v, '$.' + f) for f in fields)}, {meta})"
 
 
-def raw_identity(raw: str = "raw_blob") -> Column:
-    """Session id found in the document or in its first line."""
+def raw_identity_sql(raw: str = "raw_blob") -> str:
     bare = V.strip(raw)
     line = V.strip(f"split({bare}, '{LINE_BREAK_SQL}', 2)[0]")
-    return F.expr(f"coalesce({_identity(V.parse(bare))}, {_identity(V.parse(line))})")
+    return f"coalesce({_identity(V.parse(bare))}, {_identity(V.parse(line))})"
+
+
+def raw_identity(raw: str = "raw_blob") -> Column:
+    """Session id found in the document or in its first line."""
+    return F.expr(raw_identity_sql(raw))
 
 
 def stem_sql(file_name: str) -> str:
@@ -85,17 +89,28 @@ def file_stem(file_name: str = "file_name") -> Column:
     return F.expr(stem_sql(file_name))
 
 
-def trace_id(
+def known_id(
     trajectory_id: str = "trajectory_id",
     session_id: str = "session_id",
-    raw: str = "raw_blob",
+    raw_id: str = "raw_id",
     file_name: str = "file_name",
+    raw_hash: str = "raw_hash",
 ) -> Column:
-    """Stable key: canonical ids, ids in the text, the file stem, a content hash."""
+    """Stable key from narrow columns: canonical ids, the id in the text, the file stem, a hash."""
     return F.coalesce(
         F.expr(f"nullif({trajectory_id}, '')"),
         F.expr(f"nullif({session_id}, '')"),
-        raw_identity(raw),
+        F.expr(raw_id),
         F.expr(f"nullif({stem_sql(file_name)}, '')"),
-        F.expr(f"concat('sha256:', left(sha2({raw}, 256), 32))"),
+        F.expr(f"concat('sha256:', left({raw_hash}, 32))"),
     )
+
+
+def trace_id(
+    trajectory_id: str = "trajectory_id",
+    session_id: str = "session_id",
+    raw: str = "raw_blob",
+    file_name: str = "file_name",
+) -> Column:
+    """The same key where the text is at hand."""
+    return known_id(trajectory_id, session_id, raw_identity_sql(raw), file_name, f"sha2({raw}, 256)")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from stepwell.operators import render, signals
 from stepwell.operators.sequencing import number_in_key
+from stepwell.plans.ingest import ingest
 from stepwell.sources import claude_code, codex, cursor, native, swe_agent
 
 
@@ -60,3 +61,19 @@ def test_numbering_shuffles_rows_once(spark):
     df = spark.createDataFrame([("a", 1)], "k string, at long")
     found, _ = shuffles(number_in_key(df, "k", ["at"]))
     assert found.count("k, _slice") == 1
+
+
+def test_ingest_shuffles_no_text(spark, folder):
+    """Texts are written once and read again in place; only narrow columns are exchanged."""
+    data = [(f"s{i}.jsonl", f"s{i}.jsonl", '{"type": "session_meta", "payload": {"id": "s%d"}}\n{"type": "response_item", "payload": {"type": "message", "role": "user", "content": "hi"}}' % (i % 7)) for i in range(20)]
+    raw = spark.createDataFrame(data, "path string, file_name string, raw_blob string")
+    done = ingest(raw, bronze=f"{folder}/bronze")
+    for table in (done.traces, done.trajectories, done.steps):
+        plan = table._jdf.queryExecution().executedPlan().toString().splitlines()
+        moved = [below for line, below in zip(plan, plan[1:]) if " Exchange " in line]
+        assert not [x for x in moved if "raw_blob" in x]
+    assert "Exchange hashpartitioning" not in done.traces._jdf.queryExecution().executedPlan().toString()
+    # ids that several files claim go to one of them, with its own text
+    got = {r["id"]: r["path"] for r in done.traces.collect()}
+    assert got == {f"s{i}": max(f"s{j}.jsonl" for j in range(20) if j % 7 == i) for i in range(7)}
+    assert done.steps.count() == 7
