@@ -22,6 +22,7 @@ interchangeable.  Other columns are not written.  An empty table gives no shards
 from __future__ import annotations
 
 import os
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -33,10 +34,14 @@ from pyspark.sql import functions as F
 
 from stepwell.llm.textkit import stored, take_spans, text_blocks
 
-# characters of pieces a task remembers before it starts over
-REMEMBERED_CHARS = 1 << 21
-# bytes of text that are cut and encoded at once
-PIECE_BYTES = 1 << 20
+# characters of chunks a task remembers before it starts over
+REMEMBERED_CHARS = 1 << 23
+# bytes of text that are cut and encoded at once, and ids that are read at once
+PIECE_BYTES, PIECE_IDS = 8 << 20, 1 << 20
+# chunks that go through the library as one text, a line each
+LINES = 200
+# one word, perhaps after a blank
+_WORD = re.compile(r" ?\S+")
 
 # Bytes of the multi-byte white space of Unicode, as (lead, second, third bytes).
 _BLANKS = ((0xC2, (0x85, 0xA0), None), (0xE1, (0x9A,), (0x80,)), (0xE2, (0x80,), (*range(0x80, 0x8B), 0xA8, 0xA9, 0xAF)), (0xE2, (0x81,), (0x9F,)), (0xE3, (0x80,), (0x80,)))
@@ -56,16 +61,22 @@ def _solid(data: np.ndarray) -> np.ndarray:
     return solid
 
 
-def chunk_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+def chunk_starts(data: np.ndarray, offsets: np.ndarray, marks: bool = True) -> np.ndarray:
     """Starts of chunks that a byte-level vocabulary encodes apart from each other.
 
-    A chunk begins with a text, and at a single space between two characters that are no
-    white space: there every match of the splitting pattern ends, and none looks back.
+    A chunk begins with a text, where white space follows another character, and (with
+    ``marks``) where a mark other than an apostrophe follows a letter or digit: there every match of the splitting
+    pattern ends, and none looks back.  Only ASCII decides; around other white space nothing is cut.
     """
     cut = np.zeros(len(data), bool)
-    if len(data) > 2:
-        solid = _solid(data)
-        cut[1:-1] = (data[1:-1] == 32) & solid[:-2] & solid[2:]
+    if len(data) > 1:
+        lower = data | 32
+        word = ((lower >= 97) & (lower <= 122)) | ((data >= 48) & (data <= 57))
+        mark = (data > 32) & (data < 127) & ~word & (data != 39)
+        blank = (data == 32) | ((data >= 9) & (data <= 13))
+        cut[1:] = _solid(data)[:-1] & blank[1:]
+        if marks:
+            cut[1:] |= word[:-1] & mark[1:]
     cut[offsets[:-1][np.diff(offsets) > 0]] = True
     return np.flatnonzero(cut)
 
@@ -79,7 +90,10 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.model = Tokenizer.from_str(content.decode())
         # without it the texts of special tokens are ordinary text
+        self.special = special
         self.model.encode_special_tokens = not special
+        line = self.model.encode("\n", add_special_tokens=False).ids
+        self.line = line[0] if len(line) == 1 else None
         self._forget()
 
     def _forget(self) -> None:
@@ -88,24 +102,36 @@ class Encoder:
         self.ids = np.zeros(0, np.uint32)
         self.at = np.zeros(1, np.int64)
 
+    def _one_by_one(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        coded = [e.ids for e in self.model.encode_batch_fast(chunks, add_special_tokens=False)]
+        return np.array([i for c in coded for i in c], np.uint32), np.fromiter(map(len, coded), np.int64, len(coded))
+
+    def _as_lines(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Many words in one text: a line end is an id of its own, which no word holds."""
+        texts = ["\n".join(words[i : i + LINES]) + "\n" for i in range(0, len(words), LINES)]
+        ids, _ = self._one_by_one(texts)
+        ends = np.flatnonzero(ids == self.line)
+        return ids[ids != self.line], np.diff(ends, prepend=-1) - 1
+
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts of a block one after another, and their bounds per text."""
         if self.remembered > REMEMBERED_CHARS:
             self._forget()
-        starts = chunk_starts(data, offsets)
+        # the string of a special token holds marks
+        starts = chunk_starts(data, offsets, not self.special)
         places = pa.py_buffer(np.append(starts, len(data)).astype(np.int64))
         chunks = pa.LargeStringArray.from_buffers(len(starts), places, pa.py_buffer(np.ascontiguousarray(data)))
         chunks = chunks.dictionary_encode()
         distinct = chunks.dictionary.to_pylist()
         new = [c for c in distinct if c not in self.known]
-        if new:
-            coded = [e.ids for e in self.model.encode_batch_fast(new, add_special_tokens=False)]
+        lines = [c for c in new if _WORD.fullmatch(c)] if self.line is not None else []
+        rest = [c for c in new if not _WORD.fullmatch(c)] if self.line is not None else new
+        for some, (coded, sizes) in ((lines, self._as_lines(lines)), (rest, self._one_by_one(rest))):
             first = len(self.known)
-            self.known.update((c, first + i) for i, c in enumerate(new))
-            self.remembered += sum(map(len, new))
-            sizes = np.fromiter(map(len, coded), np.int64, len(coded))
+            self.known.update(zip(some, range(first, first + len(some))))
+            self.remembered += sum(map(len, some))
             self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(sizes)])
-            self.ids = np.concatenate([self.ids, np.array([i for c in coded for i in c], np.uint32)])
+            self.ids = np.concatenate([self.ids, coded])
         known = self.known
         numbers = np.fromiter((known[c] for c in distinct), np.int64, len(distinct))
         which = numbers[chunks.indices.to_numpy()] if len(starts) else np.zeros(0, np.int64)
@@ -167,12 +193,12 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str, key: str = "doc_id",
         part = f"{own}.{uuid.uuid4().hex}.part"
         encoder, keys, known, sizes = None, [], [], []
         with open(part, "wb") as file:
-            for batch in batches:
+            for table in _larger(batches, PIECE_BYTES):
                 encoder = encoder or Encoder(content, special)
-                column = batch.column(0)
+                column = table.column(0).combine_chunks()
                 known.append(np.asarray(column.is_valid()).astype(np.uint8))
                 keys.append(column.fill_null(0).to_numpy())
-                for lo, hi, data, offsets in text_blocks(batch.column(1), PIECE_BYTES):
+                for lo, hi, data, offsets in text_blocks(table.column(1), PIECE_BYTES):
                     ids, bounds = encoder.encode(data, offsets)
                     ids = np.insert(ids, np.repeat(bounds[1:], len(end)), end * (hi - lo)) if end else ids
                     sizes.append(np.diff(bounds) + len(end))
@@ -212,6 +238,19 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str, key: str = "doc_id",
     return int(bases[-1])
 
 
+def _larger(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
+    """Consecutive batches of about ``most`` bytes together."""
+    held, size = [], 0
+    for batch in batches:
+        if held and size + batch.nbytes > most:
+            yield pa.Table.from_batches(held)
+            held, size = [], 0
+        held.append(batch)
+        size += batch.nbytes
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 class ShardIndex:
     """The mapped index of one shard."""
 
@@ -244,8 +283,7 @@ def read_ids(spark: SparkSession, folder: str, width: int = 2, key: str = "doc_i
                 local = (index.offsets - np.uint64(index.base)).astype(np.int64)
                 lo = 0
                 while lo < index.docs:
-                    # about as many ids at once as a block of text has bytes
-                    hi = max(lo + 1, int(np.searchsorted(local, local[lo] + PIECE_BYTES, "right")) - 1)
+                    hi = max(lo + 1, int(np.searchsorted(local, local[lo] + PIECE_IDS, "right")) - 1)
                     part = np.asarray(ids[local[lo] : local[hi]])
                     at = local[lo : hi + 1] - local[lo]
                     keys = pa.array(index.keys[lo:hi], pa.int64(), mask=index.known[lo:hi] == 0)
