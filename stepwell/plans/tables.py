@@ -7,6 +7,7 @@ the batches into one.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +23,16 @@ def read_batches(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.option("mergeSchema", True).parquet(folder)
 
 
+def read_or_none(spark: SparkSession, folder: str) -> DataFrame | None:
+    """All batches, or None where none was written yet."""
+    try:
+        return read_batches(spark, folder)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
 def current(spark: SparkSession, folder: str, key: str = "id") -> DataFrame:
     """Newest row per key."""
     return last_writer(read_batches(spark, folder), key, F.col("batch_id").desc()).drop("batch_id")

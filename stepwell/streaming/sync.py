@@ -15,16 +15,16 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import islice
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stepwell.plans.tables import write_batch
+from stepwell.plans.tables import read_or_none, write_batch
 from stepwell.sources.files import read_sessions
 from stepwell.streaming.continuous import Passes, ingest_batch, signals_only
 
 FILES_PER_BATCH = 10_000
 MANIFEST_SCHEMA = "path string, size bigint, mtime_s bigint, batch_id bigint"
+MANIFEST_COLUMNS = ("path", "size", "mtime_s", "bigint(batch_id) AS batch_id")
 
 
 @dataclass(frozen=True)
@@ -51,12 +51,8 @@ def listing(spark: SparkSession, folder: str, pattern: str | None = "*.jsonl") -
 
 def manifest(spark: SparkSession, out: str) -> DataFrame:
     """(path, size, mtime_s, batch_id) of all files taken in so far; empty before the first."""
-    try:
-        return spark.read.schema(MANIFEST_SCHEMA).parquet(f"{out}/manifest")
-    except AnalysisException as missing:
-        if missing.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], MANIFEST_SCHEMA)
+    found = read_or_none(spark, f"{out}/manifest")
+    return spark.createDataFrame([], MANIFEST_SCHEMA) if found is None else found.selectExpr(*MANIFEST_COLUMNS)
 
 
 def due(files: DataFrame, known: DataFrame) -> DataFrame:

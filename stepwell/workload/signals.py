@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 from stepwell.functions import text as T
 from stepwell.operators import labels, sequencing, signals
 from stepwell.operators.signals import SIGNAL_NAMES
+from stepwell.plans.ingest import EMPTY_COLUMNS
+from stepwell.plans.ledger import enrich_stale
+from stepwell.plans.tables import read_batches
 from stepwell.session import new_folder
 from stepwell.streaming.settle import rocksdb_state, settled_batch, settled_bursts, settled_stream
 from stepwell.workload import query
@@ -285,3 +288,42 @@ def settled_bursts_stream(spark, sf_dir):
     return spark.read.parquet(f"{folder}/settled").selectExpr(
         "path", "unix_micros(first_write) AS first_write_us", "unix_micros(last_write) AS last_write_us", "writes"
     )
+
+
+@query(
+    "enrichment_chain",
+    f"""WITH {B.CONVERSATION_STEPS_SQL},
+    t AS (SELECT trace_id AS id, CAST(trace_id AS BIGINT) AS c, count(*) AS n FROM conv GROUP BY ALL)
+    SELECT id, 1 + (c % 5 = 0)::INT AS signal_runs, CASE WHEN c % 3 = 0 THEN 1 + (c % 5 = 0 OR c % 7 = 0)::INT ELSE 0 END AS event_runs,
+           CASE WHEN c % 3 = 0 AND c IN (SELECT vec_id FROM embeddings) THEN 2 ELSE 0 END AS recommendation_runs,
+           n >= 50 AS hit_max_turns, CASE WHEN c % 3 = 0 THEN CASE WHEN c % 7 = 0 THEN 'gave_up' ELSE 'success' END ELSE '' END AS failure_label,
+           (SELECT count(*) FILTER (WHERE c % 5 = 0) FROM t) AS signals_again, 0 AS third_run
+    FROM t""",
+)
+def enrichment_chain(spark, sf_dir):
+    """The chain runs three times: on everything, after a few inputs changed, and on the same once more."""
+    folder = new_folder(spark)
+    steps = B.conversation_steps(spark, sf_dir)
+    ids = steps.groupBy(F.col("trace_id").alias("id")).agg(F.sum(F.xxhash64("message", "step_id").cast("decimal(38,0)")).cast("string").alias("raw_hash"))
+    traces = ids.selectExpr(
+        "id", "raw_hash", "true AS has_atif", "'codex' AS source_format", "'agent' AS agent_name", "cast(NULL as int) AS has_error",
+        *[f"cast(NULL as {kind}) AS {name}" for name, kind in EMPTY_COLUMNS],
+    )
+    changed = traces.withColumn("raw_hash", F.expr("if(bigint(id) % 5 = 0, concat(raw_hash, '+'), raw_hash)"))
+    event = "array(named_struct('label', '{}', 'step_start', 1, 'step_end', 1, 'recovered', {}, 'recovery_step', 2, 'recovery_summary', 'went on'))"
+    answers = ids.filter("bigint(id) % 3 = 0").selectExpr("id AS trace_id", f"cast({event.format('loop', 'true')} as {B.EVENT_SCHEMA}) AS events")
+    again = answers.withColumn("events", F.when(F.expr("bigint(trace_id) % 7 = 0"), F.expr(f"cast({event.format('gave_up', 'false')} as {B.EVENT_SCHEMA})")).otherwise(F.col("events")))
+    vectors = B.vectors(spark, sf_dir).select("trace_id", "embedding")
+    runs = [
+        enrich_stale(spark, folder, now, None, steps, event_responses=given, vectors=vectors)
+        for now, given in ((traces, answers), (changed, again), (changed, again))
+    ]
+    counted = lambda name: F.count(F.when(F.col("pass") == name, 1)).cast("int")
+    ledger = read_batches(spark, f"{folder}/ledger").withColumn("c", F.col("trace_id").cast("bigint"))
+    times = ledger.filter("pass <> 'recommendations' OR c % 3 = 0").groupBy(F.col("trace_id").alias("id")).agg(
+        counted("signals").alias("signal_runs"), counted("events").alias("event_runs"), counted("recommendations").alias("recommendation_runs")
+    )
+    return runs[-1].traces.join(times, "id").select(
+        "id", "signal_runs", "event_runs", "recommendation_runs", "signals.hit_max_turns", F.coalesce("failure_label", F.lit("")).alias("failure_label"),
+        F.lit(runs[1].touched["signals"]).alias("signals_again"), F.lit(sum(runs[2].touched.values())).alias("third_run"),
+    )
