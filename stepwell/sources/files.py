@@ -11,7 +11,8 @@ from stepwell.functions import variants as V
 PATTERNS = {
     "claude_code": "*.jsonl",
     "codex": "*.jsonl",
-    "cursor": "*.cursor.json",
+    # exports and plain chats; the content decides
+    "cursor": "*.json",
     "swe_agent": "*.json",
     "atif": "trajectory.json",
 }

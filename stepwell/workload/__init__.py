@@ -33,4 +33,4 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def load_all() -> None:
-    from stepwell.workload import catalog, formats, reports, signals, texts, vectors  # noqa: F401
+    from stepwell.workload import adapters, catalog, formats, reports, signals, texts, vectors  # noqa: F401
