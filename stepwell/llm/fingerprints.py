@@ -202,6 +202,7 @@ def _verified(keyed: DataFrame, families: DataFrame, percent: int) -> DataFrame:
     small = stored(wanted.filter(F.col("members") <= forest.BLOCK_ROWS))
     settled = forest.full_sets(keyed, small, SHINGLE, True, SEED).withColumns({"block": F.lit(0).cast("long"), **own})
     links = stored(forest._confirm(settled, percent, least, counts=True))
+    discard(small)
     large = stored(wanted.filter(F.col("members") > forest.BLOCK_ROWS))
     if not large.isEmpty():
         nodes = stored(forest.full_sets(keyed, large, SHINGLE, True, SEED).withColumn("blocks", F.ceil(F.col("members") / forest.BLOCK_ROWS)))
@@ -209,6 +210,7 @@ def _verified(keyed: DataFrame, families: DataFrame, percent: int) -> DataFrame:
         dealt = dealt.withColumn("block", F.pmod(F.xxhash64("id", "deal"), F.col("blocks")) * forest.DEALS + F.col("deal"))
         first = stored(forest._confirm(dealt.withColumns(own), percent, least, counts=True))
         known = nodes.join(forest._sized(forest.smallest_reachable(first)), "id", "left").withColumn("part", F.coalesce("label", "id")).drop("label")
+        discard(sizes)
         rest = stored(forest._confirm(forest._against_rest(known), percent, least, sides=True, counts=True))
         discard(nodes)
         links = links.union(first).union(rest)
@@ -223,7 +225,9 @@ def with_near(rows: DataFrame, docs: DataFrame, key: str = "doc_id", text: str =
     pairs = stored(near_pairs(docs, key, text))
     ways = pairs.select(F.col(key).alias("_k"), F.col("hub").alias("o"), "intersection", "union")
     ways = ways.union(pairs.select(F.col("hub").alias("_k"), F.col(key).alias("o"), "intersection", "union"))
-    best = F.max_by(F.struct("o", "intersection", "union"), F.struct(F.col("intersection") / F.col("union"), -F.col("o")))
-    near = forest._sized(stored(ways.groupBy("_k").agg(best.alias("_b"))))
+    likest = F.max_by(F.struct("o", "intersection", "union"), F.struct(F.col("intersection") / F.col("union"), -F.col("o")))
+    best = stored(ways.groupBy("_k").agg(likest.alias("_b")))
+    discard(pairs)
+    near = forest._sized(best)
     joined = rows.join(near, rows[key] == F.col("_k"), "left")
     return joined.select(*rows.columns, F.col("_b.o").alias("near_doc"), F.col("_b.intersection").alias("near_shared"), F.col("_b.union").alias("near_union"))

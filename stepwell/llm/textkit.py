@@ -6,6 +6,7 @@ pattern ``[^\\x20\\x09-\\x0D]+``, as those bytes never occur inside another char
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,11 +38,17 @@ def stored(df: DataFrame) -> DataFrame:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Delete tables made by ``stored`` that nothing reads any more."""
+    """Delete tables made by ``stored`` that nothing reads any more, and old shuffle files.
+
+    The files of a finished shuffle stay on the executors until the driver's garbage collector
+    finds its plan unused, which may take half an hour: a chain of many jobs asks for it.
+    """
     for table in tables:
         spark = table.sparkSession
         path = spark._jvm.org.apache.hadoop.fs.Path(table._stored_path)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def n_words(text: str = "text"):
