@@ -4,9 +4,12 @@ Every document gets a few shares (symbols, repetition, repeated lines, capitals,
 words).  Per language and source a mergeable quantile sketch of each share is kept: counts
 per bucket, where a bucket is the leading ``SKETCH_BITS`` bits of the number, so sketches of
 any two parts of the corpus add up and quantiles are right to 1/32 of their size.  A
-threshold lies a multiple of the spread beyond the median of the smallest group (language
-and source, language, everything) with enough documents.  The thresholds, one row per
-language and source, are joined to the documents, which are filtered.
+threshold lies beyond the ninth decile of its own group by ``REACH`` times the distance between
+the median and that decile, and by ``STEPS`` of the smallest steps that the share can take in a
+usual document of the group (one word or line more), so the group's own upper tail decides.  The
+quantiles of a group are blended with those of its language, and these with those of everything,
+by the number of documents: a group of ``PRIOR`` documents speaks for itself by half.  The
+thresholds, one row per language and source, are joined to the documents, which are filtered.
 """
 
 from __future__ import annotations
@@ -22,18 +25,20 @@ from stepwell.llm.mixing import with_small
 from stepwell.llm.textkit import mix64, span_hashes, stored, text_blocks, word_spans
 
 SKETCH_BITS = 6
-# documents a group needs before it sets its own thresholds
-ENOUGH = 500
-# spreads between the median and a threshold
-REACH = 6
-# share: (expression in hundredths of a percent or of a character, least spread, two-sided)
+# documents that a group's parent counts for
+PRIOR = 1000
+# distances between median and ninth decile, and steps, from that decile to a threshold
+REACH, STEPS = 6, 3
+# share: (expression in hundredths of a percent or of a character, its step, two-sided)
 SHARES = {
-    "symbols": ("n_symbols * 10000 div greatest(n_words, 1)", 150, False),
-    "repeats": ("n_repeat_words * 10000 div greatest(n_words, 1)", 600, False),
-    "dup_lines": ("n_dup_lines * 10000 div greatest(n_lines, 1)", 900, False),
-    "capitals": ("n_capitals * 10000 div greatest(word_chars, 1)", 250, False),
-    "word_length": ("word_chars * 100 div greatest(n_words, 1)", 60, True),
+    "symbols": ("n_symbols * 10000 div greatest(n_words, 1)", "10000 div greatest(n_words, 1)", False),
+    "repeats": ("n_repeat_words * 10000 div greatest(n_words, 1)", "30000 div greatest(n_words, 1)", False),
+    "dup_lines": ("n_dup_lines * 10000 div greatest(n_lines, 1)", "10000 div greatest(n_lines, 1)", False),
+    "capitals": ("n_capitals * 10000 div greatest(word_chars, 1)", "10000 div greatest(word_chars, 1)", False),
+    "word_length": ("word_chars * 100 div greatest(n_words, 1)", "100 div greatest(n_words, 1)", True),
 }
+# what a group's sketches tell of a share: (quantile in tenths, of the share or of its step)
+QUANTILES = {"low": (1, ""), "mid": (5, ""), "high": (9, ""), "step": (5, "step_")}
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals")
 BASE_FAILED = "n_words < 50 OR 100 * n_repeat_words > 50 * n_words"
 
@@ -110,8 +115,9 @@ def bucket(value: Column) -> Column:
 
 
 def sketches(measured: DataFrame) -> DataFrame:
-    """Counts per (lang, source, share, bucket); merging sketches is adding counts."""
-    pairs = F.explode(F.array(*[F.struct(F.lit(s).alias("share"), F.expr(e).alias("value")) for s, (e, _, _) in SHARES.items()]))
+    """Counts per (lang, source, share, bucket), also of the steps; merging sketches is adding counts."""
+    sketched = {s: e for s, (e, _, _) in SHARES.items()} | {f"step_{s}": e for s, (_, e, _) in SHARES.items()}
+    pairs = F.explode(F.array(*[F.struct(F.lit(s).alias("share"), F.expr(e).alias("value")) for s, e in sketched.items()]))
     each = measured.filter(f"NOT ({BASE_FAILED})").select("lang", "source", pairs.alias("_s"))
     return each.groupBy("lang", "source", F.col("_s.share").alias("share"), bucket(F.col("_s.value")).alias("bucket")).agg(F.count("*").alias("n"))
 
@@ -133,18 +139,13 @@ def thresholds(counts: DataFrame, groups: DataFrame) -> DataFrame:
     total = Window.partitionBy("g", "share")
     ranked = merged.withColumns({"cum": F.sum("n").over(running), "all": F.sum("n").over(total)})
     at = lambda tenths: F.min(F.when(F.col("cum") * 10 >= F.col("all") * tenths, F.col("bucket")))
-    quantiles = ranked.groupBy("g", "share").agg(at(1).alias("q10"), at(5).alias("q50"), F.max("all").alias("all"))
-    least = F.create_map(*[x for s, (_, spread, _) in SHARES.items() for x in (F.lit(s), F.lit(spread))])
-    spread = F.greatest(F.col("q50") - F.col("q10"), least[F.col("share")])
-    fences = quantiles.select("g", "share", "all", (F.col("q50") + REACH * spread).alias("hi"), (F.col("q50") - REACH * spread).alias("lo"))
-    per_group = fences.groupBy("g").agg(
-        F.max("all").alias("all"),
-        *[F.max(F.when(F.col("share") == s, F.col("hi"))).alias(f"hi_{s}") for s in SHARES],
-        *[F.max(F.when(F.col("share") == s, F.col("lo"))).alias(f"lo_{s}") for s, (_, _, both) in SHARES.items() if both],
+    tenths = sorted({t for t, _ in QUANTILES.values()})
+    quantiles = ranked.groupBy("g", "share").agg(*[at(t).alias(f"q{t}") for t in tenths], F.max("all").alias("all"))
+    told = {f"{name}_{s}": (t, f"{of}{s}") for s in SHARES for name, (t, of) in QUANTILES.items()}
+    per_group = stored(
+        quantiles.groupBy("g").agg(F.max("all").alias("all"), *[F.max(F.when(F.col("share") == share, F.col(f"q{t}"))).alias(c) for c, (t, share) in told.items()])
     )
-    names = [c for c in per_group.columns if c not in ("g", "all")]
-    per_group = stored(per_group)
-    row = F.struct("all", *names)
+    row = F.struct("all", *told)
     own = lambda level: per_group.filter(F.col("g.level") == level)
     fine = own(0).select(F.col("g.lang").alias("_l0"), F.col("g.source").alias("_s0"), row.alias("_f"))
     mid = own(1).select(F.col("g.lang").alias("_l1"), row.alias("_m"))
@@ -155,9 +156,20 @@ def thresholds(counts: DataFrame, groups: DataFrame) -> DataFrame:
         .join(fine, F.col("lang").eqNullSafe(F.col("_l0")) & F.col("source").eqNullSafe(F.col("_s0")), "left")
         .join(mid, F.col("lang").eqNullSafe(F.col("_l1")), "left")
     )
-    everything = F.struct(*[F.lit(top["_t"][c] if top else None).cast("long").alias(c) for c in ("all", *names)])
-    pick = F.when(F.col("_f.all") >= ENOUGH, F.col("_f")).when(F.col("_m.all") >= ENOUGH, F.col("_m")).otherwise(everything)
-    return found.select("lang", "source", F.when(F.col("_f.all") >= ENOUGH, 0).when(F.col("_m.all") >= ENOUGH, 1).otherwise(2).alias("level"), *[pick[c].alias(c) for c in names])
+
+    def blended(group: str, c: str, parent: str) -> str:
+        n = f"coalesce({group}.all, 0)"
+        return f"(({n} * coalesce({group}.{c}, 0) + {PRIOR} * ({parent})) div ({n} + {PRIOR}))"
+
+    everything = {c: str(top["_t"][c]) if top else "cast(NULL as bigint)" for c in told}
+    value = {c: blended("_f", c, blended("_m", c, everything[c])) for c in told}
+    limits = {}
+    for s, (_, _, both) in SHARES.items():
+        # the decile is the lower end of its bucket, which is up to 1/32 wide
+        limits[f"hi_{s}"] = f"{value[f'high_{s}']} + {value[f'high_{s}']} div {1 << SKETCH_BITS - 1} + {REACH} * ({value[f'high_{s}']} - {value[f'mid_{s}']}) + {STEPS} * {value[f'step_{s}']}"
+        if both:
+            limits[f"lo_{s}"] = f"{value[f'low_{s}']} - {REACH} * ({value[f'mid_{s}']} - {value[f'low_{s}']}) - {STEPS} * {value[f'step_{s}']}"
+    return found.select("lang", "source", F.coalesce("_f.all", F.lit(0)).alias("group_docs"), *[F.expr(e).cast("long").alias(c) for c, e in limits.items()])
 
 
 def verdict() -> Column:
@@ -185,7 +197,7 @@ def rate(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "
     match = F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source"))
     joined = with_small(measured, limits, match, groups.count(), "left")
     limit_names = [c for c in limits.columns if c.startswith(("hi_", "lo_"))]
-    return joined.select(key, *COUNTS, F.expr(BASE_FAILED).alias("base_failed"), verdict().alias("kept"), "level", *limit_names)
+    return joined.select(key, *COUNTS, F.expr(BASE_FAILED).alias("base_failed"), verdict().alias("kept"), "group_docs", *limit_names)
 
 
 def filtered(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:

@@ -41,13 +41,14 @@ _HALF_OPEN = " AND ".join(
     f"coalesce({_duck(e)} <= hi_{s}, true)" + (f" AND coalesce({_duck(e)} >= lo_{s}, true)" if both else "")
     for s, (e, _, both) in quality.SHARES.items()
 )
-_SPREADS = " ".join(f"WHEN '{s}' THEN {spread}" for s, (_, spread, _) in quality.SHARES.items())
-_FENCES = ", ".join(
-    f"max(CASE WHEN share = '{s}' THEN hi END) AS hi_{s}" + (f", max(CASE WHEN share = '{s}' THEN lo END) AS lo_{s}" if both else "")
-    for s, (_, _, both) in quality.SHARES.items()
-)
 _FENCE_NAMES = [f"{side}_{s}" for side in ("hi", "lo") for s, (_, _, both) in quality.SHARES.items() if side == "hi" or both]
 
+_SKETCHED = {s: e for s, (e, _, _) in quality.SHARES.items()} | {f"step_{s}": e for s, (_, e, _) in quality.SHARES.items()}
+_TOLD = {f"{name}_{s}": (t, f"{of}{s}") for s in quality.SHARES for name, (t, of) in quality.QUANTILES.items()}
+_LIMITS = {f"hi_{s}": f"high_{s} + high_{s} // {1 << quality.SKETCH_BITS - 1} + {quality.REACH} * (high_{s} - mid_{s}) + {quality.STEPS} * step_{s}" for s in quality.SHARES} | {
+    f"lo_{s}": f"low_{s} - {quality.REACH} * (mid_{s} - low_{s}) - {quality.STEPS} * step_{s}" for s, (_, _, both) in quality.SHARES.items() if both
+}
+
 QUALITY_SQL = rf"""WITH w AS (
     SELECT doc_id, lang, source, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws,
            list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls
@@ -65,29 +66,31 @@ m AS (
            CAST(coalesce(len(ls), 0) AS BIGINT) AS n_lines,
            CAST(coalesce(length(regexp_replace(text, '[^A-Z]+', '', 'g')), 0) AS BIGINT) AS n_capitals
     FROM w LEFT JOIN rep ON rep.doc_id = w.doc_id),
-v AS ({" UNION ALL ".join(f"SELECT lang, source, '{s}' AS share, {_duck(e)} AS value FROM m WHERE NOT ({quality.BASE_FAILED})" for s, (e, _, _) in quality.SHARES.items())}),
+v AS ({" UNION ALL ".join(f"SELECT lang, source, '{s}' AS share, {_duck(e)} AS value FROM m WHERE NOT ({quality.BASE_FAILED})" for s, e in _SKETCHED.items())}),
 b AS (SELECT lang, source, share, (value >> greatest(length(bin(value)) - {quality.SKETCH_BITS}, 0)) << greatest(length(bin(value)) - {quality.SKETCH_BITS}, 0) AS bucket FROM v),
 g AS (SELECT 0 AS level, lang, source, share, bucket FROM b UNION ALL SELECT 1, lang, NULL, share, bucket FROM b UNION ALL SELECT 2, NULL, NULL, share, bucket FROM b),
 c AS (SELECT level, lang, source, share, bucket, count(*) AS n FROM g GROUP BY ALL),
 r AS (
     SELECT *, sum(n) OVER (PARTITION BY level, lang, source, share ORDER BY bucket) AS cum,
            sum(n) OVER (PARTITION BY level, lang, source, share) AS all_n FROM c),
-q AS (
-    SELECT level, lang, source, share, min(CASE WHEN cum * 10 >= all_n THEN bucket END) AS q10,
-           min(CASE WHEN cum * 10 >= all_n * 5 THEN bucket END) AS q50, max(all_n) AS all_n
-    FROM r GROUP BY ALL),
-f AS (
-    SELECT *, q50 + {quality.REACH} * spread AS hi, q50 - {quality.REACH} * spread AS lo
-    FROM (SELECT *, greatest(q50 - q10, CASE share {_SPREADS} END) AS spread FROM q)),
-p AS (SELECT level, lang, source, max(all_n) AS all_n, {_FENCES} FROM f GROUP BY level, lang, source),
+p AS (
+    SELECT level, lang, source, CAST(max(all_n) AS BIGINT) AS all_n,
+           {", ".join(f"min(CASE WHEN share = '{share}' AND cum * 10 >= all_n * {t} THEN bucket END) AS {c}" for c, (t, share) in _TOLD.items())}
+    FROM r GROUP BY level, lang, source),
+x AS (
+    SELECT l.lang, l.all_n, {", ".join(f"(l.all_n * l.{c} + {quality.PRIOR} * t.{c}) // (l.all_n + {quality.PRIOR}) AS {c}" for c in _TOLD)}
+    FROM p l, p t WHERE l.level = 1 AND t.level = 2),
+y AS (
+    SELECT d.lang, d.source, coalesce(f.all_n, 0) AS group_docs,
+           {", ".join(f"(coalesce(f.all_n * f.{c}, 0) + {quality.PRIOR} * coalesce(x.{c}, t.{c})) // (coalesce(f.all_n, 0) + {quality.PRIOR}) AS {c}" for c in _TOLD)}
+    FROM (SELECT DISTINCT lang, source FROM m) d
+    LEFT JOIN p f ON f.level = 0 AND f.lang IS NOT DISTINCT FROM d.lang AND f.source IS NOT DISTINCT FROM d.source
+    LEFT JOIN x ON x.lang IS NOT DISTINCT FROM d.lang LEFT JOIN p t ON t.level = 2),
+z AS (SELECT lang, source, group_docs, {", ".join(f"{e} AS {c}" for c, e in _LIMITS.items())} FROM y),
 t AS (
-    SELECT m.*, CASE WHEN p0.all_n >= {quality.ENOUGH} THEN 0 WHEN p1.all_n >= {quality.ENOUGH} THEN 1 ELSE 2 END AS level,
-           {", ".join(f"CASE WHEN p0.all_n >= {quality.ENOUGH} THEN p0.{c} WHEN p1.all_n >= {quality.ENOUGH} THEN p1.{c} ELSE p2.{c} END AS {c}" for c in _FENCE_NAMES)}
-    FROM m
-    LEFT JOIN p p0 ON p0.level = 0 AND p0.lang IS NOT DISTINCT FROM m.lang AND p0.source IS NOT DISTINCT FROM m.source
-    LEFT JOIN p p1 ON p1.level = 1 AND p1.lang IS NOT DISTINCT FROM m.lang
-    LEFT JOIN p p2 ON p2.level = 2)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_capitals, level,
+    SELECT m.*, z.group_docs, {", ".join(f"z.{c}" for c in _FENCE_NAMES)}
+    FROM m JOIN z ON z.lang IS NOT DISTINCT FROM m.lang AND z.source IS NOT DISTINCT FROM m.source)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_capitals, CAST(group_docs AS BIGINT) AS group_docs,
        ({quality.BASE_FAILED}) AS base_failed, NOT ({quality.BASE_FAILED}) AND {_HALF_OPEN} AS kept,
        {", ".join(f"CAST({c} AS BIGINT) AS {c}" for c in _FENCE_NAMES)}
 FROM t"""

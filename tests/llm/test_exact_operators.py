@@ -91,17 +91,33 @@ def test_quality_counts(docs):
     assert got == want
 
 
-def test_quality_threshold_of_the_smallest_large_group(spark):
+def test_quality_thresholds_follow_each_group(spark):
+    """What a twentieth of a source does stands out; what a third of it does is its norm."""
     good = " ".join(f"word{i}" for i in range(60))
     bad = " ".join(f"word{i}##" for i in range(60))
-    rows = [(i, good if i % 3 else bad, "en", "x", 0, 0, None, None, None, None) for i in range(900)]
-    rows += [(5000 + i, bad, "de", "y", 0, 0, None, None, None, None) for i in range(600)]
+    rows = [(i, bad if i % 20 == 0 else good, "en", "x", 0, 0, None, None, None, None) for i in range(4000)]
+    rows += [(5000 + i, bad if i % 3 == 0 else good, "en", "y", 0, 0, None, None, None, None) for i in range(300)]
+    rows += [(9000, good, "de", "z", 0, 0, None, None, None, None), (9001, bad, None, None, 0, 0, None, None, None, None), (9002, "short", "fr", "q", 0, 0, None, None, None, None)]
     docs = spark.createDataFrame(rows, SCHEMA)
-    kept = {(r["lang"], r["kept"]) for r in quality.rate(docs).join(docs.select("doc_id", "lang"), "doc_id").select("lang", "kept").distinct().collect()}
-    # a third of symbols stands out among clean texts; where all texts have them they are the norm
-    assert kept == {("en", True), ("en", False), ("de", True)}
+    rated = quality.rate(docs).join(docs.select("doc_id", "lang", "source"), "doc_id")
+    found = rated.collect()
+    kept = {(r["source"], r["n_symbols"] > 0, r["kept"]) for r in found if r["source"] in ("x", "y")}
+    assert kept == {("x", False, True), ("x", True, False), ("y", False, True), ("y", True, True)}
+    limit = {r["source"]: r["hi_symbols"] for r in found}
+    # a single document has its language's and all documents' thresholds, blended
+    assert limit["x"] <= limit["z"] < limit["y"] and limit["q"] is not None
+    assert {r["source"]: r["group_docs"] for r in found} == {"x": 4000, "y": 300, "z": 1, None: 1, "q": 0}
     assert quality.filtered(docs).columns == docs.columns
-    assert quality.filtered(docs).count() == 600 + 600
+    assert quality.filtered(docs).count() == sum(r["kept"] for r in found)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="needs the generated tables")
+def test_quality_thresholds_differ_between_sources(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    measured = textkit.stored(quality.measure(docs.select("lang", "source", "text")).drop("text"))
+    limits = quality.thresholds(quality.sketches(measured), measured.select("lang", "source").distinct()).collect()
+    for s in quality.SHARES:
+        assert len({r[f"hi_{s}"] for r in limits}) > 5, s
 
 
 def test_quality_sketches_merge(docs):
