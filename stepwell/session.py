@@ -14,8 +14,9 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # a JSON object that repeats a key keeps the last value, as Python's json does
     "spark.sql.variant.allowDuplicateKeys": "true",
-    # whole texts go to Python: fewer rows at once keep its workers small
-    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "10000",
+    # first-n filters cut down before the shuffle for any n that is a limit at all
+    "spark.sql.optimizer.windowGroupLimitThreshold": "1000000",
 }
 
 

@@ -7,6 +7,7 @@ from conftest import STEP_SCHEMA
 from pyspark.sql import functions as F
 
 from stepwell.operators import render, signals
+from stepwell.operators.sampling import first_n_per_stratum
 from stepwell.operators.sequencing import number_in_key
 from stepwell.plans.ingest import ingest
 from stepwell.sources import claude_code, codex, cursor, native, swe_agent
@@ -77,3 +78,13 @@ def test_ingest_shuffles_no_text(spark, folder):
     got = {r["id"]: r["path"] for r in done.traces.collect()}
     assert got == {f"s{i}": max(f"s{j}.jsonl" for j in range(20) if j % 7 == i) for i in range(7)}
     assert done.steps.count() == 7
+
+
+def test_large_strata_are_cut_before_the_shuffle(spark):
+    df = spark.range(40_000).selectExpr("id", "id % 2 AS stratum", "string(id) AS key")
+    found = first_n_per_stratum(df, "stratum", 5_000, "key", ["id"])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    # the first of each key, the first n of each lot, the first n of the stratum: each before its exchange
+    assert plan.count("WindowGroupLimit") >= 2 * 3 and "5000, Partial" in plan
+    assert found.groupBy("stratum").count().orderBy("stratum").collect() == [(0, 5_000), (1, 5_000)]
+    assert found.agg({"id": "max"}).first()[0] == 9_999
