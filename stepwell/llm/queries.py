@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stepwell.llm import classifier, fingerprints, forest, idfiles, infill, mixing, pii, quality, repeats, tokens, toxicity, webpages, whitening
-from stepwell.session import new_folder, prepare
+from stepwell.llm.textkit import prepare
+from stepwell.session import new_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 

@@ -11,10 +11,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stepwell.session import new_folder
+from stepwell.session import prepare as prepare_session
 
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -25,6 +26,12 @@ BLOCK_BYTES = 1 << 20
 _MULT = 0x9E3779B97F4A7C15
 
 
+def prepare(spark: SparkSession) -> SparkSession:
+    """The session's settings, and few rows at once to Python, as whole texts go there."""
+    prepare_session(spark).conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    return spark
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write the rows as Parquet below the shared folder and read them back.
 
