@@ -15,8 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stepwell.llm import classifier, forest, mixing, pii, queries, tokens
-from stepwell.llm.textkit import stored
-from stepwell.session import prepare
+from stepwell.llm.textkit import prepare, stored
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
