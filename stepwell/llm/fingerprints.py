@@ -193,7 +193,7 @@ def _verified(keyed: DataFrame, families: DataFrame, percent: int) -> DataFrame:
 
     A family that fits a block is settled there, its sets going straight from the texts into
     the shuffle.  Large families are dealt into blocks twice; members outside the largest
-    group are then compared with the whole family (see ``forest``).
+    group are then compared with the whole family (see ``forest``), first by signatures.
     """
     least = percent / 100 - forest.SLACK
     sizes = stored(families.groupBy("label").agg(F.count("*").alias("members")))
@@ -210,8 +210,12 @@ def _verified(keyed: DataFrame, families: DataFrame, percent: int) -> DataFrame:
         dealt = dealt.withColumn("block", F.pmod(F.xxhash64("id", "deal"), F.col("blocks")) * forest.DEALS + F.col("deal"))
         first = stored(forest._confirm(dealt.withColumns(own), percent, least, counts=True))
         known = nodes.join(forest._sized(forest.smallest_reachable(first)), "id", "left").withColumn("part", F.coalesce("label", "id")).drop("label")
+        # signatures go to all blocks, full sets only where a signature of another group is near
+        place = F.struct("family", "block", "part", "side")
+        near = stored(forest._worth_reading(forest._against_rest(known.drop("set")), least).groupBy("id").agg(F.collect_list(place).alias("at")))
         discard(sizes)
-        rest = stored(forest._confirm(forest._against_rest(known), percent, least, sides=True, counts=True))
+        again = nodes.select("id", "sig", "set").join(forest._sized(near), "id").withColumn("at", F.explode("at")).select("id", "sig", "set", "at.*")
+        rest = stored(forest._confirm(again, percent, least, sides=True, counts=True))
         discard(nodes)
         links = links.union(first).union(rest)
     return links

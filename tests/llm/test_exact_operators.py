@@ -231,7 +231,10 @@ def test_banded_pairs_are_verified(spark):
     assert {r["doc_id"] for r in fingerprints.near_pairs(docs).collect()} >= {1, 2}
 
 
-def test_pairs_beside_their_hub_are_verified(spark):
+@pytest.mark.parametrize("block", [384, 1])
+def test_pairs_beside_their_hub_are_verified(spark, monkeypatch, block):
+    # with blocks of one every family is a large one
+    monkeypatch.setattr(forest, "BLOCK_ROWS", block)
     # groups of hub, x, y, copy of y: x and y are near each other but not near the hub
     rows = []
     for g in range(12):
