@@ -2,7 +2,7 @@
 
 Two streams share a table of lines.  The first stores lines as they come, in buckets of their
 path.  The second follows that table, waits until a path has been quiet for the debounce time
-(timers with carried state, ``settle.settled_bursts``) and then builds the whole session from
+(event-time sessions with carried state, ``settle.settled_bursts``) and then builds the whole session from
 all lines stored so far and ingests it.  A session that goes on after it was ingested is built again with
 its new lines; the newest batch of a trace counts, so turns that are split over any number of
 deliveries end up in one trace.

@@ -38,15 +38,18 @@ def settled_stream(
     windows that touch are merged, so the gap is a microsecond short of the debounce: a
     write after exactly the debounce time opens a new burst.
     """
+    return _sessions(watched(changes, suffix), debounce, delay)
+
+
+def _sessions(changes: DataFrame, debounce: int, delay: int, writes: str = "*") -> DataFrame:
     gap = f"{debounce * 1_000_000 - 1} microseconds"
     return (
-        watched(changes, suffix)
-        .withWatermark("event_ts", f"{delay} seconds")
+        changes.withWatermark("event_ts", f"{delay} seconds")
         .groupBy(F.session_window("event_ts", gap), "path")
         .agg(
             F.min("event_ts").alias("first_write"),
             F.max("event_ts").alias("last_write"),
-            F.count("*").alias("writes"),
+            F.count(writes).alias("writes"),
         )
         .drop("session_window")
     )
@@ -126,14 +129,14 @@ def settled_by_timer(
     )
 
 
-# --- bursts with carried state and event-time timers ----------------------------------------
+# --- every burst, the last ones included -----------------------------------------------------
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 @contextmanager
 def rocksdb_state(spark: SparkSession) -> Iterator[None]:
-    """Queries started inside keep their state in RocksDB, which timers need."""
+    """Queries started inside keep their state in RocksDB, off the heap; timers need it."""
     name = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(name)
     spark.conf.set(name, ROCKSDB)
@@ -143,98 +146,20 @@ def rocksdb_state(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
-Span = tuple[int, int, int]
-
-
-def merged(spans: list[Span], gap: int) -> list[Span]:
-    """(first, last, writes) spans in order; those less than ``gap`` apart become one."""
-    out: list[Span] = []
-    for first, last, writes in sorted(spans):
-        if out and first - out[-1][1] < gap:
-            begun, until, seen = out[-1]
-            out[-1] = (begun, max(until, last), seen + writes)
-        else:
-            out.append((first, last, writes))
-    return out
-
-
-class _Bursts(StatefulProcessor):
-    """Open bursts of a path; each leaves when its timer says that it is over.
-
-    The state of a path is one row per burst that is still open, whatever the number of
-    writes, and is gone when the last one has left.
-    """
-
-    def __init__(self, gap: int):
-        self.gap = gap
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.open = handle.getListState("open", "first bigint, last bigint, writes bigint")
-
-    def _over(self, span: Span) -> int:
-        """Millisecond at which the burst is over."""
-        return -(-(span[1] + self.gap) // 1000)
-
-    def _keep(self, spans: list[Span]) -> None:
-        wanted = {self._over(s) for s in spans}
-        there = set(self.handle.listTimers())
-        for at in there - wanted:
-            self.handle.deleteTimer(at)
-        for at in wanted - there:
-            self.handle.registerTimer(at)
-        if spans:
-            self.open.put(spans)
-        else:
-            self.open.clear()
-
-    def _held(self) -> list[Span]:
-        return [tuple(s) for s in self.open.get()] if self.open.exists() else []
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        # rows of one batch become spans before they meet the state
-        fresh: list[Span] = []
-        for batch in rows:
-            counted = batch["at"].value_counts()
-            fresh = merged(fresh + [(int(t), int(t), int(n)) for t, n in counted.items()], self.gap)
-        if key[0] is not None:
-            self._keep(merged(self._held() + fresh, self.gap))
-        yield from ()
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = expiredTimerInfo.getExpiryTimeInMs()
-        spans = self._held()
-        done = [s for s in spans if self._over(s) <= now]
-        self._keep([s for s in spans if self._over(s) > now])
-        if done:
-            frame = pd.DataFrame(done, columns=["first_us", "last_us", "writes"])
-            frame.insert(0, "path", key[0])
-            yield frame
-
-    def close(self) -> None:
-        pass
-
-
 def settled_bursts(
     changes: DataFrame, debounce: int = DEBOUNCE_SECONDS, delay: int = 0, suffix: str | None = SUFFIX
 ) -> DataFrame:
-    """Streaming form that lets every burst out: (path, first_write, last_write, writes).
+    """:func:`settled_stream` that lets every burst out: (path, first_write, last_write, writes).
 
     Rows without a path are ticks of a clock: they open no burst, but move the time on, so
-    the last burst of a path leaves although nothing is written after it.  State and timers
-    are carried from batch to batch and over restarts.  Start it inside ``rocksdb_state``.
-    A write more than ``delay`` seconds older than the newest write or tick is lost.
+    the last burst of a path leaves although nothing is written after it.  The state is one
+    row per open burst, carried from batch to batch and over restarts; start it inside
+    ``rocksdb_state``.  A write more than ``delay`` seconds older than the newest write or tick
+    of the batches before is lost.
     """
     named = watched(changes, None)
     if suffix is not None:
         named = named.filter(F.col("path").isNull() | F.col("path").endswith(suffix))
-    timed = named.withWatermark("event_ts", f"{delay} seconds").select("path", "event_ts", F.unix_micros("event_ts").alias("at"))
-    found = timed.groupBy("path").transformWithStateInPandas(
-        statefulProcessor=_Bursts(debounce * 1_000_000),
-        outputStructType="path string, first_us bigint, last_us bigint, writes bigint",
-        outputMode="Append",
-        timeMode="EventTime",
-    )
-    return found.select(
-        "path", F.timestamp_micros("first_us").alias("first_write"), F.timestamp_micros("last_us").alias("last_write"), "writes"
-    )
+    # a filter on the path would move below the watermark, and no tick would get there
+    bursts = _sessions(named, debounce, delay, writes="path").filter("writes > 0")
+    return bursts.select("path", "first_write", "last_write", "writes")
