@@ -21,9 +21,9 @@ def written(spark, folder, batches, **how):
                 .start()
             )
         query.awaitTermination()
-    seconds = "string(path) AS path, unix_micros(first_write) / 1e6 AS a, unix_micros(last_write) / 1e6 AS b, writes"
+    seconds = ("path", "unix_seconds(first_write) AS a", "unix_seconds(last_write) AS b", "writes")
     zero = start.timestamp()
-    return sorted((r["path"], float(r["a"]) - zero, float(r["b"]) - zero, r["writes"]) for r in spark.read.parquet(f"{folder}/out").selectExpr(seconds).collect())
+    return sorted((r["path"], r["a"] - zero, r["b"] - zero, r["writes"]) for r in spark.read.parquet(f"{folder}/out").selectExpr(*seconds).collect())
 
 
 def test_every_burst_leaves_once_a_tick_moves_the_time_on(spark, folder):
