@@ -319,6 +319,14 @@ def test_open_pages_keep_unique_runs(spark, monkeypatch, shard):
     assert webpages.extract(pages.limit(0)).count() == 0
 
 
+def test_repeats_judge_the_blocks_beside_an_article(spark):
+    common = "we all stand on every page of this host"
+    lead = [f"lead {i} says {' '.join(f'v{i}x{j}' for j in range(7))}" for i in range(6)]
+    rows = [(i, f"http://h.example.com/{i}", page(f"<div>{common}</div><div>{lead[i]}</div><article><p>{common}</p><p>text {i}</p></article><div>end {i}</div>")) for i in range(6)]
+    got = {r["page_id"]: r["text"] for r in webpages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"{lead[i]} {common} text {i} end {i}" for i in range(6)}
+
+
 @needs_tables
 def test_pages_of_the_table(spark):
     import html
