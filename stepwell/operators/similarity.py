@@ -7,8 +7,8 @@ decided by a size check:
 * few queries: they are broadcast and every task keeps its best k per query;
 * neither: candidates are grouped around pivot vectors.  The angle between unit vectors
   obeys the triangle inequality, so a group whose nearest possible member is worse than
-  the k-th hit found so far cannot hold an answer and is skipped.  Surviving
-  (query, group) pairs are joined on the group, in blocks of bounded size on both sides.
+  the k-th hit found so far cannot hold an answer and is skipped.  Groups are
+  bundled up to a block; surviving (query, bundle) pairs are joined, in blocks of bounded size on both sides.
 
 All three return the same rows.  Ties are broken by id; similarities count as equal when
 they agree to twelve decimals.
@@ -29,9 +29,11 @@ EPS = 1e-12
 ANGLE_SLACK = 1e-7
 TIE_DECIMALS = 12
 SMALL_SIDE_VALUES = 16_000_000  # vector values in a broadcast side: 128 MB as float64
-BLOCK_ROWS = 4096
+BLOCK_ROWS = 32_768
+BLOCK_VALUES = 2_097_152  # vector values in a block: 8 MB as float32
+SCAN_ROWS = 4096
 MAX_PIVOTS = 1024
-SCORE_CELLS = 8_000_000  # scores held at once inside a task
+SCORE_CELLS = 2_000_000  # scores, angles or routed vector values held at once inside a task
 
 HITS = "query_id string, trace_id string, similarity double"
 HIT_FIELDS = pa.schema(
@@ -39,8 +41,8 @@ HIT_FIELDS = pa.schema(
 )
 
 
-def matrix(column: pa.Array | pa.ChunkedArray, dim: int | None = None) -> np.ndarray:
-    """Dense matrix of an Arrow list column; rows of another length raise."""
+def matrix(column: pa.Array | pa.ChunkedArray, dim: int | None = None, kind: type | None = np.float64) -> np.ndarray:
+    """Dense matrix of an Arrow list column, in its own type for no ``kind``; rows of another length raise."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if len(column) == 0:
@@ -49,37 +51,76 @@ def matrix(column: pa.Array | pa.ChunkedArray, dim: int | None = None) -> np.nda
     wanted = dim if dim is not None else int(lengths[0])
     if not (lengths == wanted).all():
         raise ValueError(f"expected vectors of {wanted} values, got {sorted(set(lengths.tolist()))}")
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, wanted).astype(np.float64)
+    kind = kind or column.type.value_type.to_pandas_dtype()
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, wanted).astype(kind, copy=False)
 
 
 def unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), EPS)
 
 
-def _best(scores: np.ndarray, ids: np.ndarray, k: int, banned: str | None) -> np.ndarray:
-    """Positions of the best ``k`` scores by (score desc, id asc)."""
-    keep = np.arange(len(scores)) if banned is None else np.flatnonzero(ids != banned)
-    if len(keep) > k:
-        kth = np.partition(scores[keep], len(keep) - k)[len(keep) - k]
-        keep = keep[scores[keep] >= kth]
-    return keep[np.lexsort((ids[keep], -scores[keep]))][:k]
+def _unit(rows: np.ndarray) -> np.ndarray:
+    return unit(rows.astype(np.float64))
 
 
-def _score(
-    query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int
-) -> list[tuple[str, str, float]]:
-    hits: list[tuple[str, str, float]] = []
-    step = max(1, SCORE_CELLS // max(1, len(ids)))
-    for at in range(0, len(query_ids), step):
-        scores = np.round(queries[at : at + step] @ rows.T, TIE_DECIMALS)
-        for row, query_id in zip(scores, query_ids[at : at + step]):
-            hits += [(query_id, ids[j], float(row[j])) for j in _best(row, ids, k, query_id)]
-    return hits
+def _first(owner: np.ndarray, n: int) -> np.ndarray:
+    """True for the first ``n`` entries of each run of equal owners."""
+    begins = np.flatnonzero(np.append(True, owner[1:] != owner[:-1])) if len(owner) else owner
+    return np.arange(len(owner)) - np.repeat(begins, np.diff(np.append(begins, len(owner)))) < n
 
 
-def _hits(rows: list[tuple[str, str, float]]) -> pa.Table:
-    columns = list(zip(*rows)) or [[], [], []]
-    return pa.table([pa.array(c, f.type) for c, f in zip(columns, HIT_FIELDS)], schema=HIT_FIELDS)
+def _shortlist(queries: np.ndarray, rows: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(query, row) pairs that may be among the ``n`` best of a query, from single-precision scores.
+
+    ``rows`` are read block by block; a row is left out when its score is below the n-th best
+    by more than both scores can be off.
+    """
+    slack = np.float32((queries.shape[1] + 4) * 2.0**-22)
+    asked = queries.astype(np.float32)
+    owner, at, scored = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32)
+    floor = np.full(len(asked), -np.inf, np.float32)
+    for lo in range(0, len(rows), SCAN_ROWS):
+        scores = asked @ _unit(rows[lo : lo + SCAN_ROWS]).astype(np.float32).T
+        if lo == 0 and scores.shape[1] > n:
+            floor = np.partition(scores, scores.shape[1] - n, axis=1)[:, scores.shape[1] - n] - slack
+        query, row = np.divmod(np.flatnonzero(scores >= floor[:, None]), scores.shape[1])
+        if len(query) == 0:
+            continue
+        owner, at = np.append(owner, query), np.append(at, row + lo)
+        scored = np.append(scored, scores[query, row])
+        order = np.lexsort((-scored, owner))
+        owner, at, scored = owner[order], at[order], scored[order]
+        # the n-th best of each query that has so many
+        last = np.flatnonzero(_first(owner, n) & ~_first(owner, n - 1))
+        floor[owner[last]] = scored[last] - slack
+        keep = scored >= floor[owner]
+        owner, at, scored = owner[keep], at[keep], scored[keep]
+    return owner, at
+
+
+def _score(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int) -> pa.Table:
+    """Best ``k`` rows per query by (score desc, id asc), never the query itself.
+
+    Pairs are told apart in single precision; those that may be hits are scored in double.
+    """
+    found: list[pa.Table] = []
+    times = pd.Series(ids).value_counts()
+    own = times.reindex(query_ids).fillna(0).to_numpy(np.int64)
+    # the rows of a query's own id come first and are dropped
+    for extra in np.unique(own):
+        these = np.flatnonzero(own == extra)
+        step = max(1, SCORE_CELLS // SCAN_ROWS)
+        for part in (these[lo : lo + step] for lo in range(0, len(these), step)):
+            asked = _unit(queries[part])
+            query, at = _shortlist(asked, rows, k + int(extra))
+            other = ids[at] != query_ids[part[query]]
+            query, at = query[other], at[other]
+            scores = np.round(np.einsum("ij,ij->i", asked[query], _unit(rows[at])), TIE_DECIMALS)
+            order = np.lexsort((ids[at], -scores, query))
+            order = order[_first(query[order], k)]
+            columns = (query_ids[part[query[order]]], ids[at[order]], scores[order])
+            found.append(pa.table([pa.array(c, f.type) for c, f in zip(columns, HIT_FIELDS)], schema=HIT_FIELDS))
+    return pa.concat_tables(found) if found else HIT_FIELDS.empty_table()
 
 
 def _names(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -209,36 +250,34 @@ def top_k_similar(
 
 def _few_candidates(queries: DataFrame, table: pa.Table, dim: int, k: int) -> DataFrame:
     side = queries.sparkSession.sparkContext.broadcast(
-        (_names(table.column("trace_id")), unit(matrix(table.column("embedding"), dim)))
+        (_names(table.column("trace_id")), matrix(table.column("embedding"), dim, None))
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, rows = side.value
         for batch in batches:
-            asked = unit(matrix(batch.column("embedding"), dim))
-            hits = _hits(_score(_names(batch.column("query_id")), asked, ids, rows, k))
-            yield from hits.to_batches()
+            asked = matrix(batch.column("embedding"), dim, None)
+            yield from _score(_names(batch.column("query_id")), asked, ids, rows, k).to_batches()
 
     return queries.mapInArrow(run, HITS)
 
 
 def _few_queries(table: pa.Table, candidates: DataFrame, dim: int, k: int) -> DataFrame:
     side = candidates.sparkSession.sparkContext.broadcast(
-        (_names(table.column("query_id")), unit(matrix(table.column("embedding"), dim)))
+        (_names(table.column("query_id")), matrix(table.column("embedding"), dim, None))
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         query_ids, asked = side.value
-        best: dict[str, list[tuple[str, str, float]]] = {}
+        best = HIT_FIELDS.empty_table()
         for batch in batches:
-            ids, rows = _names(batch.column("trace_id")), unit(matrix(batch.column("embedding"), dim))
-            for hit in _score(query_ids, asked, ids, rows, k):
-                best.setdefault(hit[0], []).append(hit)
+            ids, rows = _names(batch.column("trace_id")), matrix(batch.column("embedding"), dim, None)
             # one running top-k per query and task
-            for query_id, hits in best.items():
-                if len(hits) > k:
-                    best[query_id] = sorted(hits, key=lambda h: (-h[2], h[1]))[:k]
-        yield from _hits([hit for hits in best.values() for hit in hits]).to_batches()
+            best = pa.concat_tables([best, _score(query_ids, asked, ids, rows, k)])
+            best = best.sort_by([("query_id", "ascending"), ("similarity", "descending"), ("trace_id", "ascending")])
+            owner = best.column("query_id").combine_chunks().dictionary_encode().indices.to_numpy() if best.num_rows else np.zeros(0, np.int64)
+            best = best.filter(pa.array(_first(owner, k)))
+        yield from best.to_batches()
 
     return candidates.mapInArrow(run, HITS)
 
@@ -255,7 +294,8 @@ def _assign(candidates: DataFrame, pivots: np.ndarray) -> DataFrame:
     dim = pivots.shape[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        step = max(1, SCORE_CELLS // len(pivots))
+        for batch in (b.slice(at, step) for b in batches for at in range(0, b.num_rows, step)):
             angles = _angles(unit(matrix(batch.column("embedding"), dim)), pivots)
             group = angles.argmin(axis=1) if len(angles) else np.zeros(0, dtype=np.int64)
             yield pa.RecordBatch.from_arrays(
@@ -273,20 +313,26 @@ def _assign(candidates: DataFrame, pivots: np.ndarray) -> DataFrame:
 
 
 def _route(
-    queries: DataFrame, pivots: np.ndarray, radius: np.ndarray, size: np.ndarray, k: int, second: bool
+    queries: DataFrame, pivots: np.ndarray, radius: np.ndarray, size: np.ndarray, bundle: np.ndarray, k: int, second: bool
 ) -> DataFrame:
-    """Groups each query has to visit.
+    """Bundles of groups each query has to visit.
 
-    First pass: its nearest groups until they hold k + 1 candidates.  Second pass
-    (``floor`` = similarity of the k-th hit so far): every other group that may hold a
-    candidate at least that similar.
+    First pass: those of its nearest groups until these hold k + 1 candidates.  Second pass
+    (``floor`` = similarity of the k-th hit so far): every other bundle with a group that may
+    hold a candidate at least that similar.
     """
     dim = pivots.shape[1]
 
+    # a query may have to visit every group, so a slice of them is bounded by what it may send out
+    by_bundle = np.argsort(bundle, kind="stable")
+    begins = np.flatnonzero(np.append(True, np.diff(bundle[by_bundle]) > 0))
+    step = max(1, SCORE_CELLS // max(len(pivots), len(begins) * dim))
+
+    def bundles(groups: np.ndarray) -> np.ndarray:
+        return np.logical_or.reduceat((groups & (size > 0))[:, by_bundle], begins, axis=1)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
+        for batch in (b.slice(at, step) for b in batches for at in range(0, b.num_rows, step)):
             angles = _angles(unit(matrix(batch.column("embedding"), dim)), pivots)
             order = np.argsort(angles, axis=1, kind="stable")
             held = np.cumsum(size[order], axis=1)
@@ -298,10 +344,9 @@ def _route(
             if second:
                 floor = batch.column("floor").to_numpy(zero_copy_only=False)
                 reach = np.cos(np.maximum(angles - radius, 0.0))
-                visit = ~near & (reach >= floor[:, None] - ANGLE_SLACK)
+                visit = bundles(reach >= floor[:, None] - ANGLE_SLACK) & ~bundles(near)
             else:
-                visit = near
-            visit &= size > 0
+                visit = bundles(near)
             query, group = np.nonzero(visit)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -316,15 +361,32 @@ def _route(
     return queries.mapInArrow(run, f"query_id string, embedding {kind}, grp int")
 
 
-def _visit(routed: DataFrame, members: DataFrame, parts: np.ndarray, dim: int, k: int) -> DataFrame:
-    """Score routed queries against the members of their groups, block by block.
+def _bundles(pivots: np.ndarray, size: np.ndarray, rows: int) -> np.ndarray:
+    """Bundle of every group: a chain of near groups is cut where ``rows`` candidates are full.
 
-    A group is cut by hash into ``parts`` candidate blocks, and its queries into blocks as
+    A query is sent once per bundle, not once per group, so where vectors are spread too evenly
+    for groups to be skipped, the copies of a query grow with the blocks of candidates only.
+    """
+    close = pivots @ pivots.T
+    bundle, at, number, held = np.zeros(len(pivots), dtype=np.int64), 0, 0, 0
+    for _ in range(len(pivots)):
+        if held and held + size[at] > rows:
+            number, held = number + 1, 0
+        bundle[at], held = number, held + size[at]
+        close[:, at] = -np.inf
+        at = int(close[at].argmax())
+    return bundle
+
+
+def _visit(routed: DataFrame, members: DataFrame, parts: np.ndarray, block: int, dim: int, k: int) -> DataFrame:
+    """Score routed queries against the members of their bundles (``grp``), block by block.
+
+    A bundle is cut by hash into ``parts`` candidate blocks, and its queries into blocks as
     well, so a hot group becomes many bounded (query block, candidate block) tasks.
     """
     asked = {
-        r["grp"]: -(-r["count"] // BLOCK_ROWS) for r in routed.groupBy("grp").count().collect()
-    }  # one row per pivot, at most MAX_PIVOTS
+        r["grp"]: -(-r["count"] // block) for r in routed.groupBy("grp").count().collect()
+    }  # one row per bundle, at most MAX_PIVOTS
     blocks = np.ones(len(parts), dtype=np.int64)
     for group, n in asked.items():
         blocks[group] = n
@@ -349,16 +411,9 @@ def _visit(routed: DataFrame, members: DataFrame, parts: np.ndarray, dim: int, k
 
     def run(queries: pa.Table, rows: pa.Table) -> pa.Table:
         if queries.num_rows == 0 or rows.num_rows == 0:
-            return _hits([])
-        return _hits(
-            _score(
-                _names(queries.column("query_id")),
-                unit(matrix(queries.column("embedding"), dim)),
-                _names(rows.column("trace_id")),
-                unit(matrix(rows.column("embedding"), dim)),
-                k,
-            )
-        )
+            return HIT_FIELDS.empty_table()
+        asked, held = (matrix(side.column("embedding"), dim, None) for side in (queries, rows))
+        return _score(_names(queries.column("query_id")), asked, _names(rows.column("trace_id")), held, k)
 
     return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(run, HITS)
 
@@ -386,10 +441,13 @@ def by_pivot_groups(queries: DataFrame, candidates: DataFrame, dim: int, k: int)
     radius, size = np.zeros(len(pivots)), np.zeros(len(pivots), dtype=np.int64)
     for row in members.groupBy("grp").agg(F.count("*").alias("n"), F.max("angle").alias("r")).collect():
         radius[row["grp"]], size[row["grp"]] = row["r"], row["n"]
-    parts = np.maximum(1, -(-size // BLOCK_ROWS))
+    block = max(1, min(BLOCK_ROWS, BLOCK_VALUES // max(1, dim)))
+    bundle = _bundles(pivots, size, block)
+    members = members.withColumn("grp", F.get(F.array(*[F.lit(int(b)) for b in bundle]), F.col("grp")))
+    parts = np.maximum(1, -(-np.bincount(bundle, weights=size).astype(np.int64) // block))
 
     near = cut_lineage(
-        rank_hits(_visit(_route(queries, pivots, radius, size, k, False), members, parts, dim, k), k)
+        rank_hits(_visit(_route(queries, pivots, radius, size, bundle, k, False), members, parts, block, dim, k), k)
     )
     floors = near.groupBy("query_id").agg(
         F.when(F.count("*") >= k, F.min("similarity")).otherwise(-2.0).alias("floor")
@@ -397,8 +455,8 @@ def by_pivot_groups(queries: DataFrame, candidates: DataFrame, dim: int, k: int)
     rest = queries.join(floors, "query_id", "left").withColumn(
         "floor", F.coalesce("floor", F.lit(-2.0))
     )
-    routed = cut_lineage(_route(rest, pivots, radius, size, k, True))
-    far = _visit(routed, members, parts, dim, k)
+    routed = cut_lineage(_route(rest, pivots, radius, size, bundle, k, True))
+    far = _visit(routed, members, parts, block, dim, k)
     return near.select("query_id", "trace_id", "similarity").unionByName(far)
 
 

@@ -118,3 +118,31 @@ def test_recommendations(spark):
     # "silent" takes a place among the best two and is dropped afterwards
     assert [(r["trace_id"], r["hit_id"]) for r in got] == [("far", "near"), ("open", "near"), ("q", "near")]
     assert got[2]["similarity"] == 0.995 and got[2]["recoveries"] == [{"label": "loop", "summary": "rested", "recovery_step": 2}]
+
+
+def test_a_query_goes_to_a_bundle_once(spark, monkeypatch):
+    """Evenly spread vectors let no group be skipped; a query was then copied once per group."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    rows = [(str(i), rng.normal(size=16).tolist()) for i in range(400)]
+    df = spark.createDataFrame(rows, "trace_id string, embedding array<float>")
+    sent, plain = [], M._visit
+    monkeypatch.setattr(M, "_visit", lambda routed, *rest: sent.append(routed.count()) or plain(routed, *rest))
+    hits = M.rank_hits(M.by_pivot_groups(df.withColumnRenamed("trace_id", "query_id"), df, 16, 3), 3)
+    assert hits.count() == 1200 and sum(sent) == 400
+
+
+def test_shortlists_lose_no_hit_and_no_tie():
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    rows = rng.normal(size=(9000, 8)).round(1).astype(np.float32)
+    rows[5000:5040] = rows[7]
+    ids = np.array([f"{i:05}" for i in range(9000)], dtype=object)
+    got = M._score(ids[:60], rows[:60], ids, rows, 6).to_pylist()
+    unit = M.unit(rows.astype(np.float64))
+    for q in range(60):
+        scores = np.round(unit @ unit[q], M.TIE_DECIMALS)
+        order = [j for j in np.lexsort((ids, -scores)) if j != q][:6]
+        assert [r["trace_id"] for r in got if r["query_id"] == ids[q]] == [ids[j] for j in order]
