@@ -69,11 +69,30 @@ def _first(owner: np.ndarray, n: int) -> np.ndarray:
     return np.arange(len(owner)) - np.repeat(begins, np.diff(np.append(begins, len(owner)))) < n
 
 
-def _shortlist(queries: np.ndarray, rows: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+def _few_copies(ids: np.ndarray, rows: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` ids of each group of equal rows; no other can be among the ``n`` best."""
+    if len(rows) == 0:
+        return ids, rows
+    rows = np.ascontiguousarray(rows)
+    group = np.unique(rows.view(np.dtype((np.void, rows[0].nbytes))).ravel(), return_inverse=True)[1]
+    order = np.lexsort((ids, group))
+    keep = np.sort(order[_first(group[order], n)])
+    return ids[keep], rows[keep]
+
+
+def _exact(queries: np.ndarray, rows: np.ndarray, query: np.ndarray, at: np.ndarray) -> np.ndarray:
+    step = max(1, SCORE_CELLS // max(1, queries.shape[1]))
+    parts = [slice(lo, lo + step) for lo in range(0, len(query), step)]
+    scores = [np.einsum("ij,ij->i", queries[query[p]], _unit(rows[at[p]])) for p in parts]
+    return np.round(np.concatenate([np.zeros(0), *scores]), TIE_DECIMALS)
+
+
+def _shortlist(queries: np.ndarray, ids: np.ndarray, rows: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """(query, row) pairs that may be among the ``n`` best of a query, from single-precision scores.
 
     ``rows`` are read block by block; a row is left out when its score is below the n-th best
-    by more than both scores can be off.
+    by more than both scores can be off.  Where too many pairs are that close, their exact
+    scores and ids say which are the ``n`` best so far.
     """
     slack = np.float32((queries.shape[1] + 4) * 2.0**-22)
     asked = queries.astype(np.float32)
@@ -95,6 +114,10 @@ def _shortlist(queries: np.ndarray, rows: np.ndarray, n: int) -> tuple[np.ndarra
         floor[owner[last]] = scored[last] - slack
         keep = scored >= floor[owner]
         owner, at, scored = owner[keep], at[keep], scored[keep]
+        if len(owner) > max(SCORE_CELLS // 16, 2 * n * len(asked)):
+            order = np.lexsort((ids[at], -_exact(queries, rows, owner, at), owner))
+            order = order[_first(owner[order], n)]
+            owner, at, scored = owner[order], at[order], scored[order]
     return owner, at
 
 
@@ -112,10 +135,10 @@ def _score(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: np
         step = max(1, SCORE_CELLS // SCAN_ROWS)
         for part in (these[lo : lo + step] for lo in range(0, len(these), step)):
             asked = _unit(queries[part])
-            query, at = _shortlist(asked, rows, k + int(extra))
+            query, at = _shortlist(asked, ids, rows, k + int(extra))
             other = ids[at] != query_ids[part[query]]
             query, at = query[other], at[other]
-            scores = np.round(np.einsum("ij,ij->i", asked[query], _unit(rows[at])), TIE_DECIMALS)
+            scores = _exact(asked, rows, query, at)
             order = np.lexsort((ids[at], -scores, query))
             order = order[_first(query[order], k)]
             columns = (query_ids[part[query[order]]], ids[at[order]], scores[order])
@@ -249,8 +272,10 @@ def top_k_similar(
 
 
 def _few_candidates(queries: DataFrame, table: pa.Table, dim: int, k: int) -> DataFrame:
+    ids = _names(table.column("trace_id"))
+    most = int(pd.Series(ids).value_counts().max()) if len(ids) else 1
     side = queries.sparkSession.sparkContext.broadcast(
-        (_names(table.column("trace_id")), matrix(table.column("embedding"), dim, None))
+        _few_copies(ids, matrix(table.column("embedding"), dim, None), k + most)
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

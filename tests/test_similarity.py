@@ -146,3 +146,25 @@ def test_shortlists_lose_no_hit_and_no_tie():
         scores = np.round(unit @ unit[q], M.TIE_DECIMALS)
         order = [j for j in np.lexsort((ids, -scores)) if j != q][:6]
         assert [r["trace_id"] for r in got if r["query_id"] == ids[q]] == [ids[j] for j in order]
+
+
+def test_copies_and_near_ties_are_cut_to_those_that_count(monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(M, "SCORE_CELLS", 3200)
+    monkeypatch.setattr(M, "SCAN_ROWS", 64)
+    rng = np.random.default_rng(8)
+    one = rng.normal(size=8)
+    # one direction at many lengths, and many copies of one row
+    rows = np.concatenate([one * rng.integers(1, 9, size=(500, 1)), np.repeat(rng.normal(size=(1, 8)), 300, axis=0), rng.normal(size=(200, 8))]).astype(np.float32)
+    ids = np.array([f"{i:04}" for i in rng.permutation(1000)], dtype=object)
+    held = M._few_copies(ids, rows, 5)
+    assert len(held[0]) < 300
+    unit = M.unit(rows.astype(np.float64))
+    some = np.arange(0, 1000, 37)
+    for pool in ((ids, rows), held):
+        got = M._score(ids[some], rows[some], *pool, 4).to_pylist()
+        for q in some:
+            scores = np.round(unit @ unit[q], M.TIE_DECIMALS)
+            best = [ids[j] for j in np.lexsort((ids, -scores)) if j != q][:4]
+            assert [r["trace_id"] for r in got if r["query_id"] == ids[q]] == best
