@@ -73,3 +73,14 @@ def test_identity_and_trace_id(spark):
     )
     for r in rows(df.select("want", trace_id().alias("got"), file_stem().alias("stem"))):
         assert r["got"] == r["want"]
+
+
+def test_a_text_is_parsed_once_per_reading(spark):
+    raw = spark.createDataFrame([("a.json", "{}")], "file_name string, raw_blob string").repartition(1)
+
+    def parsings(column):
+        plan = raw.select(column.alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+        return plan.lower().count("parsejson") + plan.lower().count("parse_json")
+
+    # the document and the first line; a name for each, however many fields are looked at
+    assert 1 <= parsings(detect_format()) <= 2 and 1 <= parsings(raw_identity()) <= 2
