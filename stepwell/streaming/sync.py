@@ -19,10 +19,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stepwell.plans.tables import read_or_none, write_batch
-from stepwell.sources.files import read_sessions
+from stepwell.sources.files import read_sessions, small_files
 from stepwell.streaming.continuous import Passes, ingest_batch, signals_only
 
 FILES_PER_BATCH = 10_000
+# names are fetched a partition at a time, by one job each
+NAME_PARTITIONS = 32
 MANIFEST_SCHEMA = "path string, size bigint, mtime_s bigint, batch_id bigint"
 MANIFEST_COLUMNS = ("path", "size", "mtime_s", "bigint(batch_id) AS batch_id")
 
@@ -90,17 +92,19 @@ def sync_changed(
     and the newest counts (``plans.tables.current``).  Names of due files pass the driver in
     groups of ``files_per_batch``, as Spark opens files by name; contents never do.
     """
-    files = listing(spark, folder, pattern)
-    known = manifest(spark, out)
-    last = known.agg(F.max("batch_id")).first()[0]
-    batch_id = 0 if last is None else last + 1
-    scanned, ingested, batches = files.count(), 0, []
-    for group in _groups(due(files, known).toLocalIterator(), files_per_batch):
-        raw = read_sessions(spark, [by_name(r["path"]) for r in group])
-        ingest_batch(raw, out, batch_id, roots, passes)
-        taken = spark.createDataFrame(group, "path string, size bigint, mtime_s bigint")
-        write_batch(taken.coalesce(1), f"{out}/manifest", batch_id)
-        ingested += len(group)
-        batches.append(batch_id)
-        batch_id += 1
+    with small_files(spark):
+        files = listing(spark, folder, pattern)
+        known = manifest(spark, out)
+        last = known.agg(F.max("batch_id")).first()[0]
+        batch_id = 0 if last is None else last + 1
+        scanned, ingested, batches = files.count(), 0, []
+        names = due(files, known).coalesce(NAME_PARTITIONS)
+        for group in _groups(names.toLocalIterator(), files_per_batch):
+            raw = read_sessions(spark, [by_name(r["path"]) for r in group])
+            ingest_batch(raw, out, batch_id, roots, passes)
+            taken = spark.createDataFrame(group, "path string, size bigint, mtime_s bigint")
+            write_batch(taken.coalesce(1), f"{out}/manifest", batch_id)
+            ingested += len(group)
+            batches.append(batch_id)
+            batch_id += 1
     return Synced(scanned, ingested, scanned - ingested, tuple(batches))

@@ -108,3 +108,20 @@ def test_due_reads_no_contents(spark, folder):
     assert [(r["size"], r["path"].endswith("a.jsonl")) for r in rows(files, "path")] == [(10, True)]
     plan = due(files, manifest(spark, f"{folder}/none"))._jdf.queryExecution().executedPlan().toString()
     assert "content" not in plan
+
+
+def test_names_are_looked_up_many_to_a_task(spark, folder):
+    watched, out = f"{folder}/in", f"{folder}/out"
+    put(watched, {f"{n}.jsonl": rollout(f"s{n}", "hi") for n in range(150)})
+    before = spark.conf.get("spark.sql.files.openCostInBytes")
+    context = spark.sparkContext
+    context.setJobGroup("many-names", "sync")
+    try:
+        assert sync_changed(spark, watched, out).ingested == 150
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    tracker = context.statusTracker()
+    stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup("many-names") for s in tracker.getJobInfo(j).stageIds]
+    assert stages and max(s.numTasks for s in stages if s is not None) <= 64
+    # settings of the session are as they were
+    assert spark.conf.get("spark.sql.files.openCostInBytes") == before
