@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from stepwell.session import cut_lineage
 from stepwell.streaming.continuous import Passes, ingest_batch, signals_only
 from stepwell.streaming.settle import DEBOUNCE_SECONDS, SUFFIX, rocksdb_state, settled_bursts
 
@@ -72,7 +73,9 @@ def ingest_appended(
     """Ingest the sessions of the table of lines as they settle, into tables below ``out``."""
     changes = spark.readStream.schema(f"{LINE_SCHEMA}, bucket int").parquet(f"{out}/lines").select("path", "event_ts")
 
-    def run(settled: DataFrame, batch_id: int) -> None:
+    def run(batch: DataFrame, batch_id: int) -> None:
+        # every use of the batch would run its state once more
+        settled = cut_lineage(batch.select("path", "last_write"))
         if not settled.isEmpty():
             ingest_batch(whole_sessions(stored_lines(spark, out), settled), out, batch_id, passes=passes)
 
