@@ -250,6 +250,37 @@ def test_pairs_beside_their_hub_are_verified(spark, monkeypatch, block):
     assert all([near[4 * g + j] for j in range(4)] == [None, 4 * g + 2, 4 * g + 3, 4 * g + 2] for g in range(12))
 
 
+def test_unlike_sets_of_a_band_are_no_family(spark, monkeypatch):
+    # any two of these share a third of their shingles, which makes bands meet by chance; 100 and 101 are near
+    base = [f"w{i}" for i in range(200)]
+    rows = [(i, " ".join(base + [f"v{i}_{j}" for j in range(190)])) for i in range(60)]
+    rows += [(100 + i, " ".join([f"y{j}" for j in range(200)] + ["tail"] * i)) for i in range(2)]
+    seen, verified = [], fingerprints._verified
+    keep = lambda keyed, families, percent: seen.append({r["id"] for r in families.collect()}) or verified(keyed, families, percent)
+    monkeypatch.setattr(fingerprints, "_verified", keep)
+    pairs = [(r["doc_id"], r["hub"]) for r in fingerprints.near_pairs(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert pairs == [(101, 100)] and seen == [{100, 101}]
+
+
+def test_pairs_of_crowded_bands_are_verified(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "BUCKET_ROWS", 2)
+    base = [f"w{i}" for i in range(300)]
+    rows = [(i, " ".join(base + [f"v{i}_{j}" for j in range(10)])) for i in range(12)] + [(5, " ".join(base + [f"v5_{j}" for j in range(10)]))]
+    found = fingerprints.near_pairs(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {i for r in found for i in (r["doc_id"], r["hub"])} == set(range(12)) and len(found) == 11
+
+
+def test_notes_travel_with_their_documents(spark):
+    rows = [(i, f"text {i} " * (i % 5)) for i in range(0, 90, 2)] + [(None, "no key"), (8, "again")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    notes = spark.createDataFrame([(i, i + 1) for i in range(0, 95, 3)], "doc_id long, note int")
+    for parts in (1, 7):
+        plain = fingerprints.with_next_text(docs, parts=parts).drop("note").collect()
+        noted = fingerprints.with_next_text(docs, parts=parts, notes=notes).collect()
+        assert Counter(map(tuple, plain)) == Counter((r["doc_id"], r["text"], r["next_text"]) for r in noted)
+        assert all(r["note"] == (r["doc_id"] + 1 if r["doc_id"] is not None and r["doc_id"] % 3 == 0 else None) for r in noted)
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="needs the generated tables")
 def test_fingerprint_query_names_every_near_document(spark):
     path = "/root/testdata/sf0.001"
