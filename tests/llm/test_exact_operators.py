@@ -388,6 +388,15 @@ def test_cut_of_hard_rows(docs, nothing, monkeypatch):
     assert repeats.cut(nothing).count() == 0
 
 
+def test_passages_of_many_words_go_from_400_bytes_on(spark):
+    passage = lambda name, size: (" ".join(f"{name}{i}" for i in range(200))[: size - 1]) + "."
+    short, long = passage("s", 399), passage("l", 400)
+    assert min(len(short.split()), len(long.split())) > 50
+    rows = [(1, "<" + short + "="), (2, ">" + short + "+"), (3, "(" + long + "["), (4, ")" + long + "]")]
+    got = {r["doc_id"]: (r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in repeats.cut(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (0, 0, rows[0][1].encode()), 2: (0, 0, rows[1][1].encode()), 3: (400, 1, b"(["), 4: (400, 1, b")]")}
+
+
 # --- 10 ----------------------------------------------------------------------------------
 
 
