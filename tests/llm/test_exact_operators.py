@@ -11,7 +11,7 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
 
-from stepwell.llm import fingerprints, forest, mixing, quality, queries, repeats, suffix_array, textkit, tokens  # noqa: E402
+from stepwell.llm import fingerprints, forest, mixing, passages, quality, queries, repeats, suffix_array, textkit, tokens  # noqa: E402
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 # every added name that could clash, as columns of the input
@@ -397,6 +397,46 @@ def test_passages_of_many_words_go_from_400_bytes_on(spark):
     assert got == {1: (0, 0, rows[0][1].encode()), 2: (0, 0, rows[1][1].encode()), 3: (400, 1, b"(["), 4: (400, 1, b")]")}
 
 
+def sharing_plain(rows, words):
+    """Keys of documents with a passage of so many words that another document has."""
+    held = {}
+    for key, text in rows:
+        ws = words_of(text)
+        for i in range(len(ws) - words + 1):
+            held.setdefault(tuple(ws[i : i + words]), set()).add(text if key is None else key)
+    return set().union(*(keys for keys in held.values() if len(keys) > 1))
+
+
+def test_passages_of_many_words_are_told_below_400_bytes(spark, tmp_path):
+    few, many = (" ".join(f"{c}{i}" for i in range(n)) for c, n in (("f", 50), ("m", 51)))
+    assert len(many) < 400
+    rows = [(1, f"x {few} y"), (2, f"z {few} t"), (3, f"a b {many} c"), (4, many.replace(" ", "\n\n") + " d"), (5, many.upper()), (6, f"{few} q {few}"), (7, None), (8, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: (r["shares_passage"], r["has_repeats"]) for r in queries.QUERIES["op9_suffix_array"](spark, str(tmp_path)).collect()}
+    assert got == {i: (i in (3, 4), False) for i in range(1, 9)}
+
+
+@pytest.mark.parametrize("step", [1 << 20, 40])
+def test_sharing_against_plain(spark, nothing, monkeypatch, step):
+    monkeypatch.setattr(passages, "SLICE", step)
+    rng = np.random.default_rng(9)
+    draw = lambda n, kinds: " ".join(f"w{i}" for i in rng.integers(0, kinds, n))
+    passage = [draw(int(n), 50) for n in rng.integers(9, 20, 12)]
+    texts = [f"{draw(30, 60)} {passage[rng.integers(12)]} {draw(int(rng.integers(200)), 60)} {passage[rng.integers(12)]}" for _ in range(60)]
+    # as few words as there are anchors of many contexts
+    texts += [draw(300, 2) for _ in range(4)] + ["the " * 60, f"the {passage[0]} " * 3, passage[0], passage[1] + " x", "", None]
+    rows = [(None if i in (3, 64) else i, t) for i, t in enumerate(texts)] + [(None, texts[3]), (5, texts[6]), (200, texts[7])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    ids = {r["row_id"]: r["doc_id"] for r in repeats.cut(docs, length=40, gram=8).collect()}
+    for words, gram in ((12, 3), (12, 12), (10, 1)):
+        got = [r["row_id"] for r in passages.sharing(docs, words=words, gram=gram).collect()]
+        want = sharing_plain(rows, words)
+        assert len(got) == len(set(got)) and 20 < len(want)
+        assert {i for i in got if i < 1 << 62} == {k for k in want if isinstance(k, int)}
+        assert sum(ids[i] is None for i in got) == sum(isinstance(k, str) for k in want)
+    assert passages.sharing(nothing).count() == 0
+
+
 # --- 10 ----------------------------------------------------------------------------------
 
 
